@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from . import simhash
+import public_tokenizers
+
+from . import decontaminate, language, simhash, tokens
 from .common import table
 
 
+def op5_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op8_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
