@@ -75,6 +75,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A column name like `name` that columns don't have, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """data in blocks of about `size` bytes that end before white space, so that no word is cut."""
     start = 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks
+from .common import byte_blocks, fresh
 
 #: Words of one automaton: the bound on what is broadcast at once.
 BLOCK_WORDS = 200_000
@@ -161,11 +161,10 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """docs with a column _hits: n_words, spans and items, after all blocks of the benchmark."""
+def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, hits: str) -> DataFrame:
+    """docs with a column `hits`: n_words, spans and items, after all blocks of the benchmark."""
     context = docs.sparkSession.sparkContext
-    columns = [c for c in docs.columns if c != "_hits"]
-    out = docs.select(*columns, F.expr("cast(null as struct<n_words: bigint, spans: array<struct<first: bigint, beyond: bigint>>, items: array<string>>)").alias("_hits"))
+    out = docs.select("*", F.expr("cast(null as struct<n_words: bigint, spans: array<struct<first: bigint, beyond: bigint>>, items: array<string>>)").alias(hits))
     schema = out.schema
     for block in [*_blocks(benchmark, block_words)] or [[]]:
         auto = context.broadcast(Automaton.of(block, window))
@@ -173,7 +172,7 @@ def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: in
         def run(batches: Iterator[pa.RecordBatch], auto=auto) -> Iterator[pa.RecordBatch]:
             automaton = auto.value
             for batch in batches:
-                at, before = batch.schema.get_field_index("_hits"), None
+                at, before = batch.schema.get_field_index(hits), None
                 made = []
                 for text, before in zip(batch.column("text").to_pylist(), batch.column(at).to_pylist(), strict=True):
                     count, spans, found = automaton.hits(text)
@@ -181,7 +180,7 @@ def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: in
                         spans = _merged(spans + [(s["first"], s["beyond"]) for s in before["spans"]])
                         found = found | {*before["items"]}
                     made.append({"n_words": count, "spans": [{"first": s, "beyond": e} for s, e in spans], "items": sorted(found)})
-                yield batch.set_column(at, "_hits", pa.array(made, batch.schema.field(at).type))
+                yield batch.set_column(at, hits, pa.array(made, batch.schema.field(at).type))
 
         out = out.mapInArrow(run, schema)
     return out
@@ -193,7 +192,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: in
     A null or empty text has no words and is clean. Items that are null or without words never match; items under
     one number count as one. Repeated rows of docs keep their number; columns other than these are ignored. With an
     empty benchmark all is clean."""
-    rows = _through(docs.select("doc_id", F.col("text").cast("string")), benchmark, window, block_words)
+    rows = _through(docs.select("doc_id", F.col("text").cast("string")), benchmark, window, block_words, "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,12 +235,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int
     Where the words that are hit reach one in `coverage`, the row goes; else the hit spans, each a whole window or
     item at least, are cut from the text, and n_chars, if there is one, is counted anew. Rows without a hit stay as
     they are, null texts too."""
-    columns = docs.columns
-    rows = _through(docs.withColumn("text", F.col("text").cast("string")), benchmark, window, block_words)
+    columns, hits = docs.columns, fresh(docs.columns, "_hits")
+    rows = _through(docs.withColumn("text", F.col("text").cast("string")), benchmark, window, block_words, hits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, texts = batch.column("_hits").to_pylist(), batch.column("text").to_pylist()
+            seen, texts = batch.column(hits).to_pylist(), batch.column("text").to_pylist()
             keep_row = []
             for i, x in enumerate(seen):
                 hit = sum(s["beyond"] - s["first"] for s in x["spans"])

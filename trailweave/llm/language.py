@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Characters that are held as n-grams at once.
 CHARACTERS_AT_ONCE = 1 << 18
 UNKNOWN = "und"
@@ -135,7 +137,8 @@ def train(labelled: DataFrame, orders: int = 3, buckets: int = 1 << 15, max_lang
     return Model([r["lang"] for r in by_lang], weights.astype(np.float32), prior, orders)
 
 
-def _predicting(docs: DataFrame, model: Model):
+def _scored(docs: DataFrame, model: Model, lang: str, score: str) -> DataFrame:
+    """docs with the predicted language and its score in columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +146,9 @@ def _predicting(docs: DataFrame, model: Model):
         grams = Grams(model.orders, len(model.weights))
         for batch in batches:
             langs, scores = model.predict(batch.column("text").to_pylist(), grams)
-            yield batch.append_column("_lang_pred", pa.array(langs, pa.string())).append_column("_score", pa.array(scores, pa.float64()))
-
-    return run
-
+            yield batch.append_column(lang, pa.array(langs, pa.string())).append_column(score, pa.array(scores, pa.float64()))
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    schema = docs.select("*", F.lit("").alias("_lang_pred"), F.lit(0.0).alias("_score")).schema
-    return docs.mapInArrow(_predicting(docs, model), schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(score)).schema)
 
 
 def learned_from(docs: DataFrame) -> Model:
@@ -163,12 +161,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without a letter are und with score 0, as is all if no row is labelled. A null doc_id is
     not held out. Repeated rows are each predicted; other columns are ignored; an empty table gives an empty result."""
-    scored = _scored(docs.select("doc_id", F.col("text").cast("string")), learned_from(docs))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    scored = _scored(docs.select("doc_id", F.col("text").cast("string")), learned_from(docs), "lang_pred", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def recognised(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose text is in a language that is known, with `least_score` or more."""
     columns = docs.columns
-    scored = _scored(docs.withColumn("text", F.col("text").cast("string")), learned_from(docs))
-    return scored.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).select(*columns)
+    lang, score = fresh(columns, "_lang"), fresh(columns, "_score")
+    scored = _scored(docs.withColumn("text", F.col("text").cast("string")), learned_from(docs), lang, score)
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*columns)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, language, simhash, tokens
+from . import decontaminate, language, lines, simhash, tokens
 from .common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,5 +28,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE}
