@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, language, lines, simhash, tokens
+from . import decontaminate, language, lines, quality, simhash, tokens
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_line_dedup(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,5 +32,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality, op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE}
