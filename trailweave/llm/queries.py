@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, language, lines, quality, simhash, tokens
+from . import decontaminate, language, lines, mixing, quality, simhash, tokens, warc
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_line_dedup(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality, op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mixing, op4_quality, op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
