@@ -64,3 +64,13 @@ def test_given_documents(spark):
     items = [tuple(r) for r in bench.collect()]
     got = sorted(tuple(r) for r in decontaminate.judged(docs, bench).collect())
     assert got == sorted((r.doc_id, *brute(r.text, items)) for r in docs.collect()) and any(g[-1] for g in got)
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    for t in ("documents", "benchmark"):
+        duckdb.sql(f"create or replace view {t} as from '/root/testdata/sf0.01/{t}.parquet'")
+    want = sorted(duckdb.sql(decontaminate.ORACLE).fetchall())
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(tuple(r) for r in decontaminate.judged(docs, bench).collect()) == want

@@ -258,3 +258,25 @@ def _recount(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same by joining all windows of the texts with those of the items, for DuckDB.
+ORACLE = f"""
+with worded as (select doc_id, coalesce({_WORDS}, []) as words from documents),
+items as (select item_id, {_WORDS} as words from benchmark where text is not null and item_id is not null),
+item_windows as (
+  select distinct item_id, least(13, len(words)) as size, array_to_string(words[s + 1 : s + least(13, len(words))], ' ') as gram
+  from items, lateral (select unnest(range(0, greatest(len(words) - 12, 1))) as s) where len(words) > 0),
+sizes as (select distinct size from item_windows),
+doc_windows as (
+  select doc_id, size, s, array_to_string(words[s + 1 : s + size], ' ') as gram
+  from worded, sizes, lateral (select unnest(range(0, len(words) - size + 1)) as s) where len(words) >= size),
+found as (select distinct doc_id, item_id, d.size, s from doc_windows d join item_windows i on i.size = d.size and i.gram = d.gram),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from found) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item_id::varchar as item from found) group by 1)
+select w.doc_id, len(w.words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w.words) as contaminated
+from worded w left join hit h on h.doc_id = w.doc_id left join named n on n.doc_id = w.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, language, lines, mixing, quality, simhash, tokens, warc
+from . import decontaminate, language, lines, mainhtml, mixing, quality, quotes, simhash, tokens, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quotes(spark, sf_dir):
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,16 @@ def op8_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_main_html(spark, sf_dir):
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_mixing, op4_quality, op5_token_counts, op7_simhash, op8_language, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_warc, op3_mixing, op4_quality, op5_token_counts, op6_quotes, op7_simhash, op8_language, op9_main_html, op10_decontaminate)
+}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
