@@ -3,8 +3,8 @@
 A 64-bit fingerprint is cut into two 32-bit segments. Of two fingerprints that differ in at most two bits, one
 segment differs in at most one; so each fingerprint is indexed by both segments with each one bit wiped out (64 keys),
 and fingerprints that meet under a key are verified. Work is on distinct fingerprints: copies add nothing.
-A key under which many fingerprints meet is not paired out. Its members are dealt again, by keys of the other
-segment with bits wiped out, under which all members differ in two bits at most, and each is linked to the least."""
+A key under which many fingerprints meet is not paired out. Its members are dealt again, by the values that are one
+bit or none away: fingerprints that meet there differ in two bits at most, and each is linked to the least."""
 
 from __future__ import annotations
 
@@ -13,14 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_blocks, connected_components, keep, spread_join
 
 SEGMENT_BITS = 32
 #: Members of a key that are compared pair by pair; beyond it, the exact second dealing takes over.
-PAIRED_MEMBERS = 48
+PAIRED_MEMBERS = 16
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -96,25 +96,25 @@ def links(prints: DataFrame) -> DataFrame:
     )
     met = keep(variants.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1"))
 
-    x, y = F.col("x"), F.col("y")
-    few = met.filter(F.col("n") <= PAIRED_MEMBERS).groupBy("k").agg(F.array_sort(F.collect_list("fp")).alias("m"))
-    pairs = few.select(F.explode(F.sequence(F.lit(1), F.size("m") - 1)).alias("i"), "m").select(
-        F.element_at("m", F.col("i")).alias("x"), F.explode(F.slice("m", F.col("i") + 1, F.size("m"))).alias("y")
-    )
-    pairs = pairs.filter(F.bit_count(x.bitwiseXOR(y)) <= 2).select(x.alias("a"), y.alias("b"))
-
-    many = met.filter(F.col("n") > PAIRED_MEMBERS)
+    # A pair that meets under many keys, being equal in the segment, counts under the first.
     v = F.shiftright("k", SEGMENT_BITS)
-    other = F.when(v < SEGMENT_BITS, F.shiftright("fp", SEGMENT_BITS)).otherwise(F.col("fp")).bitwiseAND(F.lit(low))
-    own = F.when(v < SEGMENT_BITS, F.col("fp")).otherwise(F.shiftright("fp", SEGMENT_BITS)).bitwiseAND(F.lit(low))
-    one = F.array(*(F.lit(low & ~(1 << i)) for i in range(SEGMENT_BITS)))
-    two = F.array(*(F.lit(low & ~(1 << i) & ~(1 << j)) for i in range(SEGMENT_BITS) for j in range(i)))
-    dealt_one = many.select("fp", F.col("k").alias("first"), other.alias("o"), F.explode(one).alias("mask"))
-    dealt_two = many.filter(v % SEGMENT_BITS == 0).select("fp", (-1 - F.shiftright(v, 5) * (1 << SEGMENT_BITS) - own).alias("first"), other.alias("o"), F.explode(two).alias("mask"))
-    again = dealt_one.unionByName(dealt_two).select("fp", "first", F.col("o").bitwiseAND(F.col("mask")).alias("second"), "mask")
-    # Which bits were wiped out is part of the key, or two fingerprints could meet that differ in more of them.
-    least = again.groupBy("first", "second", "mask").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = again.join(least, ["first", "second", "mask"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    few = met.filter(F.col("n") <= PAIRED_MEMBERS).groupBy("k").agg(F.array_sort(F.collect_list("fp")).alias("m"))
+    few = few.select(F.explode(F.sequence(F.lit(1), F.size("m") - 1)).alias("i"), "m", "k", v.alias("v"))
+    few = few.select(F.element_at("m", F.col("i")).alias("x"), F.slice("m", F.col("i") + 1, F.size("m")).alias("ys"), "v")
+
+    def links_here(y: Column) -> Column:
+        differ = F.col("x").bitwiseXOR(y)
+        own = F.when(F.col("v") < SEGMENT_BITS, differ).otherwise(F.shiftright(differ, SEGMENT_BITS)).bitwiseAND(F.lit(low))
+        return (F.bit_count(differ) <= 2) & ((F.col("v") % SEGMENT_BITS == 0) | (own != 0))
+
+    pairs = few.select(F.col("x").alias("a"), F.explode(F.filter("ys", links_here)).alias("b"))
+
+    # Values one bit or none away from two fingerprints: shared by all pairs two bits apart or less, and by no other.
+    dense = met.filter(F.col("n") > PAIRED_MEMBERS).select("fp").distinct()
+    flips = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)) for i in range(64)))
+    again = dense.select("fp", F.explode(F.transform(flips, lambda bit: bit.bitwiseXOR(F.col("fp")))).alias("near"))
+    least = again.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = again.join(least, "near").filter("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
