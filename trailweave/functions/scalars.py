@@ -39,8 +39,8 @@ def error_fingerprint(message: Column) -> Column:
 def detect_output_error(output: Column) -> Column:
     """The first error that the last 2000 characters of an output tell, normalised; null if none."""
     tail = F.when(F.length(output) >= 10, F.when(F.length(output) > 2000, F.right(output, F.lit(2000))).otherwise(output))
-    caught = lambda p: F.when(F.regexp_extract(tail, p, 1) != "", F.regexp_extract(tail, p, 1)).otherwise(F.regexp_extract(tail, p, 0))
-    raw = F.coalesce(*(F.when(tail.rlike(p), caught(p)) for p in C.OUTPUT_ERRORS))
+    some = lambda p, group: F.nullif(F.regexp_extract(tail, p, group), F.lit(""))
+    raw = F.coalesce(*(some(p, group) for p in C.OUTPUT_ERRORS for group in (1, 0)))
     return F.substring(_replaced(F.trim(raw), C.OUTPUT_NORMAL), 1, 120)
 
 

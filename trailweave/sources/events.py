@@ -54,12 +54,9 @@ def paths_of(tool: Column, given: Column, output: Column, home: str = "/root") -
 def _accesses(calls: DataFrame, errors: Column) -> DataFrame:
     """calls: (session_id, at, tool, given, output)."""
     tool, given = F.col("tool"), F.col("given")
-    error = F.when(errors, S.detect_output_error(F.col("output")))
-    events = F.concat(
-        F.array(F.struct(F.lit("tool").alias("type"), tool.alias("path"))),
-        F.transform(paths_of(tool, given, F.col("output")), lambda p: F.struct(F.lit("file").alias("type"), p.alias("path"))),
-        F.when(error.isNotNull(), F.array(F.struct(F.lit("error").alias("type"), error.alias("path")))).otherwise(F.array().cast("array<struct<type: string, path: string>>")),
-    )
+    calls = calls.withColumn("error", F.when(errors, S.detect_output_error(F.col("output")))).withColumn("paths", paths_of(tool, given, F.col("output")))
+    named = lambda kind, paths: F.transform(paths, lambda p: F.struct(F.lit(kind).alias("type"), p.alias("path")))
+    events = F.concat(named("tool", F.array(tool)), named("file", F.col("paths")), named("error", F.array_compact(F.array("error"))))
     return calls.select("session_id", "at", F.posexplode(events).alias("n", "e"), context_of(tool, given).alias("context")).select("session_id", "at", "n", "e.type", "e.path", "context")
 
 

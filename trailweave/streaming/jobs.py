@@ -63,10 +63,10 @@ def session_windows(stream: DataFrame, idle: str = IDLE, late: str = "1 hour") -
     return by.select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def impulses(stream: DataFrame, size: int = C.WINDOW, idle_ms: int = 2 * 3600 * 1000) -> DataFrame:
+def impulses(stream: DataFrame, size: int = C.WINDOW, idle_ms: int = 2 * 3600 * 1000, late: str = "1 hour") -> DataFrame:
     """Impulses of learning as operators.learning.impulses() gives them without hubs, by the window of recent vertices
     of each session in state: `size` names at most. Within a batch accesses are taken in event order; state that has
-    been idle for two hours goes."""
+    been idle for two hours of event time goes."""
 
     def fire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -87,7 +87,8 @@ def impulses(stream: DataFrame, size: int = C.WINDOW, idle_ms: int = 2 * 3600 *
             types.append(row.type)
             del names[:-size], types[:-size]
         state.update((names, types))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(row.at.timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["a", "b", "at", "id", "pos", "d"])
 
-    return stream.groupBy("session_id").applyInPandasWithState(fire, IMPULSES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark("at", late)
+    return timed.groupBy("session_id").applyInPandasWithState(fire, IMPULSES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
