@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,13 @@ def fresh(columns: Sequence[str], name: str) -> str:
     return name
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches cut smaller, so that a task holds few texts as Python strings at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def byte_blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """data in blocks of about `size` bytes that end before white space, so that no word is cut."""
     start = 0

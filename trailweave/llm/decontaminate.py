@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import byte_blocks, fresh
+from .common import byte_blocks, fresh, pieces
 
 #: Words of one automaton: the bound on what is broadcast at once.
 BLOCK_WORDS = 200_000
@@ -161,29 +162,35 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, hits: str) -> DataFrame:
-    """docs with a column `hits`: n_words, spans and items, after all blocks of the benchmark."""
+def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """docs (text, ...) after all blocks of the benchmark: what finish, with the result `schema`, makes of each batch and
+    of its rows' n_words, spans and items. A task runs one Python worker a block; with one block there is no other."""
     context = docs.sparkSession.sparkContext
-    out = docs.select("*", F.expr("cast(null as struct<n_words: bigint, spans: array<struct<first: bigint, beyond: bigint>>, items: array<string>>)").alias(hits))
-    schema = out.schema
-    for block in [*_blocks(benchmark, block_words)] or [[]]:
+    hits = fresh(docs.columns, "_hits")
+    known = docs.select("*", F.expr("cast(null as struct<n_words: bigint, spans: array<struct<first: bigint, beyond: bigint>>, items: array<string>>)").alias(hits))
+    blocks = [*_blocks(benchmark, block_words)] or [[]]
+    for number, block in enumerate(blocks, 1):
         auto = context.broadcast(Automaton.of(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], auto=auto) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], auto=auto, first=number == 1, last=number == len(blocks)) -> Iterator[pa.RecordBatch]:
             automaton = auto.value
-            for batch in batches:
-                at, before = batch.schema.get_field_index(hits), None
+            for batch in pieces(batches):
+                at = batch.schema.get_field_index(hits)
                 made = []
-                for text, before in zip(batch.column("text").to_pylist(), batch.column(at).to_pylist(), strict=True):
+                for text, before in zip(batch.column("text").to_pylist(), [None] * batch.num_rows if first else batch.column(at).to_pylist(), strict=True):
                     count, spans, found = automaton.hits(text)
                     if before:
                         spans = _merged(spans + [(s["first"], s["beyond"]) for s in before["spans"]])
                         found = found | {*before["items"]}
                     made.append({"n_words": count, "spans": [{"first": s, "beyond": e} for s, e in spans], "items": sorted(found)})
-                yield batch.set_column(at, hits, pa.array(made, batch.schema.field(at).type))
+                yield finish(batch, made) if last else batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
+
+        known = known.mapInArrow(run, schema if number == len(blocks) else known.schema)
+    return known
 
-        out = out.mapInArrow(run, schema)
-    return out
+
+def _hit(x: dict) -> int:
+    return sum(s["beyond"] - s["first"] for s in x["spans"])
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -192,26 +199,24 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: in
     A null or empty text has no words and is clean. Items that are null or without words never match; items under
     one number count as one. Repeated rows of docs keep their number; columns other than these are ignored. With an
     empty benchmark all is clean."""
-    rows = _through(docs.select("doc_id", F.col("text").cast("string")), benchmark, window, block_words, "_hits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = batch.column("_hits").to_pylist()
-            hit = [sum(s["beyond"] - s["first"] for s in x["spans"]) for x in seen]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([x["n_words"] for x in seen], pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(x["items"]) for x in seen], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x["items"]).encode()).hexdigest() for x in seen], pa.string()),
-                    pa.array([n > 0 and coverage * n >= x["n_words"] for n, x in zip(hit, seen, strict=True)], pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+    def digest(batch: pa.RecordBatch, seen: list[dict]) -> pa.RecordBatch:
+        hit = [_hit(x) for x in seen]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([x["n_words"] for x in seen], pa.int64()),
+                pa.array(hit, pa.int64()),
+                pa.array([len(x["items"]) for x in seen], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x["items"]).encode()).hexdigest() for x in seen], pa.string()),
+                pa.array([n > 0 and coverage * n >= x["n_words"] for n, x in zip(hit, seen, strict=True)], pa.bool_()),
+            ],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    return _through(docs.select("doc_id", F.col("text").cast("string")), benchmark, window, block_words, digest, schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -235,23 +240,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int
     Where the words that are hit reach one in `coverage`, the row goes; else the hit spans, each a whole window or
     item at least, are cut from the text, and n_chars, if there is one, is counted anew. Rows without a hit stay as
     they are, null texts too."""
-    columns, hits = docs.columns, fresh(docs.columns, "_hits")
-    rows = _through(docs.withColumn("text", F.col("text").cast("string")), benchmark, window, block_words, hits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, texts = batch.column(hits).to_pylist(), batch.column("text").to_pylist()
-            keep_row = []
-            for i, x in enumerate(seen):
-                hit = sum(s["beyond"] - s["first"] for s in x["spans"])
-                keep_row.append(not (hit and coverage * hit >= x["n_words"]))
-                if hit and keep_row[-1]:
-                    texts[i] = without_spans(texts[i], [(s["first"], s["beyond"]) for s in x["spans"]])
-            at = batch.schema.get_field_index("text")
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep_row, pa.bool_()))
-
-    return _recount(rows.mapInArrow(run, rows.schema).select(*columns))
+    columns, typed = docs.columns, docs.withColumn("text", F.col("text").cast("string"))
+
+    def cut(batch: pa.RecordBatch, seen: list[dict]) -> pa.RecordBatch:
+        texts, stays = batch.column("text").to_pylist(), []
+        for i, x in enumerate(seen):
+            hit = _hit(x)
+            stays.append(not (hit and coverage * hit >= x["n_words"]))
+            if hit and stays[-1]:
+                texts[i] = without_spans(texts[i], [(s["first"], s["beyond"]) for s in x["spans"]])
+        at = batch.schema.get_field_index("text")
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns).filter(pa.array(stays, pa.bool_()))
+
+    return _recount(_through(typed, benchmark, window, block_words, cut, typed.schema))
 
 
 def _recount(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, pieces
 
 #: Characters that are held as n-grams at once.
 CHARACTERS_AT_ONCE = 1 << 18
@@ -107,7 +107,7 @@ def train(labelled: DataFrame, orders: int = 3, buckets: int = 1 << 15, max_lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums, documents = Grams(orders, buckets), {}, {}
-        for batch in batches:
+        for batch in pieces(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(texts, langs, strict=True):
@@ -144,7 +144,7 @@ def _scored(docs: DataFrame, model: Model, lang: str, score: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         grams = Grams(model.orders, len(model.weights))
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores = model.predict(batch.column("text").to_pylist(), grams)
             yield batch.append_column(lang, pa.array(langs, pa.string())).append_column(score, pa.array(scores, pa.float64()))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, connected_components, keep, spread_join
+from .common import byte_blocks, connected_components, keep, pieces, spread_join
 
 SEGMENT_BITS = 32
 #: Members of a key that are compared pair by pair; beyond it, the exact second dealing takes over.
@@ -76,7 +76,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> Data
     """(doc_id, fp): the fingerprint of every text as bigint. A null text has no words: fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             prints = _fingerprints(batch.column(1).to_pylist(), shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 

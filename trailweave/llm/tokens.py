@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Pre-tokens whose counts a task keeps, and symbols merged at once: bounds on memory, not on what is counted.
 KEPT_COUNTS, SYMBOLS_AT_ONCE, WORDS_AT_ONCE, LONG_TEXT = 400_000, 1 << 20, 200_000, 1 << 20
 _NO_RANK = np.iinfo(np.int64).max
@@ -141,7 +143,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
-        for batch in batches:
+        for batch in pieces(batches):
             counter = counter or ByteLevelCounter(json.loads(definition.value))
             counts = counter.counts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "n_bytes"])
