@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..sources.shared import kept
 
 
 @dataclass(frozen=True)
@@ -56,9 +57,11 @@ def impulses(log: DataFrame, hubs: bool = True) -> DataFrame:
         return fired
     order = F.struct("at", "id", "pos")
     first = fired.groupBy("a", "b").agg(F.min(order).alias("first"))
-    ends = first.select(F.col("a").alias("end"), "first").unionByName(first.select(F.col("b").alias("end"), "first"))
+    ends = first.select(F.explode(F.array("a", "b")).alias("end"), "first")
     # A vertex is a hub once it has more partners than HUB_DEGREE: after the first impulse of the one beyond them.
-    hub = ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("first"))).filter(F.col("n") <= C.HUB_DEGREE + 1).filter(F.col("n") == C.HUB_DEGREE + 1)
+    ranked = ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("first"))).filter(F.col("n") <= C.HUB_DEGREE + 1)
+    # One row a hub, written once: it is joined to both ends.
+    hub = kept(ranked.filter(F.col("n") == C.HUB_DEGREE + 1).select("end", "first"))
     hub_a, hub_b = (hub.select(F.col("end").alias(c), F.col("first").alias(f"hub_{c}")) for c in ("a", "b"))
     damped = F.coalesce(order > F.col("hub_a"), F.lit(False)) | F.coalesce(order > F.col("hub_b"), F.lit(False))
     marked = fired.join(hub_a, "a", "left").join(hub_b, "b", "left")
