@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep
+from .common import SPACE_CLASS, keep, spread_join
 
 #: Names of the transformed statistics, and for each the spread below which differences mean nothing: it is added
 #: to the estimated spread, so that a statistic that is the same in most texts doesn't make the matrix singular.
@@ -122,9 +122,11 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = STEPS) -> DataF
     key = ["g_lang", "g_source", "start"]
     started = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1) + (F.col("h") % 2).cast("int"))))
     now = keep(_factored(_moments(started, key), F.lit(1.0)))
+    # A group may hold a third of the rows: what is small is joined to them spread out.
+    by = [F.col(a) for a in FEATURES]
     for _ in range(steps):
         each = _with_distance(rows.join(now.drop("n"), ["g_lang", "g_source"])).withColumn("step", _step())
-        near = each.join(_nearest(each, key, share).drop("edge"), key).filter("step <= cut").select(*key, *FEATURES)
+        near = spread_join(each, _nearest(each, key, share).drop("edge"), key, by, "inner").filter("step <= cut").select(*key, *FEATURES)
         now = keep(_factored(_moments(near, key), F.lit(1.0)))
     best = now.withColumn("rank", F.row_number().over(Window.partitionBy("g_lang", "g_source").orderBy("det", "start"))).filter("rank = 1").drop("rank")
     group = ["g_lang", "g_source"]
@@ -158,10 +160,10 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
         F.when(small & (F.col("n_lang") < least_rows), "").otherwise(F.col("lang_")).alias("g_lang"),
         F.when(small, "").otherwise(F.col("source_")).alias("g_source"),
     )
-    placed = base.join(groups, ["lang_", "source_"], "left").drop("lang_", "source_")
+    placed = spread_join(base, groups, ["lang_", "source_"], [F.col("doc_id"), F.col("n_words")]).drop("lang_", "source_")
     rows = placed.filter("not base_failed").select("g_lang", "g_source", "h", *FEATURES)
     found = estimates(rows)
     enough = rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("n")).filter(F.col("n") >= least_rows).drop("n")
-    out = _with_distance(placed.join(found.join(enough, ["g_lang", "g_source"]), ["g_lang", "g_source"], "left"))
+    out = _with_distance(spread_join(placed, found.join(enough, ["g_lang", "g_source"]), ["g_lang", "g_source"], [F.col("doc_id"), F.col("n_words")]))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
