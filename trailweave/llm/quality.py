@@ -125,12 +125,12 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = STEPS) -> DataF
     # A group may hold a third of the rows: what is small is joined to them spread out.
     by = [F.col(a) for a in FEATURES]
     for _ in range(steps):
-        each = _with_distance(rows.join(now.drop("n"), ["g_lang", "g_source"])).withColumn("step", _step())
+        each = _with_distance(spread_join(rows, now.drop("n"), ["g_lang", "g_source"], by, "inner")).withColumn("step", _step())
         near = spread_join(each, _nearest(each, key, share).drop("edge"), key, by, "inner").filter("step <= cut").select(*key, *FEATURES)
         now = keep(_factored(_moments(near, key), F.lit(1.0)))
     best = now.withColumn("rank", F.row_number().over(Window.partitionBy("g_lang", "g_source").orderBy("det", "start"))).filter("rank = 1").drop("rank")
     group = ["g_lang", "g_source"]
-    each = _with_distance(rows.join(best.drop("n"), group)).withColumn("step", _step())
+    each = _with_distance(spread_join(rows, best.drop("n"), group, by, "inner")).withColumn("step", _step())
     median = _nearest(each, group, 0.5).select(*group, F.greatest(F.col("edge") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
     plain = best.select(*group, *(f"m_{a}" for a in FEATURES), *(f"c_{a}_{b}" for a, b in _PAIRS))
     return keep(_factored(plain.join(median, group), F.col("scale")).drop("scale"))
