@@ -1,12 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
-A text is a sequence of lines with words, each known by the hash of its words. A passage is a shortest run of whole
-lines with `min_words` words or more; a longer repeated run is a chain of passages. Within the first half of a passage,
-the least hash among the runs of lines of half that many words is its fingerprint: equal passages have equal
-fingerprints, at equal places, so any passage that repeats has a fingerprint that repeats. Only passages around such
-a fingerprint are extended to their both ends and compared as wholes; all but the first occurrence (by doc_id, then by
-line) are deleted. Each step is a window over one text, a grouped minimum or an equi-join: pairs of occurrences are
-never formed."""
+A text is a sequence of lines with words, each known by the hash of its words. A passage is a run of whole lines with
+`min_words` words or more that has fewer without its last line, or without its first one. Any longer run is covered by
+the passages in it: a line with enough words after it by the passage that begins there, any other by the one that ends
+there or by the run's first. Within the first half of a passage, the least hash among the runs of lines of half that
+many words is its fingerprint: equal passages have equal fingerprints, at equal places, so any passage that repeats
+has a fingerprint that repeats. Only passages around such a fingerprint are extended to their both ends and compared
+as wholes; all but the first occurrence (by doc_id, then by line) are deleted. Each step is a window over one text, a
+grouped minimum or an equi-join: pairs of occurrences are never formed."""
 
 from __future__ import annotations
 
@@ -39,13 +40,19 @@ def passages(docs: DataFrame, min_words: int) -> DataFrame:
     by_words = Window.partitionBy(*key).orderBy("at")
     short, whole = by_words.rangeBetween(0, fp_words - 1), by_words.rangeBetween(0, min_words - 1)
     gram = placed.select(
-        *key, "line", "at",
+        *key, "line", "at", "h", (F.col("at") + F.col("n")).alias("upto"),
         F.when(F.max(F.col("at") + F.col("n")).over(short) >= F.col("at") + fp_words, F.xxhash64(F.collect_list("h").over(short))).alias("gram"),
         F.when(F.max(F.col("at") + F.col("n")).over(whole) >= F.col("at") + min_words, F.struct(F.xxhash64(F.collect_list("h").over(whole)).alias("passage"), F.max("line").over(whole).alias("last"))).alias("w"),
     )
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "line"))).over(by_words.rangeBetween(0, min_words - fp_words - 1))
-    chosen = gram.withColumn("f", least).filter("w is not null")
-    return chosen.select(*key, "line", "w.last", "w.passage", F.col("f.gram").alias("fp"), F.col("f.line").alias("fp_line"))
+    gram = gram.withColumn("f", least)
+    # The passage that ends here, if it isn't the one that begins at its first line; it has that one's fingerprint.
+    back = Window.partitionBy(*key).orderBy("upto").rangeBetween(1 - min_words, 0)
+    longer = F.when(F.col("at") - F.min("at").over(back) >= min_words, F.struct(F.min("line").over(back).alias("line"), F.col("line").alias("last"), F.xxhash64(F.collect_list("h").over(back)).alias("passage"), F.first("f").over(back).alias("f")))
+    begins = F.when(F.col("w").isNotNull(), F.struct("line", F.col("w.last").alias("last"), F.col("w.passage").alias("passage"), "f"))
+    both = gram.select(*key, begins.alias("begins"), longer.alias("ends"))
+    each = both.select(*key, F.explode(F.array_compact(F.array("begins", "ends"))).alias("p"))
+    return each.select(*key, "p.line", "p.last", "p.passage", F.col("p.f.gram").alias("fp"), F.col("p.f.line").alias("fp_line"))
 
 
 def repeats(docs: DataFrame, min_words: int) -> DataFrame:
@@ -58,8 +65,8 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     extended = keep(extended.select("doc_id", "th", "line", "last", "passage", order.alias("place")))
     first = extended.groupBy("passage").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = spread_join(extended, first, ["passage"], [F.col("doc_id"), F.col("line")], "inner").filter("place > first")
-    # Passages that start later end no earlier: each run adds the lines beyond those before it.
-    upto = F.coalesce(F.max("last").over(Window.partitionBy("doc_id", "th").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    # Each run adds the lines beyond those before it.
+    upto = F.coalesce(F.max("last").over(Window.partitionBy("doc_id", "th").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = later.select("doc_id", "th", "line", "last", upto.alias("upto")).filter("last > upto")
     start = F.greatest(F.col("line"), F.col("upto") + 1)
     runs = runs.select("doc_id", "th", F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
@@ -107,10 +114,13 @@ worded as (
 placed as (
   select *, sum(n) over (partition by doc_id order by line) - n as pos from worded),
 grown as (
-  select doc_id, line, pos, string_agg(words, chr(10)) over w as passage, max(line) over w as last, max(pos + n) over w as ends
-  from placed window w as (partition by doc_id order by pos range between current row and 49 following)),
+  select doc_id, line, string_agg(words, chr(10)) over w as passage, max(line) over w as last, max(pos + n) over w - pos as size
+  from placed window w as (partition by doc_id order by pos range between current row and 49 following)
+  union
+  select doc_id, min(line) over w, string_agg(words, chr(10)) over w, line, pos + n - min(pos) over w
+  from placed window w as (partition by doc_id order by pos + n range between 49 preceding and current row)),
 counted as (
-  select *, row_number() over (partition by passage order by doc_id, line) as k from grown where ends >= pos + 50),
+  select *, row_number() over (partition by passage order by doc_id, line) as k from grown where size >= 50),
 gone as (
   select distinct l.doc_id, l.line from lines l join counted c on c.doc_id = l.doc_id and c.k > 1 and l.line between c.line and c.last)
 select d.doc_id, coalesce(x.n, 0)::bigint as n_deleted_lines,
