@@ -42,14 +42,16 @@ def keep(df: DataFrame) -> DataFrame:
 FEW_ROWS = 50_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], how: str = "left", salts: int = 16) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], how: str = "left", salts: int = 16, few: int = FEW_ROWS) -> DataFrame:
     """Joins left, in which one key may hold a third of the rows, to right, whose rows are thin and few a key.
 
-    right is written first, so that its size is known. Up to FEW_ROWS rows are broadcast, and left stays where it is.
-    Beyond it, rows of a key are dealt to `salts` slots by a hash of `by`, and right is repeated once a slot."""
-    right = keep(right)
-    if right.count() <= FEW_ROWS:
-        return left.join(F.broadcast(right), list(on), how)
+    right is written first, so that its size is known. Up to `few` rows are broadcast, and left stays where it is.
+    Beyond it, rows of a key are dealt to `salts` slots by a hash of `by`, and right is repeated once a slot. With few
+    0, for a right that grows with the texts, that is the way at every size, and nothing is written or counted."""
+    if few:
+        right = keep(right)
+        if right.count() <= few:
+            return left.join(F.broadcast(right), list(on), how)
     salted_left = left.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     salted_right = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return salted_left.join(salted_right, [*on, "_slot"], how).drop("_slot")

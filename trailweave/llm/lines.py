@@ -60,11 +60,11 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     found = keep(passages(docs, min_words))
     places = found.select("fp", "doc_id", "th", "fp_line").distinct()
     repeated = places.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    extended = spread_join(found, repeated, ["fp"], [F.col("doc_id"), F.col("line")], "left_semi")
+    extended = spread_join(found, repeated, ["fp"], [F.col("doc_id"), F.col("line")], "left_semi", few=0)
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "th", "line")
     extended = keep(extended.select("doc_id", "th", "line", "last", "passage", order.alias("place")))
     first = extended.groupBy("passage").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread_join(extended, first, ["passage"], [F.col("doc_id"), F.col("line")], "inner").filter("place > first")
+    later = spread_join(extended, first, ["passage"], [F.col("doc_id"), F.col("line")], "inner", few=0).filter("place > first")
     # Each run adds the lines beyond those before it.
     upto = F.coalesce(F.max("last").over(Window.partitionBy("doc_id", "th").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = later.select("doc_id", "th", "line", "last", upto.alias("upto")).filter("last > upto")
@@ -86,8 +86,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     key, gone, deleted = fresh(columns, "_k"), fresh(columns, "_gone"), "_deleted_lines"
     typed = docs.withColumn("text", F.col("text").cast("string"))
     marks = repeats(typed.select("doc_id", "text"), min_words).select(F.struct("doc_id", "th").alias(key), F.col("gone").alias(gone))
-    # The key as one struct joins nulls too.
-    out = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th"))).join(marks, key, "left")
+    # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size.
+    out = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th"))).join(marks.hint("merge"), key, "left")
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
     out = out.withColumn(deleted, F.coalesce(F.aggregate(gone, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
     out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
