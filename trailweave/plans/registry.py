@@ -388,6 +388,21 @@ def _similar(spark, sf_dir, least, top):
     return recall.similar(vectors.withColumnRenamed("vec_id", "id"), one, least, top).join(vectors.select(F.col("vec_id").alias("id"), "label"), "id")
 
 
+_EACH = "select q.vec_id as query_id, e.vec_id as id, e.label, greatest(-1.0, least(1.0, list_dot_product(e.embedding::double[], q.embedding::double[]))) as c from embeddings e, embeddings q where q.vec_id % 50 = 0"
+
+
+def _similar_each(spark, sf_dir, least, top):
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    queries = vectors.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return recall.similar_each(vectors, queries, least, top).join(vectors.select("id", "label"), "id")
+
+
+@query(f"select query_id, label::varchar as parent, round(max(c), 5) as confidence from ({_EACH}) where c >= 0.1 group by 1, 2")
+def j12_snippet_parents_each(spark, sf_dir):
+    hits = _similar_each(spark, sf_dir, 0.1, None)
+    return hits.groupBy("query_id", F.col("label").cast("string").alias("parent")).agg(F.round(F.max("confidence"), 5).alias("confidence"))
+
+
 @query(oracle.with_log("select distinct vertex from log where session_id = 3 except select vertex from log where session_id = 5"))
 def j16_recalled_not_opened(spark, sf_dir):
     log = access_log(spark, sf_dir)
@@ -799,6 +814,11 @@ def r08_similar(spark, sf_dir):
     return _similar(spark, sf_dir, 0.2, 10).select("id", F.round("confidence", 5).alias("confidence"))
 
 
+@query(f"select query_id, id, round(c, 5) as confidence from ({_EACH}) where c >= 0.2 qualify row_number() over (partition by query_id order by c desc, id) <= 10")
+def r08_similar_each(spark, sf_dir):
+    return _similar_each(spark, sf_dir, 0.2, 10).select("query_id", "id", F.round("confidence", 5).alias("confidence"))
+
+
 @query()
 def r05_with_snippets(spark, sf_dir):
     files = table(spark, sf_dir, "part").select(F.concat(F.lit("file:part/"), F.col("p_partkey").cast("string")).alias("id"), F.lit("file").alias("type"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"))
