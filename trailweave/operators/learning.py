@@ -8,6 +8,8 @@ The log has session_id, vertex, type, path, context, at, id, token_cost; (at, id
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,12 +96,16 @@ def learned_edges(log: DataFrame) -> DataFrame:
 
 
 def learned_vertices(log: DataFrame) -> DataFrame:
-    seen = log.groupBy("vertex", "type", "path").agg(
-        F.count("*").alias("access_count"), F.max("at").alias("last_accessed"), F.transform(F.array_sort(F.collect_set(F.struct("at", "id", "context"))), lambda x: x["context"]).alias("told")
-    )
+    # What a vertex holds grows with its contexts, not with its accesses, and only the latest new contexts are gathered.
+    key = ["vertex", "type", "path"]
+    told = log.groupBy(*key, "context").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.min(F.struct("at", "id")).alias("first"))
+    counts = told.groupBy(*key).agg(F.sum("n").alias("access_count"), F.max("last").alias("last_accessed"))
+    ranked = told.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("first"), F.desc("context")))).filter(F.col("k") <= C.CONTEXTS_RECORDED)
+    first = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "context"))).alias("told")).select(*(F.col(c).alias(f"{c}_") for c in key), "told")
+    seen = counts.join(first, reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key)))
     return seen.select(
         F.col("vertex").alias("id"), "type", "path", F.lit(1.0).alias("activation"), S.myelination(F.col("access_count")).alias("myelination"),
-        "access_count", "last_accessed", S.first_distinct(F.col("told"), C.CONTEXTS_RECORDED).alias("contexts"),
+        "access_count", "last_accessed", F.transform("told", lambda x: x["context"]).alias("contexts"),
     )
 
 
