@@ -3,15 +3,14 @@ import pytest
 from trailweave.llm import common
 
 
-@pytest.mark.parametrize("few", [0, 50_000])
+@pytest.mark.parametrize("join", [common.spread_join, common.group_join])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_spread_join_is_a_join(spark, monkeypatch, few, how):
+def test_spread_joins_are_joins(spark, join, how):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(common, "FEW_ROWS", few)
     left = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(60)], "id int, k int")
     right = spark.createDataFrame([(0, "a"), (2, "b"), (9, "c")], "k int, v string")
-    got, want = common.spread_join(left, right, ["k"], [F.col("id")], how), left.join(right, ["k"], how)
+    got, want = join(left, right, ["k"], [F.col("id")], how), left.join(right, ["k"], how)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from trailweave.llm import lines
 
+CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:][\x20\x09-\x0D])")
 SCHEMA = "doc_id bigint, text string, n_chars int, _gone string"
 
 
@@ -19,7 +20,7 @@ def brute(rows, min_words):
 
     seen, out = set(), {}
     for doc, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]))):
-        every = text.split("\n")
+        every = CUT.split(text)
         worded = [(i, w) for i, x in enumerate(every) if (w := tuple(re.findall(r"[^\x20\x09-\x0D]+", x)))]
         gone = set()
         repeated = set()
@@ -38,7 +39,7 @@ def brute(rows, min_words):
                         gone |= {*range(worded[k][0], worded[j][0] + 1)} if shortest else set()
                     seen.add(run)
         assert repeated <= gone
-        out[doc, text] = (len(gone), "\n".join(x for i, x in enumerate(every) if i not in gone))
+        out[doc, text] = (len(gone), "".join(x for i, x in enumerate(every) if i not in gone))
     return out
 
 
@@ -53,7 +54,7 @@ def check(spark, rows, min_words=50):
 @pytest.mark.parametrize("min_words", [2, 7, 12])
 def test_against_brute_force(spark, min_words):
     r = random.Random(min_words)
-    rows = [(d, "\n".join(" ".join(r.choice("aaaaaaab") for _ in range(r.choice((0, 1, 1, 2, 3, 9)))) for _ in range(r.randrange(25)))) for d in range(60)]
+    rows = [(d, "\n".join(" ".join(r.choice(["a"] * 7 + ["b", "a.", "b,"]) for _ in range(r.choice((0, 1, 1, 2, 3, 9)))) for _ in range(r.randrange(25)))) for d in range(60)]
     assert any(n for n, _ in check(spark, rows, min_words).values())
 
 
@@ -72,3 +73,19 @@ def test_sql_agrees(spark):
     duckdb.sql(f"create or replace view documents as from '{path}'")
     want = sorted(duckdb.sql(lines.ORACLE).fetchall())
     assert sorted(tuple(r) for r in lines.report(spark.read.parquet(path)).collect()) == want and any(r[1] for r in want)
+
+
+def test_passages_that_begin_and_end_inside_lines(spark):
+    passage = "and this is what they share, whole and word by word. " + "It has marks, as prose has, here and there. " * 3 + "".join(f"Part {i} of it, number {i}. " for i in range(6)) + "so it ends"
+    rows = [(1, "One begins so " + passage + " and goes on alone.\nMore of it."), (2, "Another\ntext with it: well, " + passage + " but ends otherwise"), (3, "Clean. Nothing shared, not at all.")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), 30).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and "number" not in got[2] and got[2].startswith("Another\ntext with it: well,")
+
+
+def test_only_what_fingerprints_lead_to_is_extended(spark):
+    text = "".join(f"Line {i} of the one, its own {i}.\n" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, "x y z.\n" + text)], "doc_id bigint, text string")
+    texts = lines.distinct_texts(docs, 30)
+    at = lines.fingerprints(texts, 30).groupBy("th").agg({"x": "collect_list"}).toDF("th", "xs")
+    assert lines.passages(texts, at, 30).count() > 0 and lines.passages(texts, at.limit(0), 30).count() == 0
+    assert at.selectExpr("sum(size(xs))").first()[0] < 0.8 * texts.selectExpr("sum(size(units))").first()[0]

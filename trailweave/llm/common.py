@@ -3,57 +3,40 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: White space as the word rules of the operators mean it, as a Java and as a Python pattern.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
+#: A table in the shared folder: cuts lineage, prunes columns, and survives lost executors.
+keep = shared.kept
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back. Cuts lineage, prunes columns, and
-    survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], how: str = "left", salts: int = 8) -> DataFrame:
+    """Joins left, in which one key may hold a third of the rows, to right, whose rows are thin and few a key.
 
+    Rows of a key are dealt to `salts` slots by a hash of `by`, and right is repeated once a slot. right may grow with
+    the texts: nothing is broadcast, at any size."""
+    return _slotted(left, right.hint("merge"), on, by, how, salts)
 
-#: Rows, of a few numbers each, that a join may broadcast.
-FEW_ROWS = 50_000
 
+def group_join(left: DataFrame, groups: DataFrame, on: Sequence[str], by: Sequence[Column], how: str = "left", salts: int = 8) -> DataFrame:
+    """The same for groups, one row a source or language, whose number doesn't grow with the texts: Spark broadcasts
+    them up to its own threshold (spark.sql.autoBroadcastJoinThreshold), which it checks; beyond it keys are spread."""
+    return _slotted(left, groups, on, by, how, salts)
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], how: str = "left", salts: int = 16, few: int = FEW_ROWS) -> DataFrame:
-    """Joins left, in which one key may hold a third of the rows, to right, whose rows are thin and few a key.
 
-    right is written first, so that its size is known. Up to `few` rows are broadcast, and left stays where it is.
-    Beyond it, rows of a key are dealt to `salts` slots by a hash of `by`, and right is repeated once a slot. With few
-    0, for a right that grows with the texts, that is the way at every size, and nothing is written or counted."""
-    if few:
-        right = keep(right)
-        if right.count() <= few:
-            return left.join(F.broadcast(right), list(on), how)
+def _slotted(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], how: str, salts: int) -> DataFrame:
     salted_left = left.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    salted_right = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_left.join(salted_right, [*on, "_slot"], how).drop("_slot")
 
 

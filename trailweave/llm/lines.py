@@ -1,13 +1,14 @@
 """Line dedup by winnowing over line hashes.
 
-A text is a sequence of lines with words, each known by the hash of its words. A passage is a run of whole lines with
-`min_words` words or more that has fewer without its last line, or without its first one. Any longer run is covered by
-the passages in it: a line with enough words after it by the passage that begins there, any other by the one that ends
-there or by the run's first. Within the first half of a passage, the least hash among the runs of lines of half that
-many words is its fingerprint: equal passages have equal fingerprints, at equal places, so any passage that repeats
-has a fingerprint that repeats. Only passages around such a fingerprint are extended to their both ends and compared
-as wholes; all but the first occurrence (by doc_id, then by line) are deleted. Each step is a window over one text, a
-grouped minimum or an equi-join: pairs of occurrences are never formed."""
+A text is a sequence of short lines: its lines, cut after the marks . ! ? , ; : too, so that a passage that begins or
+ends inside a line has whole short lines all the same. Each is known by the hash of its words. Of every three short
+lines in a row the least hash is a fingerprint, as is every short line of half `min_words` or more: a run of short
+lines with `min_words` words has one at least, and the same wherever it stands. Fingerprints that repeat are joined
+back to their positions, and only around these positions matches are extended, to both ends: to the runs of short
+lines through the position that have `min_words` words, but fewer without the last or without the first. Runs that are
+equal are joined to the first of them; later ones go. Longer matches are covered by such runs. Texts that repeat as a
+whole are one text until the end. Each step is a window over one text, a grouped minimum or an equi-join: pairs of
+occurrences are never formed."""
 
 from __future__ import annotations
 
@@ -16,97 +17,135 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, fresh, keep, spread_join
 
+MIN_WORDS = 30
+#: Where a text is cut: behind a line end, and behind a mark and the white space after it.
+_CUT = rf"(?<=\n)|(?<=[.!?,;:]{SPACE_CLASS})"
+_KEY = ["th", "th2"]
 
-def _words(line: Column) -> Column:
-    """The words of a line, one space between."""
-    return F.trim(F.regexp_replace(line, f"{SPACE_CLASS}+", " "))
-
-
-def passages(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, th, line, last, fp, fp_line, passage): every passage with its lines and its fingerprint.
-
-    A text is known by its doc_id and its hash th; rows that repeat both count as one text."""
-    key, fp_words = ["doc_id", "th"], min_words // 2
-    split = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = (
-        split.select(*key, "line", _words(F.col("raw")).alias("words"))
-        .filter("words <> ''")
-        .select(*key, "line", F.xxhash64("words").alias("h"), (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n"))
-        .repartition(*key)
-        .dropDuplicates([*key, "line"])
-    )
-    ordered = Window.partitionBy(*key).orderBy("line")
-    placed = lines.withColumn("at", F.sum("n").over(ordered) - F.col("n"))
-    by_words = Window.partitionBy(*key).orderBy("at")
-    short, whole = by_words.rangeBetween(0, fp_words - 1), by_words.rangeBetween(0, min_words - 1)
-    gram = placed.select(
-        *key, "line", "at", "h", (F.col("at") + F.col("n")).alias("upto"),
-        F.when(F.max(F.col("at") + F.col("n")).over(short) >= F.col("at") + fp_words, F.xxhash64(F.collect_list("h").over(short))).alias("gram"),
-        F.when(F.max(F.col("at") + F.col("n")).over(whole) >= F.col("at") + min_words, F.struct(F.xxhash64(F.collect_list("h").over(whole)).alias("passage"), F.max("line").over(whole).alias("last"))).alias("w"),
-    )
-    least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "line"))).over(by_words.rangeBetween(0, min_words - fp_words - 1))
-    gram = gram.withColumn("f", least)
-    # The passage that ends here, if it isn't the one that begins at its first line; it has that one's fingerprint.
-    back = Window.partitionBy(*key).orderBy("upto").rangeBetween(1 - min_words, 0)
-    longer = F.when(F.col("at") - F.min("at").over(back) >= min_words, F.struct(F.min("line").over(back).alias("line"), F.col("line").alias("last"), F.xxhash64(F.collect_list("h").over(back)).alias("passage"), F.first("f").over(back).alias("f")))
-    begins = F.when(F.col("w").isNotNull(), F.struct("line", F.col("w.last").alias("last"), F.col("w.passage").alias("passage"), "f"))
-    both = gram.select(*key, begins.alias("begins"), longer.alias("ends"))
-    each = both.select(*key, F.explode(F.array_compact(F.array("begins", "ends"))).alias("p"))
-    return each.select(*key, "p.line", "p.last", "p.passage", F.col("p.f.gram").alias("fp"), F.col("p.f.line").alias("fp_line"))
-
-
-def repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, th, gone): by text with something to delete, for its lines in order whether each goes."""
-    found = keep(passages(docs, min_words))
-    places = found.select("fp", "doc_id", "th", "fp_line").distinct()
-    repeated = places.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    extended = spread_join(found, repeated, ["fp"], [F.col("doc_id"), F.col("line")], "left_semi", few=0)
-    order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "th", "line")
-    extended = keep(extended.select("doc_id", "th", "line", "last", "passage", order.alias("place")))
-    first = extended.groupBy("passage").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread_join(extended, first, ["passage"], [F.col("doc_id"), F.col("line")], "inner", few=0).filter("place > first")
+
+def _pieces(text: Column) -> Column:
+    return F.split(text, _CUT)
+
+
+def _worded(text: Column) -> Column:
+    """(i, h, n) of each short line with words: its place among all, the hash of its words and their number."""
+    words = F.transform(_pieces(text), lambda p, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(p, f"{SPACE_CLASS}+", " ")).alias("w")))
+    count = lambda w: (F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) + 1).cast("int")
+    return F.transform(F.filter(words, lambda x: x["w"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["w"]).alias("h"), count(x["w"]).alias("n")))
+
+
+def _hashes(text: Column) -> list[Column]:
+    """128 bits of the text."""
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2")]
+
+
+def _total(units: Column) -> Column:
+    return F.aggregate(units, F.lit(0).cast("bigint"), lambda n, u: n + u["n"])
+
+
+def distinct_texts(docs: DataFrame, min_words: int) -> DataFrame:
+    """(th, th2, first, copies, units): the texts with enough words, each once; first: the place of its first document."""
+    split = docs.filter(F.col("text").isNotNull()).select(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id").alias("doc"), *_hashes(F.col("text")), _worded(F.col("text")).alias("units"))
+    enough = split.filter(_total(F.col("units")) >= min_words)
+    return enough.groupBy(*_KEY).agg(F.min("doc").alias("first"), (F.max("doc") != F.min("doc")).alias("copies"), F.any_value("units").alias("units"))
+
+
+def fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
+    """(fp, th, x): the selected fingerprints and where they are, x the number of the short line with words."""
+    # Lines of a few words are taken where there is nothing else: they repeat everywhere.
+    order = F.transform("units", lambda u: F.shiftrightunsigned(u["h"], 2) + F.when(u["n"] < 4, F.lit(1 << 62)).otherwise(F.lit(0)))
+    rows = texts.select("th", "units", order.alias("s"))
+
+    def selected(u: Column, x: Column) -> Column:
+        here = F.get("s", x)
+        no_more = {d: here <= F.get("s", x + d) for d in (-2, -1, 1, 2)}
+        least = (no_more[-2] & no_more[-1]) | (no_more[-1] & no_more[1]) | (no_more[1] & no_more[2])
+        return (u["n"] * 2 >= min_words) | F.coalesce(least, F.lit(False))
+
+    placed = F.filter(F.transform("units", lambda u, x: F.struct(F.when(selected(u, x), u["h"]).alias("h"), x.alias("x"))), lambda p: p["h"].isNotNull())
+    return rows.select("th", F.explode(placed).alias("p")).select(F.col("p.h").alias("fp"), "th", F.col("p.x").alias("x"))
+
+
+def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
+    """(th, th2, first, line, last, p1, p2): the runs around the positions at (th, xs), with 128 bits of their words."""
+    near = texts.join(at.hint("merge"), "th").select(*_KEY, "first", "xs", F.posexplode("units").alias("x", "u"))
+    lines = near.select(*_KEY, "first", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.array_contains("xs", F.col("x")).alias("hit"))
+    placed = lines.withColumn("at", F.sum("n").over(Window.partitionBy(*_KEY).orderBy("line")) - F.col("n")).withColumn("upto", F.col("at") + F.col("n"))
+    by_start, by_end = (Window.partitionBy(*_KEY).orderBy(c) for c in ("at", "upto"))
+    ahead, back = by_start.rangeBetween(0, min_words - 1), by_end.rangeBetween(1 - min_words, 0)
+
+    def run(w, first: Column, last: Column) -> Column:
+        hs = F.collect_list("h").over(w)
+        return F.struct(first.alias("line"), last.alias("last"), F.xxhash64(hs).alias("p1"), F.xxhash64(F.lit(1), hs).alias("p2"))
+
+    begins = F.when(F.max("hit").over(ahead) & (F.max("upto").over(ahead) >= F.col("at") + min_words), run(ahead, F.col("line"), F.max("line").over(ahead)))
+    ends = F.when(F.max("hit").over(back) & (F.col("upto") - F.min("at").over(back) >= min_words), run(back, F.min("line").over(back), F.col("line")))
+    both = placed.select(*_KEY, "first", begins.alias("begins"), ends.alias("ends"))
+    each = both.select(*_KEY, "first", F.explode(F.array_distinct(F.array_compact(F.array("begins", "ends")))).alias("p"))
+    return each.select(*_KEY, "first", "p.*")
+
+
+def repeats(texts: DataFrame, min_words: int) -> DataFrame:
+    """(th, th2, gone): by text of distinct_texts() that repeats passages, for its short lines whether each goes."""
+    found = fingerprints(texts, min_words)
+    again = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    at = spread_join(found, again, ["fp"], [F.col("th"), F.col("x")], "left_semi").groupBy("th").agg(F.collect_set("x").alias("xs"))
+    extended = keep(passages(texts, at, min_words).select(*_KEY, "line", "last", "p1", "p2", F.struct("first", *_KEY, "line").alias("place")))
+    first = extended.groupBy("p1", "p2").agg(F.min("place").alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = spread_join(extended, first, ["p1", "p2"], [F.col("th"), F.col("line")], "inner").filter("place > begin")
     # Each run adds the lines beyond those before it.
-    upto = F.coalesce(F.max("last").over(Window.partitionBy("doc_id", "th").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    runs = later.select("doc_id", "th", "line", "last", upto.alias("upto")).filter("last > upto")
+    upto = F.coalesce(F.max("last").over(Window.partitionBy(*_KEY).orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    runs = later.select(*_KEY, "line", "last", upto.alias("upto")).filter("last > upto")
     start = F.greatest(F.col("line"), F.col("upto") + 1)
-    runs = runs.select("doc_id", "th", F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
+    runs = runs.select(*_KEY, F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
     flags = F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(F.array_repeat(F.lit(False), r["stay"]), F.array_repeat(F.lit(True), r["go"]))))
-    return runs.groupBy("doc_id", "th").agg(flags.alias("gone"))
+    return runs.groupBy(*_KEY).agg(flags.alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs, all columns, without later repeats of runs of lines with `min_words` words or more, and with a column
-    _deleted_lines, how many lines of the text went (in place of any column of that name).
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, all columns, without later repeats of runs of short lines with `min_words` words or more, and with a
+    column _deleted_lines, how many short lines of the text went (in place of any column of that name).
 
-    Lines are equal if their words are. Repeats within a text count too. Lines without words stay unless they are
-    within a run. The first occurrence is the one of the smallest doc_id (nulls last), then by line; of different
+    Short lines are equal if their words are. Repeats within a text count too. Lines without words stay unless they
+    are within a run. The first occurrence is the one of the smallest doc_id (nulls last), then by line; of different
     texts under one doc_id, by their hash. Rows that repeat both doc_id and text are one text and get the same
-    result. Null texts stay null. n_chars, if there is one, is counted anew where lines went."""
+    result. Null texts stay null, empty and short ones as they are; a text of any length is one row of hashes, a fifth
+    of its size. n_chars, if there is one, is counted anew where lines went. An empty table gives an empty result;
+    columns other than these pass through, whatever their names."""
     columns = docs.columns
-    key, gone, deleted = fresh(columns, "_k"), fresh(columns, "_gone"), "_deleted_lines"
+    key, mark, deleted = fresh(columns, "_k"), fresh(columns, "_mark"), "_deleted_lines"
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    marks = repeats(typed.select("doc_id", "text"), min_words).select(F.struct("doc_id", "th").alias(key), F.col("gone").alias(gone))
-    # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size.
-    out = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th"))).join(marks.hint("merge"), key, "left")
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
-    out = out.withColumn(deleted, F.coalesce(F.aggregate(gone, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
-    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    texts = keep(distinct_texts(typed.select("doc_id", "text"), min_words))
+    # The null column keeps (th, th2) of a text that only repeats as a whole.
+    marks = texts.select(*_KEY, "first", "copies").join(repeats(texts, min_words), _KEY, "left").filter("copies or gone is not null")
+    marks = marks.select(F.struct(*_KEY).alias(key), F.struct("first", "copies", "gone").alias(mark))
+    out = spread_join(typed.drop(deleted).withColumn(key, F.when(F.col("text").isNotNull(), F.struct(*_hashes(F.col("text"))))), marks, [key], [F.col("doc_id")], "left")
+    pieces = _pieces(F.col("text"))
+    said = F.transform(pieces, lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
+    begin, end = F.array_position(said, True), F.size(said) - F.array_position(F.reverse(said), True) + 1
+    copy = F.col(f"{mark}.copies") & (F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id") > F.col(f"{mark}.first"))
+    gone = F.when(copy, F.transform(said, lambda _, i: (i + 1).between(begin, end))).otherwise(F.col(f"{mark}.gone"))
+    gone = F.when(F.col(mark).isNotNull(), gone)
+    out = out.withColumn(mark, gone)
+    left = F.array_join(F.filter(pieces, lambda p, i: ~F.coalesce(F.get(mark, i), F.lit(False))), "")
+    out = out.withColumn(deleted, F.coalesce(F.aggregate(mark, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
+    out = out.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[c for c in columns if c != deleted], deleted)
 
 
-def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_deleted_lines, text): every row of docs as dedup_lines() leaves it."""
     out = dedup_lines(docs.select("doc_id", "text"), min_words)
     return out.select("doc_id", F.col("_deleted_lines").cast("bigint").alias("n_deleted_lines"), "text")
 
 
 #: The same by comparing the words of all passages, for DuckDB.
-ORACLE = r"""
+ORACLE = rf"""
 with raw as (
-  select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line
-  from documents where text is not null),
+  select doc_id, unnest(p) as raw, generate_subscripts(p, 1) as line
+  from (select doc_id, string_split(regexp_replace(text, '(\n|[.!?,;:][\x20\x09-\x0D])', '\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null)),
 lines as (
   select doc_id, line, raw, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) as words from raw),
 worded as (
@@ -115,18 +154,18 @@ placed as (
   select *, sum(n) over (partition by doc_id order by line) - n as pos from worded),
 grown as (
   select doc_id, line, string_agg(words, chr(10)) over w as passage, max(line) over w as last, max(pos + n) over w - pos as size
-  from placed window w as (partition by doc_id order by pos range between current row and 49 following)
+  from placed window w as (partition by doc_id order by pos range between current row and {MIN_WORDS - 1} following)
   union
   select doc_id, min(line) over w, string_agg(words, chr(10)) over w, line, pos + n - min(pos) over w
-  from placed window w as (partition by doc_id order by pos + n range between 49 preceding and current row)),
+  from placed window w as (partition by doc_id order by pos + n range between {MIN_WORDS - 1} preceding and current row)),
 counted as (
-  select *, row_number() over (partition by passage order by doc_id, line) as k from grown where size >= 50),
+  select *, row_number() over (partition by passage order by doc_id, line) as k from grown where size >= {MIN_WORDS}),
 gone as (
   select distinct l.doc_id, l.line from lines l join counted c on c.doc_id = l.doc_id and c.k > 1 and l.line between c.line and c.last)
 select d.doc_id, coalesce(x.n, 0)::bigint as n_deleted_lines,
   case when d.text is null then null when x.n is null then d.text else coalesce(x.kept, '') end as text
 from documents d left join (
-  select l.doc_id, count(g.line) as n, string_agg(case when g.line is null then l.raw end, chr(10) order by l.line) as kept
+  select l.doc_id, count(g.line) as n, string_agg(case when g.line is null then l.raw end, '' order by l.line) as kept
   from lines l left join gone g on g.doc_id = l.doc_id and g.line = l.line group by 1 having count(g.line) > 0) x
 on x.doc_id = d.doc_id
 """
