@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.llm import warc
 
@@ -69,3 +70,31 @@ def test_sql_agrees(spark):
     duckdb.sql(f"create or replace view pages as from '{path}'")
     want = sorted(map(str, duckdb.sql(warc.ORACLE).fetchall()))
     assert sorted(str(tuple(r)) for r in warc.round_trip(spark.read.parquet(path)).collect()) == want
+
+
+def test_long_heads_foreign_and_damaged_records(spark, tmp_path):
+    def member(head, block=b"HTTP/1.1 200 OK\r\n\r\nbody"):
+        return gzip.compress(b"WARC/1.0\r\n" + head + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    good = warc.record(1, "u", b"first", "response", None, warc.digest_of(b"first"))
+    long = member(b"WARC-Target-URI: x:" + random.Random(1).randbytes(300_000).hex().encode() + b"\r\nWARC-Type: response\r\nContent-Length: 23")
+    rest = [member(b"warc-type: warcinfo"), member(b"WARC-Type: response"), member(b"WARC-Type: response\r\nContent-Length: many"), member(b"WARC-Type: response\r\nContent-Length: 4", b"none")]
+    (tmp_path / "a.warc.gz").write_bytes(good + long + b"".join(rest))
+    rows = warc.read(spark, f"file://{tmp_path}", range_bytes=1000).collect()
+    assert [(r.record_type, r.payload and bytes(r.payload)) for r in rows] == [("response", b"first"), ("response", b"body"), ("warcinfo", None), ("response", b"body"), ("response", b"body"), ("response", b"none")]
+    broken = bytearray(long)
+    broken[len(broken) // 2] ^= 255
+    (tmp_path / "a.warc.gz").write_bytes(good + bytes(broken) + good + good[:-5])
+    for ranges in (100, 1 << 20):
+        read = lambda mode, ranges=ranges: warc.read(spark, f"file://{tmp_path}", range_bytes=ranges, mode=mode)
+        assert [r.page_id for r in read("DROPMALFORMED").collect()] == [1, 1]
+        damaged = [r.payload_bytes for r in read("PERMISSIVE").collect() if r.record_type == "damaged"]
+        assert len(damaged) == 2 and all(damaged)
+        with pytest.raises(Exception, match="no whole WARC record"):
+            read("FAILFAST").collect()
+
+
+def test_many_repeated_payloads(spark):
+    pages = spark.range(60_000).selectExpr("id as page_id", "'u' as url", "concat('page ', id div 2) as html")
+    got = warc.round_trip(pages).groupBy("record_type").agg(F.count("*"), F.sum((F.col("refers_to") == F.col("page_id") - 1).cast("int")))
+    assert sorted(map(tuple, got.collect())) == [("response", 30_000, None), ("revisit", 30_000, 30_000)]

@@ -2,8 +2,10 @@
 
 The source cuts files into byte ranges without looking inside. A task looks for the magic number of gzip in its range,
 takes a place for the start of a member only if it unpacks to the head of a WARC record, and owns the records that
-start in its range; it reads beyond the range to end the last one. Files are opened by pyarrow's file systems, so the
-folder may be any that they know; only names that the job committed are visible."""
+start in its range; it reads beyond the range to end the last one. A place that should be a record and isn't whole
+is told (option mode). Files are opened by pyarrow's file systems, so the folder may be any that they know; only names
+that the job committed are visible. Which payloads repeat is found from digests and numbers alone; then each payload
+is shuffled once, by its digest, at every size."""
 
 from __future__ import annotations
 
@@ -20,9 +22,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import shared_dir, spread_join
+from ..sources.shared import new_path
+from .common import pieces, spread_join
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES, CHUNK_BYTES, FILE_BYTES, BATCH_BYTES = 16 << 20, 1 << 18, 128 << 20, 4 << 20
@@ -68,7 +71,7 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     """Each attempt of a task writes files of its own; commit() lists those of the attempts that count."""
 
     def __init__(self, path: str, file_bytes: int) -> None:
@@ -78,7 +81,8 @@ class WarcWriter(DataSourceWriter):
         fs, root = _file_system(self.path)
         fs.create_dir(root, recursive=True)
         names, out, size = [], None, 0
-        for row in iterator:
+        rows = (row for batch in pieces(iterator, 100) for row in batch.to_pylist())
+        for row in rows:
             if out is None or size >= self.file_bytes:
                 if out is not None:
                     out.close()
@@ -131,64 +135,87 @@ class Window:
 
 
 def _unpacked(window: Window, least: int | None) -> tuple[bytes, int] | None:
-    """The member at the window's beginning, unpacked: its first `least` bytes (None: all) and how long it is packed.
-    None if there is no whole member."""
+    """The member at the window's beginning, unpacked: its first `least` bytes or those before it is damaged (None:
+    all) and how long it is packed. None if there is no whole member."""
     packed, used, out = zlib.decompressobj(31), 0, bytearray()
     try:
         while not packed.eof and (least is None or len(out) < least):
             if used == len(window.data) and not window.more():
                 break
-            piece = bytes(window.data[used : used + CHUNK_BYTES])
+            piece = bytes(window.data[used : used + (CHUNK_BYTES if least is None else 1 << 12)])
             used += len(piece)
             out += packed.decompress(piece)
     except zlib.error:
-        return None
+        return (bytes(out), 0) if least is not None else None
     if least is not None:
         return bytes(out), 0
     return (bytes(out), used - len(packed.unused_data)) if packed.eof else None
 
 
 def is_record(window: Window) -> bool:
-    head = _unpacked(window, 1 << 12)
-    return head is not None and re.match(rb"WARC/\d+\.\d+\r\n(?:[^\r\n]*\r\n)*?WARC-Type:", head[0]) is not None
-
-
-def members(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
-    """The unpacked records that start from start on and before end."""
-    window, sure = Window(file, start), False
+    """Whether the member at the window's beginning unpacks to the head of a WARC record, however long that is."""
+    least = 1 << 12
+    while (got := _unpacked(window, least)) is not None and re.match(rb"WARC/\d+\.\d+\r\n", got[0]):
+        head, ended, _ = got[0].partition(b"\r\n\r\n")
+        if ended:
+            return re.search(rb"(?i)\r\nWARC-Type:", head) is not None
+        if len(got[0]) < least:  # damaged within its head
+            return True
+        least *= 4
+    return False
+
+
+def members(file: pa.NativeFile, start: int, end: int, mode: str = "FAILFAST") -> Iterator[bytes | int]:
+    """The unpacked records that start from start on and before end. Where a member should be, at the file's beginning,
+    after a member or where a record's head unpacks, and no whole record is, FAILFAST raises; PERMISSIVE gives how
+    many bytes were passed over, a number in place of a record; DROPMALFORMED gives nothing."""
+    window, expected, lost = Window(file, start), start == 0, None
     while window.at < end:
         while len(window.data) < len(MAGIC) and window.more():
             pass
         if not window.data:
-            return
-        if window.data.startswith(MAGIC) and (sure or is_record(window)) and (got := _unpacked(window, None)):
+            break
+        head = window.data.startswith(MAGIC) and is_record(window)
+        if head and (got := _unpacked(window, None)):
+            if lost is not None:
+                yield window.at - lost
+                lost = None
             yield got[0]
             window.drop(got[1])
-            sure = window.data[: len(MAGIC)] == MAGIC and is_record(window)
+            expected = True
             continue
-        sure = False
+        if head or expected:
+            if mode == "FAILFAST":
+                raise ValueError(f"no whole WARC record at byte {window.at}")
+            lost = window.at if lost is None and mode == "PERMISSIVE" else lost
+        expected = False
         found = window.data.find(MAGIC, 1)
         # The last bytes may be the beginning of a magic number that the next chunk ends.
         window.drop(found if found > 0 else max(1, len(window.data) - len(MAGIC) + 1))
+    if lost is not None:
+        yield min(window.at, end) - lost
 
 
 def parsed(data: bytes) -> tuple:
-    """A record as a row of RECORDS. The digest of a response is taken from its payload, that of a revisit is told."""
+    """A record as a row of RECORDS. The digest of a response is taken from its payload, that of a revisit is told.
+    Records of others may lack what ours have: without a length that can be read, the block is all that follows."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda name: int(m[1]) if (m := re.search(r"urn:x-page:(-?\d+)>", fields.get(name, ""))) else None
-    kind, told = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    length = re.search(rb"(?i)content-length: *(\d+)", http)
+    told = fields.get("content-length", "")
+    block = rest[: int(told)] if re.fullmatch(r"[0-9]+", told) else rest.removesuffix(b"\r\n\r\n")
+    http, split, payload = block.partition(b"\r\n\r\n")
+    number = lambda name: int(m[1]) if (m := re.search(r"urn:x-page:(-?\d{1,18})>", fields.get(name, ""))) else None
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    length = re.search(rb"(?i)content-length: *(\d{1,18})", http)
     if kind == "response":
+        payload = payload if split else block
         return number("warc-record-id"), fields.get("warc-target-uri"), kind, None, digest_of(payload), len(payload), payload
-    return number("warc-record-id"), fields.get("warc-target-uri"), kind, number("warc-refers-to"), told, int(length[1]) if length else None, None
+    return number("warc-record-id"), fields.get("warc-target-uri"), kind, number("warc-refers-to"), digest, int(length[1]) if length else None, None
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, range_bytes: int, schema) -> None:
-        self.path, self.range_bytes, self.schema = path, range_bytes, schema
+    def __init__(self, path: str, range_bytes: int, mode: str) -> None:
+        self.path, self.range_bytes, self.mode = path, range_bytes, mode
 
     def partitions(self) -> list[ByteRange]:
         fs, root = _file_system(self.path)
@@ -207,7 +234,10 @@ class WarcReader(DataSourceReader):
         kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         rows, size = [], 0
         with fs.open_input_file(partition.name) as f:
-            for data in members(f, partition.start, partition.end):
+            for data in members(f, partition.start, partition.end, self.mode):
+                if isinstance(data, int):
+                    rows.append((None, None, "damaged", None, None, data, None))
+                    continue
                 rows.append(parsed(data))
                 size += len(data)
                 if size >= BATCH_BYTES:
@@ -218,7 +248,9 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """format("warc"): load(path) reads RECORDS, save(path) writes them. Options: range_bytes, file_bytes."""
+    """format("warc"): load(path) reads RECORDS, save(path) writes them. Options: range_bytes, file_bytes, and mode for
+    what is damaged: FAILFAST (the default), DROPMALFORMED, or PERMISSIVE, by which each damaged stretch is a row of
+    record_type damaged, with its length as payload_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -228,7 +260,10 @@ class WarcSource(DataSource):
         return RECORDS
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), schema)
+        mode = self.options.get("mode", "FAILFAST").upper()
+        if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+            raise ValueError(f"no such mode: {mode}")
+        return WarcReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), mode)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)))
@@ -239,7 +274,8 @@ def as_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     The payload is the html in UTF-8, empty for null. Of rows with equal payloads of least_bytes or more, that of the
     smallest page_id is the response and others revisit it; rows that share this page_id are all responses. A row
-    without page_id revisits one that has; where none has, all are responses."""
+    without page_id revisits one that has; where none has, all are responses. An empty table gives no record; other
+    columns are ignored, whatever their names; a payload of any length is one row."""
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.encode(F.lit(""), "UTF-8"))
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     size = F.octet_length("payload")
@@ -270,8 +306,11 @@ def read(spark, path: str, **options) -> DataFrame:
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes archives into the shared folder and reads them back: (page_id, payload_bytes, payload_digest,
-    record_type, refers_to) by record."""
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    record_type, refers_to) by record. The archives go with the driver, or with the released() block around.
+
+    One row for every row of pages, repeated ones too; null and empty html, null numbers and addresses, payloads of any
+    length, empty tables and other columns are as in as_records()."""
+    path = new_path(pages.sparkSession, "warc")
     write(pages, path, least_bytes)
     return read(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
