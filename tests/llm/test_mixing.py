@@ -77,5 +77,5 @@ def test_sql_agrees(spark):
     want = sorted(duckdb.sql(mixing.ORACLE).fetchall())
     docs = spark.read.parquet(path)
     got = mixing.report(docs)
-    assert sorted(tuple(r) for r in got.select("doc_id", "source", "n_tokens", "block", "place").collect()) == want
+    assert sorted(tuple(r) for r in got.select("doc_id", "source", "n_words", "block", "place").collect()) == want
     assert got.filter("block = 0").count() == docs.count() and got.agg(F.max("block")).first()[0] >= 1

@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by temperature.
+"""Mixing sources to target weights by temperature. Tokens are words here.
 
 The weight of a source is its share of all tokens to a power, normalised. Lower powers flatten the mixture: its
 entropy rises, and so does how often the texts of small sources repeat. The power is found by bisection, many sections
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, keep
+from .common import SPACE_CLASS, fresh, group_join, keep
 
 SECTIONS, ROUNDS = 64, 4
 #: Ranges that a permutation is summed by: a power of two.
@@ -33,7 +33,8 @@ class Targets:
     budget: float | None = None
 
 
-def _tokens(text: Column) -> Column:
+def _words(text: Column) -> Column:
+    """What a text costs: its words, which JVM-side functions can count; a budget in tokens is a factor away."""
     return F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE_CLASS[1:-1]}]+")), F.lit(0)).cast("bigint")
 
 
@@ -72,7 +73,7 @@ def plan(docs: DataFrame, targets: Targets, seed: int) -> DataFrame:
     """By source key: n whole blocks, and cut, the place in the block after them up to which texts are used.
 
     A source without tokens is used whole once."""
-    thin = keep(docs.select("doc_id", _source(docs), _tokens(F.col("text")).alias("n")))
+    thin = keep(docs.select("doc_id", _source(docs), _words(F.col("text")).alias("n")))
     counted = thin.groupBy("key").agg(F.sum("n").alias("t"))
     # Shares need the sum over all sources: one row, whose value goes back as a number.
     total = counted.agg(F.sum("t")).first()[0] or 0
@@ -83,12 +84,13 @@ def plan(docs: DataFrame, targets: Targets, seed: int) -> DataFrame:
     parts = sources.withColumn("quota", quota).withColumn("blocks", F.floor(F.col("quota") / F.col("t") + 1e-9))
     parts = keep(parts.select("key", "blocks", F.floor(F.greatest(F.col("quota") - F.col("blocks") * F.col("t"), F.lit(0.0)) + 1e-3).alias("rest")))
 
-    placed = thin.join(parts.filter("rest > 0"), "key").withColumn("place", place(F.col("doc_id"), F.col("blocks"), seed))
+    # A source may hold a third of the texts; parts is one row a source.
+    placed = group_join(thin, parts.filter("rest > 0"), ["key"], [F.col("doc_id"), F.col("n")], "inner").withColumn("place", place(F.col("doc_id"), F.col("blocks"), seed))
     placed = placed.select("key", "rest", "n", "place", F.shiftright("place", 60 - _RANGES).alias("range"))
     before = placed.groupBy("key", "range").agg(F.sum("n").alias("s"))
     before = before.withColumn("before", F.sum("s").over(Window.partitionBy("key").orderBy("range")) - F.col("s")).drop("s")
     within = F.coalesce(F.sum("n").over(Window.partitionBy("key", "range").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = placed.withColumn("within", within).join(before, ["key", "range"]).filter(F.col("before") + F.col("within") < F.col("rest"))
+    used = placed.withColumn("within", within).join(before.hint("merge"), ["key", "range"]).filter(F.col("before") + F.col("within") < F.col("rest"))
     cuts = used.groupBy("key").agg(F.max("place").alias("cut"))
     empty = counted.filter("t = 0").select("key", F.lit(1).cast("bigint").alias("blocks"), F.lit(None).cast("bigint").alias("cut"))
     return keep(parts.drop("rest").join(cuts, "key", "left").unionByName(empty))
@@ -105,21 +107,22 @@ def mix(docs: DataFrame, targets: Targets = Targets(), seed: int = 17) -> DataFr
 
     A row comes once a block that its source uses it in. A null source is a source of its own; texts that are null
     or without words cost nothing and come in all whole blocks. Rows of one source and doc_id share a place: they are
-    in or out together. Columns named block or place are replaced. An empty table gives an empty mixture."""
+    in or out together. Columns named block or place are replaced, other columns pass through, whatever their names; a
+    text of any length is one row. An empty table gives an empty mixture."""
     columns = [c for c in docs.columns if c not in ("block", "place")]
     key, blocks, cut = (fresh(docs.columns, c) for c in ("_key", "_blocks", "_cut"))
     parts = plan(docs.select("doc_id", F.col("text").cast("string").alias("text"), "source"), targets, seed)
     parts = parts.select(F.col("key").alias(key), F.col("blocks").alias(blocks), F.col("cut").alias(cut))
-    rows = docs.select(*columns, _source(docs).alias(key)).join(parts, key)
+    rows = group_join(docs.select(*columns, _source(docs).alias(key)), parts, [key], [F.col("doc_id")], "inner")
     last = F.when(F.col(cut).isNotNull() & (place(F.col("doc_id"), F.col(blocks), seed) <= F.col(cut)), F.col(blocks)).otherwise(F.col(blocks) - 1)
     used = F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last))
     return rows.select(*columns, F.explode(used).alias("block")).withColumn("place", place(F.col("doc_id"), F.col("block"), seed))
 
 
 def report(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
-    """(doc_id, source, n_tokens, block, place) of the mixture."""
+    """(doc_id, source, n_words, block, place) of the mixture."""
     out = mix(docs.select("doc_id", "text", "source"), targets)
-    return out.select("doc_id", "source", _tokens(F.col("text").cast("string")).alias("n_tokens"), "block", "place")
+    return out.select("doc_id", "source", _words(F.col("text").cast("string")).alias("n_words"), "block", "place")
 
 
 def _oracle() -> str:
@@ -152,7 +155,7 @@ placed as (
 cut as (
   select *, coalesce(sum(n) over (partition by source order by place range between unbounded preceding and 1 preceding), 0) < rest as used from placed),
 out as (select *, unnest(range(0, blocks + case when used then 1 else 0 end)) as block from cut)
-select doc_id, source, n::bigint as n_tokens, block::bigint as block,
+select doc_id, source, n::bigint as n_words, block::bigint as block,
   ('0x' || substr(md5(concat(coalesce(doc_id::varchar, ''), ':', block, ':17')), 1, 15))::bigint as place
 from out
 """
