@@ -13,13 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_blocks, connected_components, keep, pieces, spread_join
 
 SEGMENT_BITS = 32
-#: Members of a key that are compared pair by pair; beyond it, the exact second dealing takes over.
+#: Members of a key that are compared pair by pair; beyond it, the exact second dealing takes over. Both are exact.
 PAIRED_MEMBERS = 16
 _HASHES_AT_ONCE = 1 << 16
 
@@ -94,7 +94,9 @@ def links(prints: DataFrame) -> DataFrame:
             + F.when(F.col("v") < SEGMENT_BITS, F.col("fp")).otherwise(F.shiftright("fp", SEGMENT_BITS)).bitwiseAND(F.get(masks, F.col("v") % SEGMENT_BITS))
         ).alias("k"),
     )
-    met = keep(variants.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1"))
+    # Members are counted by a grouped sum, and only those of keys that are shared go on, spread over slots.
+    shared = variants.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    met = keep(spread_join(variants, shared, ["k"], [F.col("fp")], "inner"))
 
     # A pair that meets under many keys, being equal in the segment, counts under the first.
     v = F.shiftright("k", SEGMENT_BITS)
@@ -114,7 +116,7 @@ def links(prints: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)) for i in range(64)))
     again = dense.select("fp", F.explode(F.transform(flips, lambda bit: bit.bitwiseXOR(F.col("fp")))).alias("near"))
     least = again.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = again.join(least, "near").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = spread_join(again, least, ["near"], [F.col("fp")], "inner").filter("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -123,7 +125,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat keep their number. Rows
     whose doc_id is null take part; component_id is the smallest doc_id reachable, null if there is none.
-    Other columns are ignored. An empty table gives an empty result."""
+    Texts of any length are hashed in blocks. Other columns are ignored, whatever their names. An empty table gives an
+    empty result."""
     rows = keep(with_fingerprints(docs, shingle, seed))
     prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = connected_components(links(prints.select("fp")))
