@@ -17,11 +17,11 @@ def brute(text, items, window=13, coverage=20):
     for item, t in items:
         w = words_of(t)
         size = min(window, len(w))
-        grams = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if size and item is not None else set()
+        grams = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if size else set()
         for i in range(len(words) - size + 1):
             if tuple(words[i : i + size]) in grams:
                 hit |= {*range(i, i + size)}
-                found.add(str(item))
+                found |= {str(item)} if item is not None else set()
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and coverage * len(hit) >= len(words)
 
 
@@ -38,12 +38,12 @@ def test_automaton_against_brute_force():
 
 @pytest.mark.parametrize("block_words", [10, 10**6])
 def test_edge_cases(spark, block_words):
-    items = [(1, "One two THREE four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "Ünï-code ÀB"), (2, "second of two"), (3, None), (None, "null item"), (4, "..."), (10, "twelve thirteen fourteen")]
+    items = [(1, "One two THREE four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "Ünï-code ÀB"), (2, "second of two"), (3, None), (None, "null item"), (None, "alpha beta gamma"), (4, "..."), (10, "twelve thirteen fourteen")]
     filler = " ".join(f"f{i}" for i in range(200))
     docs = [
         (1, "x one, two three! four five six seven eight nine ten eleven twelve thirteen y", "n", "h"),
         (2, filler + " Ünï code Àb " + filler, "n", "h"), (2, filler + " Ünï code Àb " + filler, "n", "h"),
-        (3, None, None, None), (4, "", "", ""), (None, "null item second of two", "n", "h"), (5, "àb", "n", "h"),
+        (3, None, None, None), (4, "", "", ""), (None, "null item second of two", "n", "h"), (7, "some alpha beta gamma here", "n", "h"), (5, "àb", "n", "h"),
         (6, ("word " * 300_000) + "second of two", "n", "h"),
     ]
     frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string, n_words string, _hits string"), spark.createDataFrame(items, "item_id bigint, text string")
@@ -74,3 +74,14 @@ def test_sql_agrees(spark):
     want = sorted(duckdb.sql(decontaminate.ORACLE).fetchall())
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     assert sorted(tuple(r) for r in decontaminate.judged(docs, bench).collect()) == want
+
+
+def test_long_items_and_held_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 2000)
+    r = random.Random(5)
+    words = [f"w{r.randrange(40)}" for _ in range(3000)]
+    items = [(k, " ".join(words[a : a + n])) for k, (a, n) in enumerate([(0, 900), (500, 13), (2000, 1000), (100, 5)])]
+    docs = [(i, " ".join(words[a : a + 60] if a % 3 else [f"z{a}", *words[a : a + 12], "y"])) for i, a in enumerate(range(0, 2900, 37))]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.judged(frame, bench, block_words=100).collect()
+    assert sorted(map(tuple, got)) == sorted((d, *brute(t, items)) for d, t in docs) and len({r.contaminated for r in got}) == 2

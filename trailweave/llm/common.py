@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ def _slotted(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[
     return salted_left.join(salted_right, [*on, "_slot"], how).drop("_slot")
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns of these names, each made once a row. Spark would else put an expression wherever its column is
+    used, and so into every step of a lambda function."""
+    return df.withColumn("_made", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))).select(*[c for c in df.columns if c not in columns], "_made.*")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of undirected edges (a, b), both bigint, as (node, root), root the least node of a component.
 
@@ -69,6 +76,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it, for tasks that write or read files themselves."""
+    if re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return pafs.LocalFileSystem(), path
+
+
 def fresh(columns: Sequence[str], name: str) -> str:
     """A column name like `name` that columns don't have, in any case."""
     taken = {c.lower() for c in columns}

@@ -2,14 +2,16 @@
 
 The normalised words of the test items make one automaton; each text is streamed through it word by word, keeping the
 length of the longest match that ends at the word. A match of at least `window` words hits its last `window` words.
-The automaton of a block of items has at most two states a word, so blocks of `block_words` words bound what is
-broadcast, however large the benchmark is; texts go through the blocks one after another, in the same tasks' rows,
-without a shuffle."""
+Items are dealt to tasks, which make an automaton of every `block_words` words (it has two states a word at most) and
+write it to the shared folder. A task over the texts holds a bounded number of texts and one automaton at a time: the
+texts go through all automata, loaded one after another. Nothing is broadcast, and the driver sees file names only."""
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_blocks, fresh, pieces
+from ..sources.shared import new_path
+from .common import byte_blocks, file_system, fresh, pieces
 
-#: Words of one automaton: the bound on what is broadcast at once.
-BLOCK_WORDS = 200_000
+#: Words of one automaton, and bytes of the texts that a task takes through the automata together.
+BLOCK_WORDS, HELD_BYTES = 100_000, 16 << 20
 
 _KEPT = {*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)}
 #: A-Z to lower case, all that isn't in a word to a space; one byte for one byte, so that offsets stay.
@@ -42,8 +45,8 @@ class Automaton:
     link: list[int] = field(default_factory=lambda: [-1])
     longest: list[int] = field(default_factory=lambda: [0])
     #: By state: items with a window that ends there, and (length, item) of shorter items that end there.
-    items: dict[int, set[str]] = field(default_factory=dict)
-    short: dict[int, list[tuple[int, str]]] = field(default_factory=dict)
+    items: dict[int, set[str | None]] = field(default_factory=dict)
+    short: dict[int, list[tuple[int, str | None]]] = field(default_factory=dict)
 
     def _state(self, nxt: dict[bytes, int], link: int, longest: int) -> int:
         self.states.append(nxt)
@@ -75,14 +78,14 @@ class Automaton:
         return new
 
     @classmethod
-    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> Automaton:
+    def of(cls, items: list[tuple[str | None, list[bytes]]], window: int) -> Automaton:
         auto = cls(window)
         for _, words in items:
             last = 0
             for word in words:
                 last = auto._extend(last, word)
-        marked: dict[int, set[str]] = {}
-        ends: dict[int, list[tuple[int, str]]] = {}
+        marked: dict[int, set[str | None]] = {}
+        ends: dict[int, list[tuple[int, str | None]]] = {}
         for item, words in items:
             at = 0
             for word in words:
@@ -105,10 +108,10 @@ class Automaton:
         return auto
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """The number of words, the spans (first, beyond the last) of words that are hit, and the items."""
+        """The number of words, the spans (first, beyond the last) of words that are hit, and the numbered items."""
         states, link, longest, window, short = self.states, self.link, self.longest, self.window, self.short
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         state = length = count = 0
         for block in byte_blocks((text or "").encode("utf-8", "replace").translate(_NORMAL)):
             for word in block.split():
@@ -136,6 +139,7 @@ class Automaton:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append((start, count))
+        found.discard(None)
         return count, spans, found
 
 
@@ -149,56 +153,100 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _sequences(items: Iterator[tuple[str | None, str]], window: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The word sequences of items in blocks of `block_words` words at most. A longer item is cut into parts that have
+    all but one word of a window in common."""
     block, words = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("item_id is not null and text is not null").toLocalIterator():
-        item = normal_words(row.text)
-        if block and words + len(item) > block_words:
-            yield block
-            block, words = [], 0
-        block.append((row.item_id, item))
-        words += len(item)
+    part = max(block_words, window)
+    for item, text in items:
+        every = normal_words(text)
+        for start in range(0, max(1, len(every) - window + 1), part - window + 1):
+            some = every[start : start + part]
+            if block and words + len(some) > block_words:
+                yield block
+                block, words = [], 0
+            block.append((item, some))
+            words += len(some)
     if block:
         yield block
 
 
+def _automata(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """The files of the automata that benchmark (item_id, text) gives."""
+    spark = benchmark.sparkSession
+    root = new_path(spark, "automata")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).filter("text is not null")
+    n = items.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in pieces(batches) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        fs, folder = file_system(root)
+        fs.create_dir(folder, recursive=True)
+        for block in _sequences(rows, window, block_words):
+            auto, name = Automaton.of(block, window), uuid.uuid4().hex
+            with fs.open_output_stream(f"{folder}/{name}") as out:
+                out.write(pickle.dumps((auto.window, auto.states, auto.link, auto.longest, auto.items, auto.short), 5))
+            yield pa.RecordBatch.from_pydict({"name": [f"{root}/{name}"]})
+
+    dealt = items.repartition(-(-n // block_words) or 1, F.xxhash64("item", "text"))
+    return sorted(r["name"] for r in dealt.mapInArrow(build, "name string").collect())
+
+
 def _through(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """docs (text, ...) after all blocks of the benchmark: what finish, with the result `schema`, makes of each batch and
-    of its rows' n_words, spans and items. A task runs one Python worker a block; with one block there is no other."""
-    context = docs.sparkSession.sparkContext
-    hits = fresh(docs.columns, "_hits")
-    known = docs.select("*", F.expr("cast(null as struct<n_words: bigint, spans: array<struct<first: bigint, beyond: bigint>>, items: array<string>>)").alias(hits))
-    blocks = [*_blocks(benchmark, block_words)] or [[]]
-    for number, block in enumerate(blocks, 1):
-        auto = context.broadcast(Automaton.of(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], auto=auto, first=number == 1, last=number == len(blocks)) -> Iterator[pa.RecordBatch]:
-            automaton = auto.value
-            for batch in pieces(batches):
-                at = batch.schema.get_field_index(hits)
-                made = []
-                for text, before in zip(batch.column("text").to_pylist(), [None] * batch.num_rows if first else batch.column(at).to_pylist(), strict=True):
-                    count, spans, found = automaton.hits(text)
-                    if before:
-                        spans = _merged(spans + [(s["first"], s["beyond"]) for s in before["spans"]])
-                        found = found | {*before["items"]}
-                    made.append({"n_words": count, "spans": [{"first": s, "beyond": e} for s, e in spans], "items": sorted(found)})
-                yield finish(batch, made) if last else batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
-
-        known = known.mapInArrow(run, schema if number == len(blocks) else known.schema)
-    return known
+    """docs (text, ...) after all automata of the benchmark: what finish, with the result `schema`, makes of each batch
+    and of its rows' n_words, spans (as pairs) and items."""
+    names = _automata(benchmark, window, block_words)
+    held_bytes = HELD_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[str, Automaton] = {}
+
+        def automaton(name: str) -> Automaton:
+            if name not in loaded:
+                loaded.clear()
+                fs, path = file_system(name)
+                with fs.open_input_file(path) as f:
+                    loaded[name] = Automaton(*pickle.loads(f.read()))
+            return loaded[name]
+
+        def settled(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [batch.column("text").to_pylist() for batch in held]
+            made = [[{"n_words": 0, "spans": [], "items": set()} for _ in some] for some in texts]
+            for name in names or [None]:
+                auto = automaton(name) if name else Automaton(window)
+                for some, rows in zip(texts, made, strict=True):
+                    for text, row in zip(some, rows, strict=True):
+                        row["n_words"], spans, found = auto.hits(text)
+                        row["spans"] = _merged(row["spans"] + spans) if row["spans"] else spans
+                        row["items"] |= found
+            for batch, rows in zip(held, made, strict=True):
+                for row in rows:
+                    row["items"] = sorted(row["items"])
+                yield finish(batch, rows)
+
+        held, size = [], 0
+        for batch in pieces(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes:
+                yield from settled(held)
+                held, size = [], 0
+        yield from settled(held)
+
+    return docs.mapInArrow(run, schema)
 
 
 def _hit(x: dict) -> int:
-    return sum(s["beyond"] - s["first"] for s in x["spans"])
+    return sum(beyond - first for first, beyond in x["spans"])
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs (doc_id, text, ...).
 
     A null or empty text has no words and is clean. Items that are null or without words never match; items under
-    one number count as one. Repeated rows of docs keep their number; columns other than these are ignored. With an
-    empty benchmark all is clean."""
+    one number count as one. Items without a number hit words, but are not among those that are counted and named.
+    Repeated rows of docs keep their number; texts and items of any length are taken whole; columns other than these
+    are ignored, whatever their names. With an empty benchmark all is clean; no documents give no rows."""
 
     def digest(batch: pa.RecordBatch, seen: list[dict]) -> pa.RecordBatch:
         hit = [_hit(x) for x in seen]
@@ -239,7 +287,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int
 
     Where the words that are hit reach one in `coverage`, the row goes; else the hit spans, each a whole window or
     item at least, are cut from the text, and n_chars, if there is one, is counted anew. Rows without a hit stay as
-    they are, null texts too."""
+    they are, null texts too; repeated rows share their fate; other columns pass through, whatever their names."""
     columns, typed = docs.columns, docs.withColumn("text", F.col("text").cast("string"))
 
     def cut(batch: pa.RecordBatch, seen: list[dict]) -> pa.RecordBatch:
@@ -248,7 +296,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int
             hit = _hit(x)
             stays.append(not (hit and coverage * hit >= x["n_words"]))
             if hit and stays[-1]:
-                texts[i] = without_spans(texts[i], [(s["first"], s["beyond"]) for s in x["spans"]])
+                texts[i] = without_spans(texts[i], x["spans"])
         at = batch.schema.get_field_index("text")
         return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns).filter(pa.array(stays, pa.bool_()))
 
@@ -266,7 +314,7 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: The same by joining all windows of the texts with those of the items, for DuckDB.
 ORACLE = f"""
 with worded as (select doc_id, coalesce({_WORDS}, []) as words from documents),
-items as (select item_id, {_WORDS} as words from benchmark where text is not null and item_id is not null),
+items as (select item_id, {_WORDS} as words from benchmark where text is not null),
 item_windows as (
   select distinct item_id, least(13, len(words)) as size, array_to_string(words[s + 1 : s + least(13, len(words))], ' ') as gram
   from items, lateral (select unnest(range(0, greatest(len(words) - 12, 1))) as s) where len(words) > 0),
@@ -276,7 +324,7 @@ doc_windows as (
   from worded, sizes, lateral (select unnest(range(0, len(words) - size + 1)) as s) where len(words) >= size),
 found as (select distinct doc_id, item_id, d.size, s from doc_windows d join item_windows i on i.size = d.size and i.gram = d.gram),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from found) group by 1),
-named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item_id::varchar as item from found) group by 1)
+named as (select doc_id, count(item) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item_id::varchar as item from found) group by 1)
 select w.doc_id, len(w.words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w.words) as contaminated
 from worded w left join hit h on h.doc_id = w.doc_id left join named n on n.doc_id = w.doc_id

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..sources.shared import new_path
-from .common import pieces, spread_join
+from .common import file_system, pieces, spread_join
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES, CHUNK_BYTES, FILE_BYTES, BATCH_BYTES = 16 << 20, 1 << 18, 128 << 20, 4 << 20
@@ -35,12 +35,6 @@ RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, pay
 COMMITTED = "_committed.json"
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if re.match(r"[a-z][a-z0-9+.-]*:", path):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return pafs.LocalFileSystem(), path
-
-
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -78,7 +72,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.file_bytes = path, file_bytes
 
     def write(self, iterator: Iterator) -> Written:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
         names, out, size = [], None, 0
         rows = (row for batch in pieces(iterator, 100) for row in batch.to_pylist())
@@ -96,13 +90,13 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list) -> None:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{COMMITTED}", compression=None) as out:
             out.write(json.dumps(sorted(name for m in messages if m for name in m.names)).encode())
 
     def abort(self, messages: list) -> None:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         for name in (name for m in messages if m for name in m.names):
             fs.delete_file(f"{root}/{name}")
 
@@ -218,7 +212,7 @@ class WarcReader(DataSourceReader):
         self.path, self.range_bytes, self.mode = path, range_bytes, mode
 
     def partitions(self) -> list[ByteRange]:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         listed = f"{root}/{COMMITTED}"
         if fs.get_file_info(listed).type == pafs.FileType.File:
             with fs.open_input_stream(listed) as f:
@@ -230,7 +224,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         rows, size = [], 0
         with fs.open_input_file(partition.name) as f:
