@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -41,6 +42,23 @@ def test_bounded_memory_paths_count_the_same(library, counter, monkeypatch):
     assert counter.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("long", [1, 2, 5])
+def test_places_by_rank_count_the_same(library, counter, monkeypatch, long):
+    monkeypatch.setattr(tokens, "LONG_SEQUENCE", long)
+    counter.known.clear()
+    texts = [*strings()][::3]
+    assert counter.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_pretokens(library, counter):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000)), "".join(r.choice("etaoin") for _ in range(40_000)), "é" * 30_000, "=" * 30_000, "的" + "中文字" * 9000]
+    assert counter.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    began = time.time()
+    counter.counts(["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))])
+    assert time.time() - began < 60
+
+
 def test_query(spark, library):
     rows = [(r.doc_id, r.text, "x") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(None, "a b", "x"), (1, None, None), (1, None, None), (7, "", ""), (8, "wörd " * 300_000, "")]

@@ -2,12 +2,14 @@
 
 The distinct pre-tokens of a batch lie end to end in one numpy array of symbol ids. Each round finds every sequence's
 pair of lowest rank, replaces that pair wherever it stands in the sequence, and closes the gaps; sequences without a
-mergeable pair are done, and the symbols they have left are counted."""
+mergeable pair are done, and the symbols they have left are counted. A sequence of many symbols would be gone through
+once a round: its pairs are held by rank instead, and a round touches the places of its rank and what is beside them."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -20,6 +22,8 @@ from .common import pieces
 
 #: Pre-tokens whose counts a task keeps, and symbols merged at once: bounds on memory, not on what is counted.
 KEPT_COUNTS, SYMBOLS_AT_ONCE, WORDS_AT_ONCE, LONG_TEXT = 400_000, 1 << 20, 200_000, 1 << 20
+#: Symbols from which a sequence is merged by places held by rank.
+LONG_SEQUENCE = 128
 _NO_RANK = np.iinfo(np.int64).max
 #: The pattern that byte-level pre-tokenizers of this kind split by: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,10 +54,52 @@ class ByteLevelCounter:
         added = [t["content"] for t in definition.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words = regex.compile(PATTERN)
+        self.by_pair = {}
         self.known: dict[str, int] = {}
 
+    def _long_left(self, sequence: bytes) -> int:
+        """The number of symbols that one long sequence ends with, in about the time of a sort of it."""
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        pairs, base = self.by_pair, self.base
+        symbols = self.byte_ids[np.frombuffer(sequence, np.uint8)].tolist()
+        n = left = len(symbols)
+        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
+        places: dict[int, list[int]] = {}
+        for at in range(n - 1):
+            if known := pairs.get(symbols[at] * base + symbols[at + 1]):
+                places.setdefault(known[0], []).append(at)
+        ranks = [*places]
+        heapify(ranks)
+        while ranks:
+            rank = heappop(ranks)
+            for at in sorted(places.pop(rank)):
+                to = after[at] if symbols[at] >= 0 else -1
+                known = pairs.get(symbols[at] * base + symbols[to]) if to >= 0 else None
+                if known is None or known[0] != rank:
+                    continue  # a merge beside it has changed the pair
+                symbols[at], symbols[to], left = known[1], -1, left - 1
+                after[at] = onward = after[to]
+                if onward >= 0:
+                    before[onward] = at
+                for start, end in ((before[at], at), (at, onward)):
+                    if start >= 0 and end >= 0 and (new := pairs.get(symbols[start] * base + symbols[end])):
+                        if new[0] not in places:
+                            places[new[0]] = []
+                            heappush(ranks, new[0])
+                        places[new[0]].append(start)
+        return left
+
     def symbols_left(self, sequences: list[bytes]) -> np.ndarray:
         """The number of symbols that each sequence ends with."""
+        long = [i for i, s in enumerate(sequences) if len(s) >= LONG_SEQUENCE]
+        if long:
+            out = self._rounds([b"" if len(s) >= LONG_SEQUENCE else s for s in sequences])
+            out[long] = [self._long_left(sequences[i]) for i in long]
+            return out
+        return self._rounds(sequences)
+
+    def _rounds(self, sequences: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(len, sequences), np.int64, len(sequences))
         flat = self.byte_ids[np.frombuffer(b"".join(sequences), np.uint8)]
         owner = np.repeat(np.arange(len(sequences)), out)
@@ -136,7 +182,8 @@ class ByteLevelCounter:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs (doc_id, text, ...).
 
-    A null or empty text has no bytes and no tokens. Repeated rows are counted each; other columns are ignored.
+    A null or empty text has no bytes and no tokens. Repeated rows are counted each; texts of any length are counted
+    whole, a piece at a time; other columns are ignored, whatever their names; an empty table gives an empty result.
     The tokenizer's file is read by the driver and broadcast (its size is that of a vocabulary)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
