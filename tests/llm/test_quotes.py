@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,7 +29,69 @@ def test_quotes_are_linked_and_removed(spark):
     assert [got[1, t].reply_to for t in range(7)] == [None, 0, 1, 1, 2, 0, 5]
     assert [got[1, t].quotes for t in range(7)] == [False, False, True, True, True, True, False]
     assert got[1, 3].text == "Or use a generator." and got[1, 4].text == "See above > here." and got[2, 0].reply_to is None
-    assert got[1, 2].text == "That works, thanks."
+    assert got[1, 2].text == "That works, thanks." and got[1, 6].text == "> Nobody said this.\nIndeed."
+
+
+def test_deeper_quotes_link_and_what_is_not_linked_stays(spark):
+    rows = [
+        (1, 0, "user", "The first question, with some words."),
+        (1, 1, "assistant", "An answer to it."),
+        (1, 2, "user", "Something else."),
+        (1, 3, "assistant", ">> The first question, with some words.\nTo that I'd say more."),
+        (1, 4, "user", "run this:\n> print(x)\n> Note: keep it"),
+        (1, 5, "user", "On Monday A wrote:\n> An answer to it.\n>\n> and what nobody said\n\nYes.\n> $ ls\nNo."),
+        (1, 6, "user", "> Note: keep it"),
+    ]
+    got = {r.turn: r for r in ordered(spark, rows)}
+    assert [got[t].reply_to for t in range(7)] == [None, 0, 1, 0, 3, 1, 5]
+    assert got[3].text == "To that I'd say more." and got[4].text == rows[4][3] and got[6].text == rows[6][3]
+    assert got[5].text == ">\n> and what nobody said\n\nYes.\n> $ ls\nNo."
+
+
+def brute(rows):
+    """Links by going through the messages of a conversation one after another."""
+    def norm(t):
+        return " ".join(re.findall(r"[^\W_]+", t.lower()))
+
+    out = {}
+    for conv in {r[0] for r in rows}:
+        talk = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        said = {}
+        for k, (_, turn, _, text) in enumerate(talk):
+            lines = text.split("\n")
+            depth = [len(re.sub("[^>]", "", re.match(r"(?:[ \t]*>)*", x)[0])) for x in lines]
+            votes, gone, i = Counter(), set(), 0
+            while i < len(lines):
+                j = i
+                while j < len(lines) and depth[j] == depth[i]:
+                    j += 1
+                if depth[i]:
+                    for size, (a, b) in [(2, (i, j)), *((1, (x, x + 1)) for x in range(i, j))]:
+                        words = norm(" ".join(re.sub(r"^(?:[ \t]*>)+", "", x) for x in lines[a:b]))
+                        if words and said.get(words, turn) < turn:
+                            votes[-depth[i], said[words]] += size * len(words)
+                            gone |= {*range(a, b)}
+                i = j
+            best = max(votes, key=lambda v: (v[0], votes[v], v[1]), default=None)
+            parent = best[1] if best else talk[k - 1][1] if k else None
+            left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+            out[conv, turn] = (parent, best is not None, re.sub(r"^\s*\n|\s+$", "", left) if gone else text)
+            own = re.sub(r"^\s*\n|\s+$", "", "\n".join(x for x, d in zip(lines, depth) if not d))
+            for part in [own, *re.split(r"\n[ \t]*\n", own), *own.split("\n")]:
+                if norm(part):
+                    said.setdefault(norm(part), turn)
+    return out
+
+
+def test_links_against_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for conv in range(30):
+        for turn in range(r.randrange(1, 9)):
+            rows.append((conv, turn, "user", "\n".join(r.choice(("", "", "> ", ">> ", "> > > ")) + " ".join(r.choice("abc") for _ in range(r.choice((0, 1, 1, 2)))) for _ in range(r.randrange(1, 7)))))
+    want = brute(rows)
+    got = {(x.conv_id, x.turn): (x.reply_to, x.quotes, x.text) for x in ordered(spark, rows)}
+    assert got == want and sum(q for _, q, _ in want.values()) > 30
 
 
 @pytest.mark.parametrize("turns", [3, 1024])
@@ -61,7 +125,7 @@ def test_edge_cases(spark):
     assert len(got) == len(rows)
     by = {(r.conv_id, r.turn): r for r in got}
     assert by[1, 3].reply_to == 2 and by[1, 3].quotes and by[3, 6].quotes and by[1, 0].text is None
-    assert by[None, 1].text == "y" and by[None, 1].reply_to is None and by[1, None].text == "z"
+    assert by[None, 1].text == "> x\ny" and by[None, 1].reply_to is None and by[1, None].text == "z"
     assert ordered(spark, []) == []
 
 
