@@ -2,8 +2,11 @@ import html
 import itertools
 import random
 import re
+import time
 
-from trailweave.llm import mainhtml
+import duckdb
+
+from trailweave.llm import boilerplate, mainhtml
 from trailweave.llm.mainhtml import main_text, minimum_cut
 
 SCHEMA = "page_id bigint, url string, html string, text int"
@@ -70,3 +73,49 @@ def test_edge_cases(spark):
     assert len(got) == len(rows) and by[1] == (1, None, "", 0) and by[None] == (None, "u", "", 0)
     assert by[2][2] == "just some text without any markup. Really." and by[4][2].startswith("deep") and by[5][2].count("\n") == 29_999
     assert mainhtml.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_names_of_classes_are_no_verdict():
+    page = """<body><article><h1>Title</h1><p>The first paragraph of it all, as long as one is.</p>
+    <section class="related-work"><h2>Related work</h2><p>Others have done the same before us, in other ways and at other times.</p></section>
+    <div class="side-effects"><p>It may have side effects that nobody thought of, and some that they did.</p></div>
+    <p>So <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> holds, as was to be shown in this paper.</p>
+    <div class="related-posts"><ul><li><a href=x>Another post</a></li><li><a href=y>One more post of it</a></li></ul></div></article></body>"""
+    assert main_text(page).split("\n") == ["Title", "The first paragraph of it all, as long as one is.", "Related work", "Others have done the same before us, in other ways and at other times.", "It may have side effects that nobody thought of, and some that they did.", "So x = 1 holds, as was to be shown in this paper."]
+    assert main_text("<body><p>Short.</p></body>") == "Short."
+
+
+def test_pages_without_an_article_element():
+    text = ["A heading for it", "The text begins here and goes on, as texts do, for a line or two.", "It says this.", "And it ends with some more words, so that it is long enough."]
+    for tag, name in (("div", "post-content"), ("div", "x7"), ("main", ""), ("td", "")):
+        inner = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+        page = f"""<body><div class="top-nav"><a href=a>Home</a> <a href=b>News of the day</a></div><{tag} class="{name}">{inner}
+        <div id="comments"><p>I liked it very much, thank you for writing it. More please!</p></div></{tag}>
+        <div class="sidebar"><p>Our newsletter comes once a week. Do subscribe to it now.</p></div><div class="footer"><p>All rights reserved by us.</p></div></body>"""
+        assert main_text(page if tag != "td" else page.replace("<td", "<table><tr><td").replace("</td>", "</td></tr></table>")).split("\n") == text, (tag, name)
+
+
+def test_labels_of_whole_pages_are_least():
+    r = random.Random(3)
+    for _ in range(40):
+        parts = [r.choice(("<p>Some text of it, here.</p>", "<li><a href=x>Link here</a>", "<div class=side-note>Short</div>", "<h2>Head</h2>", "<aside><p>One more thing. And so on.</p></aside>", "<div>word</div>")) for _ in range(r.randrange(1, 10))]
+        found = mainhtml.blocks("<body>" + "".join(parts))
+        odds, ties = [b.odds() for b in found], mainhtml.page_ties(found)
+        got = mainhtml.labelled(found)
+        assert cost(odds, ties, got) == min(cost(odds, ties, s) for s in itertools.product((False, True), repeat=len(found)))
+
+
+def test_time_grows_with_the_page():
+    for piece in ("<div></x>", "</div>", "<i><hr>x", "<b><td></i>", "<li><i>x", "<a href=\"", "<p><b>x</q>"):
+        began = time.time()
+        main_text("<body><p>x</p>" + "<i>" * 20_000 + piece * 50_000)
+        assert time.time() - began < 30, piece
+
+
+def test_weights_are_those_that_are_fitted():
+    pages = [r[0] for r in duckdb.sql("select html from '/root/testdata/sf0.1/pages.parquet'").fetchall()]
+    x, y = boilerplate.examples(pages)
+    w = boilerplate.fitted(x, y)
+    assert max(abs(a - b) for a, b in zip(w, mainhtml.WEIGHTS)) < 0.01
+    other, truth = boilerplate.examples(pages, seed=6)
+    assert (((other @ mainhtml.WEIGHTS) > 0) == (truth > 0)).mean() > 0.99
