@@ -102,6 +102,45 @@ def test_folding_on(spark):
     assert on and all(abs(on[p] - whole[p]) < 1e-12 for p in on)
 
 
+def test_folding_in_rounds(spark):
+    given = learning.impulses(log_of(spark, [(i % 2, f"p{i * i % 5}") for i in range(90)]))
+    whole = {(r.a, r.b): tuple(r) for r in learning.folded(given).collect()}
+    rounds = {(r.a, r.b): tuple(r) for r in learning.folded(given, most=7).collect()}
+    assert whole.keys() == rounds.keys() and max(r[3] for r in rounds.values()) > 14
+    assert all(abs(whole[p][2] - rounds[p][2]) < 1e-12 and whole[p][3:] == rounds[p][3:] for p in whole)
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_windows_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(learning, "BLOCK", block)
+    r = random.Random(block)
+    accesses = [(r.choice((1, 1, 1, 2)), f"p{r.randrange(40) if i % 3 else 0}") for i in range(150)]
+    got = defaultdict(list)
+    for w in learning.windows(log_of(spark, accesses)).collect():
+        got[w.id].append((w.recency, w.recent, w.len))
+    recent = defaultdict(list)
+    for i, (session, path) in enumerate(accesses):
+        window = recent[session]
+        assert sorted(got[i]) == [(k + 1, v, len(window)) for k, v in enumerate(reversed(window))], i
+        me = f"file:{path}"
+        if me in window:
+            window.remove(me)
+        window.append(me)
+        del window[:-25]
+
+
+def test_one_long_session(spark):
+    rows = spark.range(50_000).selectExpr("id", "1L as session_id", "concat('file:', id * 7919 % 60) as vertex", "'file' as type", "'p' as path", "'c' as context", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as at", "1500L as token_cost")
+    n = learning.windows(rows).agg(F.count("*"), F.max("len"), F.min("recency")).first()
+    assert tuple(n) == (sum(min(i, 25) for i in range(50_000)), 25, 1)
+
+
+def test_a_second_project_leaves_the_first(spark):
+    v = spark.createDataFrame([("a", "file", "x/1"), ("b", "file", "y/1"), ("c", "tool", "x/2")], "id string, type string, path string")
+    got = learning.tagged_projects(learning.tagged_projects(v, "x", "X"), "y/", "Y")
+    assert {r.id: r.project for r in got.collect()} == {"a": "X", "b": "Y", "c": None}
+
+
 def test_empty_store(spark):
     log = spark.createDataFrame([], LOG)
     state = learning.learn(log)

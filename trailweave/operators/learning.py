@@ -31,19 +31,58 @@ class State:
         return replace(self, **changed)
 
 
+#: Accesses of a session that are joined with one another; what was recent before them comes from blocks before.
+BLOCK = 64
+#: Impulses of a pair that are gathered at once.
+MOST_IMPULSES = 10_000
+
+
 def ordinals(log: DataFrame) -> DataFrame:
-    """log with ord, the place in its session, and nxt, the place of the next access to the same vertex."""
-    placed = log.withColumn("ord", F.row_number().over(Window.partitionBy("session_id").orderBy("at", "id")).cast("bigint"))
+    """log with ord, the place in its session, and nxt, the place of the next access to the same vertex.
+
+    Accesses are counted by hour first and ranked within hours, so that no task has to sort a whole session."""
+    hour = F.coalesce(F.date_trunc("hour", F.col("at")).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    timed = log.withColumn("_hour", hour)
+    hours = timed.groupBy("session_id", "_hour").agg(F.count("*").alias("_n"))
+    before = hours.select("session_id", "_hour", (F.sum("_n").over(Window.partitionBy("session_id").orderBy("_hour")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("session_id", "_hour").orderBy("at", "id"))
+    placed = timed.join(before, ["session_id", "_hour"]).withColumn("ord", F.col("_before") + rank).drop("_hour", "_before")
     return placed.withColumn("nxt", F.lead("ord").over(Window.partitionBy("session_id", "vertex").orderBy("ord")))
 
 
+def _recent_before(placed: DataFrame, size: int) -> DataFrame:
+    """(session_id, block, then, nxt, recent, recent_type): the `size` latest distinct vertices before each block.
+
+    Each block has its own latest; doubling how many blocks are looked back on, every round merges two lists of `size`
+    into one. There are as many rounds as the longest session's number of blocks has digits to base two."""
+    key = ["session_id", "block"]
+    latest = Window.partitionBy(*key).orderBy(F.desc("then"))
+
+    def shortened(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("k", F.row_number().over(latest)).filter(F.col("k") <= size).drop("k")
+
+    ends = placed.groupBy("session_id").agg(F.max("block").alias("last_block")).filter("last_block > 0")
+    own = placed.filter(F.col("nxt").isNull() | (F.floor((F.col("nxt") - 1) / BLOCK) > F.col("block"))).join(ends, "session_id")
+    now = kept(shortened(own.select(*key, "last_block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"))))
+    span, most = 1, now.agg(F.max("last_block")).first()[0] or 0
+    while span < most:
+        back = now.withColumn("block", F.col("block") + span).filter("block <= last_block")
+        merged = now.unionByName(back).groupBy(*key, "last_block", "recent").agg(F.max(F.struct("then", "nxt", "recent_type")).alias("l"))
+        now = kept(shortened(merged.select(*key, "last_block", "l.then", "l.nxt", "recent", "l.recent_type")))
+        span *= 2
+    return now.withColumn("block", F.col("block") + 1).filter("block <= last_block").drop("last_block")
+
+
 def windows(log: DataFrame, size: int = C.WINDOW) -> DataFrame:
-    """(session_id, ord, recent, recent_type, recency, len): the members of each access's window of recent distinct
-    vertices of its session, recency 1 the latest."""
-    placed = ordinals(log)
-    then = placed.select("session_id", F.col("ord").alias("then"), F.col("nxt"), F.col("vertex").alias("recent"), F.col("type").alias("recent_type"))
-    now = placed.select("session_id", "ord", "vertex", "type", "at", "id")
-    live = now.join(then, (now.session_id == then.session_id) & (then.then < now.ord) & (F.col("nxt").isNull() | (now.ord <= F.col("nxt")))).drop(then.session_id)
+    """(session_id, ord, vertex, type, at, id, recent, recent_type, recency, len): the members of each access's window
+    of recent distinct vertices of its session, recency 1 the latest.
+
+    An access is joined with those of its block and the `size` latest before it: BLOCK + size at most."""
+    placed = kept(ordinals(log).select("session_id", "ord", "nxt", "vertex", "type", "at", "id", F.floor((F.col("ord") - 1) / BLOCK).alias("block")))
+    here = placed.select("session_id", "block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"))
+    then = here.unionByName(_recent_before(placed, size))
+    now = placed.select("session_id", "block", "ord", "vertex", "type", "at", "id")
+    live = now.join(then, ["session_id", "block"]).filter((F.col("then") < F.col("ord")) & (F.col("nxt").isNull() | (F.col("ord") <= F.col("nxt")))).drop("block")
     access = Window.partitionBy("session_id", "ord")
     ranked = live.withColumn("recency", F.row_number().over(access.orderBy(F.desc("then")))).filter(F.col("recency") <= size)
     return ranked.withColumn("len", F.count("*").over(access)).drop("then", "nxt")
@@ -57,6 +96,7 @@ def impulses(log: DataFrame, hubs: bool = True) -> DataFrame:
     fired = fired.select(F.least("vertex", "recent").alias("a"), F.greatest("vertex", "recent").alias("b"), "at", "id", pos.alias("pos"), (rate * pos / F.col("len")).alias("d"))
     if not hubs:
         return fired
+    fired = kept(fired)
     order = F.struct("at", "id", "pos")
     first = fired.groupBy("a", "b").agg(F.min(order).alias("first"))
     ends = first.select(F.explode(F.array("a", "b")).alias("end"), "first")
@@ -70,20 +110,31 @@ def impulses(log: DataFrame, hubs: bool = True) -> DataFrame:
     return marked.select("a", "b", "at", "id", "pos", (F.col("d") * F.when(damped, C.HUB_FACTOR).otherwise(1.0)).alias("d"))
 
 
-def folded(given: DataFrame, known: DataFrame | None = None, step=S.strengthen, captured: bool = True) -> DataFrame:
+def folded(given: DataFrame, known: DataFrame | None = None, step=S.strengthen, captured: bool = True, most: int = MOST_IMPULSES) -> DataFrame:
     """(a, b, weight, co_access_count, last_fired): the pairs' weights after their impulses. known: weights from
-    before. A pair's first impulse makes its edge, with the weight of a captured tag."""
-    pairs = given.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("at", "id", "pos", "d"))).alias("ds"), F.count("*").alias("n"), F.max("at").alias("last_fired"))
-    ds = F.transform("ds", lambda x: x["d"])
-    if known is None:
-        pairs = pairs.withColumn("before", F.lit(None).cast("double"))
-    else:
-        pairs = pairs.join(known.select("a", "b", F.col("weight").alias("before")), ["a", "b"], "left")
-    first = step(F.lit(0.0), F.element_at(ds, 1))
-    made = F.greatest(F.lit(C.CAPTURE_WEIGHT), first) if captured else first
-    start = F.coalesce("before", made)
-    rest = F.when(F.col("before").isNull(), F.slice(ds, 2, F.greatest(F.size(ds) - 1, F.lit(0)))).otherwise(ds)
-    return pairs.select("a", "b", F.aggregate(rest, start, step).alias("weight"), F.col("n").alias("co_access_count"), "last_fired")
+    before. A pair's first impulse makes its edge, with the weight of a captured tag.
+
+    Impulses are numbered within their pair and folded `most` at a time, each round going on from the one before:
+    no more of a pair are ever gathered. Most pairs are done in the first round."""
+    order = Window.partitionBy("a", "b").orderBy("at", "id", "pos")
+    numbered = given.select("a", "b", "at", "d", F.row_number().over(order).alias("k")).withColumn("round", F.floor((F.col("k") - 1) / most))
+    grouped = kept(numbered.groupBy("a", "b", "round").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("ds"), F.count("*").alias("n"), F.max("at").alias("last_fired")))
+    before = None if known is None else known.select("a", "b", F.col("weight").alias("before"))
+    out = None
+    for number in range(1 + (grouped.agg(F.max("round")).first()[0] or 0)):
+        pairs, ds = grouped.filter(F.col("round") == number), F.transform("ds", lambda x: x["d"])
+        if out is not None:
+            before = kept(out).select("a", "b", F.col("weight").alias("before"))
+        pairs = pairs.withColumn("before", F.lit(None).cast("double")) if before is None else pairs.join(before, ["a", "b"], "left")
+        first = step(F.lit(0.0), F.element_at(ds, 1))
+        made = F.greatest(F.lit(C.CAPTURE_WEIGHT), first) if captured else first
+        start = F.coalesce("before", made)
+        rest = F.when(F.col("before").isNull(), F.slice(ds, 2, F.greatest(F.size(ds) - 1, F.lit(0)))).otherwise(ds)
+        done = pairs.select("a", "b", F.aggregate(rest, start, step).alias("weight"))
+        # Pairs without impulses in this round keep what the last one gave them.
+        out = done if out is None else done.unionByName(out.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    counts = grouped.groupBy("a", "b").agg(F.sum("n").alias("co_access_count"), F.max("last_fired").alias("last_fired"))
+    return out.join(counts, ["a", "b"])
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -148,7 +199,10 @@ def seeded_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def seeded_vertices(vertices: DataFrame, seeds: DataFrame) -> DataFrame:
     """vertices and seeds (id, type, path, context): a known vertex keeps what it has learned and gains the context."""
-    told = seeds.groupBy("id").agg(F.min("type").alias("new_type"), F.min("path").alias("new_path"), F.array_sort(F.collect_set("context")).alias("told"))
+    # Of a vertex's new contexts only as many are gathered as it may hold.
+    ranked = seeds.select("id", "context").distinct().withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("context")))).filter(F.col("k") <= C.CONTEXTS_APPENDED)
+    lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list("context")).alias("told"))
+    told = seeds.groupBy("id").agg(F.min("type").alias("new_type"), F.min("path").alias("new_path")).join(lists, "id")
     joined = vertices.select("id", "type", "path", "activation", "myelination", "access_count", "contexts").join(told, "id", "full_outer")
     contexts = S.first_distinct(F.concat(F.coalesce("contexts", F.array().cast("array<string>")), F.coalesce("told", F.array().cast("array<string>"))), C.CONTEXTS_APPENDED)
     return joined.select(
@@ -195,7 +249,10 @@ def streaks(before: DataFrame, recalled: DataFrame, opened: DataFrame) -> DataFr
 
 
 def tagged_projects(vertices: DataFrame, root: str, project: str) -> DataFrame:
-    return vertices.withColumn("project", F.when(F.col("path").startswith(root.rstrip("/") + "/"), project))
+    """vertices with the files below a root tagged; what has been tagged elsewhere keeps its project."""
+    known = F.col("project") if "project" in vertices.columns else F.lit(None).cast("string")
+    below = (F.col("type") == "file") & F.col("path").startswith(root.rstrip("/") + "/")
+    return vertices.withColumn("project", F.when(below, project).otherwise(known))
 
 
 def session_keywords(texts: DataFrame, top: int = 20) -> DataFrame:
