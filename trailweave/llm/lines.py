@@ -1,13 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
-A text is a sequence of short lines: its lines, cut after the marks . ! ? , ; : too, so that a passage that begins or
-ends inside a line has whole short lines all the same. Each is known by the hash of its words. Of every three short
-lines in a row the least hash is a fingerprint, as is every short line of half `min_words` or more: a run of short
-lines with `min_words` words has one at least, and the same wherever it stands. Fingerprints that repeat are joined
+A text is a sequence of short lines: its lines, cut after the marks . ! ? ; : too, so that a passage that begins or
+ends inside a line has whole short lines all the same. Each is known by the hash of its words. From each on, as many
+short lines as have eight words (four at most) are a gram. Of two grams in a row the least hash is a fingerprint, as is
+any gram that begins with a short line of twelve words or more: a run of short lines with 30 words or more has one at
+least, and the same wherever it stands. Fingerprints that repeat are joined
 back to their positions, and only around these positions matches are extended, to both ends: to the runs of short
 lines through the position that have `min_words` words, but fewer without the last or without the first. Runs that are
-equal are joined to the first of them; later ones go. Longer matches are covered by such runs. Texts that repeat as a
-whole are one text until the end. Each step is a window over one text, a grouped minimum or an equi-join: pairs of
+equal are joined to the first of them; later ones go. Longer matches are covered by such runs. Each step is a window over one text, a grouped minimum or an equi-join: pairs of
 occurrences are never formed."""
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, keep, spread_join
+from .common import SPACE_CLASS, fresh, keep, settled, spread_join
 
 MIN_WORDS = 30
+#: Words of a gram, most of its short lines, and words from which a short line is taken in any case. With these a run
+#: of GRAM - 2 + 2 * LONG = 30 words has two whole grams in a row, or a long line.
+GRAM, GRAM_LINES, LONG = 8, 4, 12
+_MARKS = ".!?;:"
 #: Where a text is cut: behind a line end, and behind a mark and the white space after it.
-_CUT = rf"(?<=\n)|(?<=[.!?,;:]{SPACE_CLASS})"
-_KEY = ["th", "th2"]
+_CUT = rf"(?<=\n)|(?<=[{_MARKS}]{SPACE_CLASS})"
 
 
 def _pieces(text: Column) -> Column:
@@ -28,50 +31,57 @@ def _pieces(text: Column) -> Column:
 
 
 def _worded(text: Column) -> Column:
-    """(i, h, n) of each short line with words: its place among all, the hash of its words and their number."""
-    words = F.transform(_pieces(text), lambda p, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(p, f"{SPACE_CLASS}+", " ")).alias("w")))
-    count = lambda w: (F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) + 1).cast("int")
+    """(i, h, n) of each short line with words: its place among all, the hash of its words and their number. The cuts
+    are those of _pieces(), found in the text with single spaces by plain replacement, which is faster."""
+    plain = F.when(text.rlike(r"[\t\x0B\f\r\x01]|  "), F.regexp_replace(F.replace(text, F.lit("\1"), F.lit("\2")), r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+    for mark in ("\n", *(f"{m} " for m in _MARKS)):
+        plain = F.replace(plain, F.lit(mark), F.lit(f"{mark}\1"))
+    words = F.transform(F.split(plain, "\1"), lambda p, i: F.struct(i.alias("i"), F.trim(F.replace(p, F.lit("\n"), F.lit(""))).alias("w")))
+    count = lambda w: F.octet_length(w) - F.octet_length(F.replace(w, F.lit(" "), F.lit(""))) + 1
     return F.transform(F.filter(words, lambda x: x["w"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["w"]).alias("h"), count(x["w"]).alias("n")))
 
 
-def _hashes(text: Column) -> list[Column]:
-    """128 bits of the text."""
-    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2")]
-
-
 def _total(units: Column) -> Column:
     return F.aggregate(units, F.lit(0).cast("bigint"), lambda n, u: n + u["n"])
 
 
-def distinct_texts(docs: DataFrame, min_words: int) -> DataFrame:
-    """(th, th2, first, copies, units): the texts with enough words, each once; first: the place of its first document."""
-    split = docs.filter(F.col("text").isNotNull()).select(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id").alias("doc"), *_hashes(F.col("text")), _worded(F.col("text")).alias("units"))
-    enough = split.filter(_total(F.col("units")) >= min_words)
-    return enough.groupBy(*_KEY).agg(F.min("doc").alias("first"), (F.max("doc") != F.min("doc")).alias("copies"), F.any_value("units").alias("units"))
+def known_texts(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, units): the texts with enough words, known by doc_id and the text's hash th, and their short lines. The key
+    is one struct, by which null numbers are joined and grouped as any other."""
+    some = docs.filter(F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text")
+    return settled(some, units=_worded(F.col("text"))).filter(_total(F.col("units")) >= min_words).drop("text")
+
+
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """(fp, key, x): the selected fingerprints and where they are, x the number of the short line with words."""
 
+    def gram(u: Column, x: Column) -> Column:
+        lines = [u, *(F.get("units", x + k) for k in range(1, GRAM_LINES))]
+        words, out = lines[0]["n"], F.when(lines[0]["n"] >= GRAM, u["h"])
+        for k in range(1, GRAM_LINES):
+            words = words + lines[k]["n"]  # null behind the end: no gram
+            out = out.when((words >= GRAM) if k + 1 < GRAM_LINES else words.isNotNull(), F.xxhash64(*(line["h"] for line in lines[: k + 1])))
+        return out
 
-def fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
-    """(fp, th, x): the selected fingerprints and where they are, x the number of the short line with words."""
-    # Lines of a few words are taken where there is nothing else: they repeat everywhere.
-    order = F.transform("units", lambda u: F.shiftrightunsigned(u["h"], 2) + F.when(u["n"] < 4, F.lit(1 << 62)).otherwise(F.lit(0)))
-    rows = texts.select("th", "units", order.alias("s"))
+    made = settled(texts, grams=F.transform("units", gram))
 
     def selected(u: Column, x: Column) -> Column:
-        here = F.get("s", x)
-        no_more = {d: here <= F.get("s", x + d) for d in (-2, -1, 1, 2)}
-        least = (no_more[-2] & no_more[-1]) | (no_more[-1] & no_more[1]) | (no_more[1] & no_more[2])
-        return (u["n"] * 2 >= min_words) | F.coalesce(least, F.lit(False))
+        here = F.get("grams", x)
+        least = (here <= F.get("grams", x - 1)) | (here <= F.get("grams", x + 1))
+        return F.struct(F.when((u["n"] >= LONG) | F.coalesce(least, F.lit(False)), here).alias("fp"), x.alias("x"))
 
-    placed = F.filter(F.transform("units", lambda u, x: F.struct(F.when(selected(u, x), u["h"]).alias("h"), x.alias("x"))), lambda p: p["h"].isNotNull())
-    return rows.select("th", F.explode(placed).alias("p")).select(F.col("p.h").alias("fp"), "th", F.col("p.x").alias("x"))
+    placed = F.filter(F.transform("units", selected), lambda p: p["fp"].isNotNull())
+    return made.select("key", F.explode(placed).alias("p")).select("p.fp", "key", "p.x")
 
 
 def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
-    """(th, th2, first, line, last, p1, p2): the runs around the positions at (th, xs), with 128 bits of their words."""
-    near = texts.join(at.hint("merge"), "th").select(*_KEY, "first", "xs", F.posexplode("units").alias("x", "u"))
-    lines = near.select(*_KEY, "first", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.array_contains("xs", F.col("x")).alias("hit"))
-    placed = lines.withColumn("at", F.sum("n").over(Window.partitionBy(*_KEY).orderBy("line")) - F.col("n")).withColumn("upto", F.col("at") + F.col("n"))
-    by_start, by_end = (Window.partitionBy(*_KEY).orderBy(c) for c in ("at", "upto"))
+    """(key, line, last, p1, p2): the runs around the positions at (key, xs), with 128 bits of their words."""
+    # Rows that repeat are taken once; texts, join and windows are all dealt by the key.
+    once = texts.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("k = 1").drop("k")
+    near = once.join(at.hint("merge"), "key").select("key", "xs", F.posexplode("units").alias("x", "u"))
+    lines = near.select("key", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.array_contains("xs", F.col("x")).alias("hit"))
+    placed = lines.withColumn("at", F.sum("n").over(Window.partitionBy("key").orderBy("line")) - F.col("n")).withColumn("upto", F.col("at") + F.col("n"))
+    by_start, by_end = (Window.partitionBy("key").orderBy(c) for c in ("at", "upto"))
     ahead, back = by_start.rangeBetween(0, min_words - 1), by_end.rangeBetween(1 - min_words, 0)
 
     def run(w, first: Column, last: Column) -> Column:
@@ -80,30 +90,32 @@ def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
 
     begins = F.when(F.max("hit").over(ahead) & (F.max("upto").over(ahead) >= F.col("at") + min_words), run(ahead, F.col("line"), F.max("line").over(ahead)))
     ends = F.when(F.max("hit").over(back) & (F.col("upto") - F.min("at").over(back) >= min_words), run(back, F.min("line").over(back), F.col("line")))
-    both = placed.select(*_KEY, "first", begins.alias("begins"), ends.alias("ends"))
-    each = both.select(*_KEY, "first", F.explode(F.array_distinct(F.array_compact(F.array("begins", "ends")))).alias("p"))
-    return each.select(*_KEY, "first", "p.*")
+    both = placed.select("key", begins.alias("begins"), ends.alias("ends"))
+    each = both.select("key", F.explode(F.array_distinct(F.array_compact(F.array("begins", "ends")))).alias("p"))
+    return each.select("key", "p.*")
 
 
-def repeats(texts: DataFrame, min_words: int) -> DataFrame:
-    """(th, th2, gone): by text of distinct_texts() that repeats passages, for its short lines whether each goes."""
-    found = fingerprints(texts, min_words)
+def repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, gone): by text that repeats passages, for its short lines whether each goes."""
+    texts = keep(known_texts(docs, min_words))
+    found = fingerprints(texts)
     again = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    at = spread_join(found, again, ["fp"], [F.col("th"), F.col("x")], "left_semi").groupBy("th").agg(F.collect_set("x").alias("xs"))
-    extended = keep(passages(texts, at, min_words).select(*_KEY, "line", "last", "p1", "p2", F.struct("first", *_KEY, "line").alias("place")))
-    first = extended.groupBy("p1", "p2").agg(F.min("place").alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread_join(extended, first, ["p1", "p2"], [F.col("th"), F.col("line")], "inner").filter("place > begin")
+    at = spread_join(found, again, ["fp"], [F.col("key"), F.col("x")], "left_semi").groupBy("key").agg(F.collect_set("x").alias("xs"))
+    extended = keep(passages(texts, at, min_words))
+    place = F.struct(F.col("key.doc_id").isNull().alias("null_id"), "key", "line")
+    first = extended.groupBy("p1", "p2").agg(F.min(place).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner").filter(place > F.col("begin"))
     # Each run adds the lines beyond those before it.
-    upto = F.coalesce(F.max("last").over(Window.partitionBy(*_KEY).orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    runs = later.select(*_KEY, "line", "last", upto.alias("upto")).filter("last > upto")
+    upto = F.coalesce(F.max("last").over(Window.partitionBy("key").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    runs = later.select("key", "line", "last", upto.alias("upto")).filter("last > upto")
     start = F.greatest(F.col("line"), F.col("upto") + 1)
-    runs = runs.select(*_KEY, F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
+    runs = runs.select("key", F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
     flags = F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(F.array_repeat(F.lit(False), r["stay"]), F.array_repeat(F.lit(True), r["go"]))))
-    return runs.groupBy(*_KEY).agg(flags.alias("gone"))
+    return runs.groupBy("key").agg(flags.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, all columns, without later repeats of runs of short lines with `min_words` words or more, and with a
+    """docs, all columns, without later repeats of runs of short lines with `min_words` words or more (30 at least), and with a
     column _deleted_lines, how many short lines of the text went (in place of any column of that name).
 
     Short lines are equal if their words are. Repeats within a text count too. Lines without words stay unless they
@@ -113,25 +125,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of its size. n_chars, if there is one, is counted anew where lines went. An empty table gives an empty result;
     columns other than these pass through, whatever their names."""
     columns = docs.columns
-    key, mark, deleted = fresh(columns, "_k"), fresh(columns, "_mark"), "_deleted_lines"
+    key, gone, deleted = fresh(columns, "_k"), fresh(columns, "_gone"), "_deleted_lines"
+    if min_words < GRAM - 2 + 2 * LONG:
+        raise ValueError(f"runs of fewer than {GRAM - 2 + 2 * LONG} words may have no fingerprint")
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    texts = keep(distinct_texts(typed.select("doc_id", "text"), min_words))
-    # The null column keeps (th, th2) of a text that only repeats as a whole.
-    marks = texts.select(*_KEY, "first", "copies").join(repeats(texts, min_words), _KEY, "left").filter("copies or gone is not null")
-    marks = marks.select(F.struct(*_KEY).alias(key), F.struct("first", "copies", "gone").alias(mark))
-    out = spread_join(typed.drop(deleted).withColumn(key, F.when(F.col("text").isNotNull(), F.struct(*_hashes(F.col("text"))))), marks, [key], [F.col("doc_id")], "left")
-    pieces = _pieces(F.col("text"))
-    said = F.transform(pieces, lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
-    begin, end = F.array_position(said, True), F.size(said) - F.array_position(F.reverse(said), True) + 1
-    copy = F.col(f"{mark}.copies") & (F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id") > F.col(f"{mark}.first"))
-    gone = F.when(copy, F.transform(said, lambda _, i: (i + 1).between(begin, end))).otherwise(F.col(f"{mark}.gone"))
-    gone = F.when(F.col(mark).isNotNull(), gone)
-    out = out.withColumn(mark, gone)
-    left = F.array_join(F.filter(pieces, lambda p, i: ~F.coalesce(F.get(mark, i), F.lit(False))), "")
-    out = out.withColumn(deleted, F.coalesce(F.aggregate(mark, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
-    out = out.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(left))
+    marks = repeats(typed.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("gone").alias(gone))
+    # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size.
+    out = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th"))).join(marks.hint("merge"), key, "left")
+    left = F.filter(_pieces(F.col("text")), lambda line, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
+    out = out.withColumn(deleted, F.coalesce(F.aggregate(gone, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
+    touched = F.col(gone).isNotNull()
+    out = out.withColumn("text", F.when(touched, F.array_join(left, "")).otherwise(F.col("text")))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col(mark).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[c for c in columns if c != deleted], deleted)
 
 
@@ -145,7 +151,7 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 ORACLE = rf"""
 with raw as (
   select doc_id, unnest(p) as raw, generate_subscripts(p, 1) as line
-  from (select doc_id, string_split(regexp_replace(text, '(\n|[.!?,;:][\x20\x09-\x0D])', '\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null)),
+  from (select doc_id, string_split(regexp_replace(text, '(\n|[.!?;:][\x20\x09-\x0D])', '\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null)),
 lines as (
   select doc_id, line, raw, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) as words from raw),
 worded as (
