@@ -36,15 +36,17 @@ def group_join(left: DataFrame, groups: DataFrame, on: Sequence[str], by: Sequen
 
 
 def _slotted(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[Column], how: str, salts: int) -> DataFrame:
-    salted_left = left.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, [*on, "_slot"], how).drop("_slot")
+    slot = fresh([*left.columns, *right.columns], "_slot")
+    salted_left = left.withColumn(slot, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    salted_right = right.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_left.join(salted_right, [*on, slot], how).drop(slot)
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns of these names, each made once a row. Spark would else put an expression wherever its column is
     used, and so into every step of a lambda function."""
-    return df.withColumn("_made", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))).select(*[c for c in df.columns if c not in columns], "_made.*")
+    made = fresh(df.columns, "_made")
+    return df.withColumn(made, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))).select(*[c for c in df.columns if c not in columns], f"{made}.*")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

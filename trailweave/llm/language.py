@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import fresh, pieces
 
 #: Characters that are held as n-grams at once.
-CHARACTERS_AT_ONCE = 1 << 18
+CHARACTERS_AT_ONCE = 1 << 16
 UNKNOWN = "und"
 
 
