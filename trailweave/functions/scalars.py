@@ -154,7 +154,7 @@ def truncated(text: Column, most: int) -> Column:
 
 def payload(text: Column, most: int = 8192) -> Column:
     """A trace's payload, cut at `most` characters with a mark."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("...[truncated]"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…[truncated]"))).otherwise(text)
 
 
 def first_distinct(items: Column, most: int) -> Column:
@@ -163,10 +163,6 @@ def first_distinct(items: Column, most: int) -> Column:
     return F.slice(distinct, F.greatest(F.size(distinct) - most + 1, F.lit(1)), most)
 
 
-def project_of(cwd: Column) -> Column:
-    return basename(F.regexp_replace(cwd, "/+$", ""))
-
-
 def is_skipped(path: Column) -> Column:
     return path.rlike(C.SKIPPED_PATHS)
 
@@ -185,7 +181,7 @@ def is_absolute(path: Column) -> Column:
 
 
 def resolved(path: Column, home: str = "/root") -> Column:
-    return F.when(path.startswith("~/"), F.concat(F.lit(home), F.substring(path, 2, 1_000_000))).otherwise(path)
+    return F.when(path.startswith("~/"), F.concat(F.lit(home), F.substr(path, F.lit(2)))).otherwise(path)
 
 
 def input_summary(json: Column) -> Column:
@@ -195,12 +191,3 @@ def input_summary(json: Column) -> Column:
 
 def input_path(json: Column) -> Column:
     return F.coalesce(F.get_json_object(json, "$.path"), F.get_json_object(json, "$.file_path"))
-
-
-def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A vector of unit length from the words of a text, for where no model is at hand: counts by hash."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))

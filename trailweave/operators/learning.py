@@ -223,6 +223,49 @@ def resolved_edges(edges: DataFrame, fixes: DataFrame) -> DataFrame:
     return joined.select("source_id", "target_id", F.aggregate(times, F.coalesce("weight", F.lit(0.0)), step).alias("weight"), (F.coalesce("co_access_count", F.lit(0)) + F.coalesce("told", F.lit(0))).alias("co_access_count"))
 
 
+def errors_told(errors: DataFrame) -> DataFrame:
+    """Accesses, as a log has them, for errors (session_id, at, id, message): each is recorded as its normal form and,
+    right after, as its fingerprint, of which the normal form is the context. Their numbers are 2 * id and 2 * id + 1."""
+    normal, print_ = S.normalize_error(F.col("message")), S.error_fingerprint(F.col("message"))
+    each = errors.select("session_id", "at", "id", F.explode(F.array(F.struct(F.lit(0).alias("k"), normal.alias("path"), F.col("message").alias("context")), F.struct(F.lit(1).alias("k"), print_.alias("path"), normal.alias("context")))).alias("e"))
+    return each.select((F.col("id") * 2 + F.col("e.k")).alias("id"), "session_id", F.concat(F.lit("error:"), "e.path").alias("vertex"), F.lit("error").alias("type"), "e.path", "e.context", "at", F.lit(C.TOKENS_OTHER).cast("bigint").alias("token_cost"))
+
+
+def wired_errors(edges: DataFrame, errors: DataFrame) -> DataFrame:
+    """edges after errors (message) were recorded: strong edges both ways between an error and its fingerprint. One that
+    is there gains a boosted impulse each time."""
+    ends = errors.select(F.concat(F.lit("error:"), S.normalize_error(F.col("message"))).alias("s"), F.concat(F.lit("error:"), S.error_fingerprint(F.col("message"))).alias("t")).filter("s <> t")
+    told = ends.unionByName(ends.select(F.col("t").alias("s"), F.col("s").alias("t"))).groupBy(F.col("s").alias("source_id"), F.col("t").alias("target_id")).agg(F.count("*").alias("told"))
+    joined = edges.select("source_id", "target_id", "weight", "co_access_count").join(told, ["source_id", "target_id"], "full_outer")
+    # n impulses of one size in closed form; the first makes an edge that isn't there.
+    left = lambda w, n: 1 - (1 - w) * F.pow(F.lit(1 - C.LEARNING_RATE * C.ERROR_BOOST), n)
+    new = F.when(F.col("told").isNull(), F.col("weight")).when(F.col("weight").isNull(), left(F.lit(C.RESOLVED_WEIGHT), F.col("told") - 1)).otherwise(left(F.col("weight"), F.col("told")))
+    return joined.select("source_id", "target_id", F.least(new, F.lit(1.0)).alias("weight"), (F.coalesce("co_access_count", F.lit(0)) + F.coalesce("told", F.lit(0))).alias("co_access_count"))
+
+
+def by_idle_time(log: DataFrame, minutes: int = 15) -> DataFrame:
+    """log with sessions that end by idle time: session_id becomes the old one, # and the number of the stretch."""
+    order = Window.partitionBy("session_id").orderBy("at", "id")
+    new = F.coalesce(F.col("at") - F.lag("at").over(order) >= F.make_dt_interval(mins=F.lit(minutes)), F.lit(True))
+    marked = log.withColumn("_new", new.cast("int"))
+    return marked.withColumn("_k", F.sum("_new").over(order)).withColumn("session_id", F.concat(F.col("session_id").cast("string"), F.lit("#"), F.col("_k").cast("string"))).drop("_new", "_k")
+
+
+def ignored_by_session(recalled: DataFrame, opened: DataFrame, hours: int = 2) -> DataFrame:
+    """(session_id, id): what sessions recalled (session_id, id, at) and did not open (session_id, id, at) within the
+    time after which their recall is forgotten."""
+    seen = opened.select("session_id", "id", F.col("at").alias("opened"))
+    soon = (F.col("opened") >= F.col("at")) & (F.col("opened") <= F.col("at") + F.make_dt_interval(hours=F.lit(hours)))
+    met = recalled.join(seen, ["session_id", "id"], "left").groupBy("session_id", "id").agg(F.max(F.coalesce(soon, F.lit(False))).alias("met"))
+    return met.filter("not met").select("session_id", "id")
+
+
+def changes(readings: DataFrame) -> DataFrame:
+    """Readings (source, at, id, value) that differ from the one before of their source: what is emitted on change."""
+    before = F.lag("value").over(Window.partitionBy("source").orderBy("at", "id"))
+    return readings.withColumn("_before", before).filter("value is not null and not (value <=> _before)").drop("_before")
+
+
 def error_fixes(state: State, error_id: str) -> DataFrame:
     """(id, confidence): what an error's edges lead to that is no tool and sure enough."""
     near = state.edges.filter((F.col("source_id") == error_id) & (F.col("weight") >= C.STRONG_EDGE)).join(state.vertices.select(F.col("id").alias("target_id"), "type", "myelination"), "target_id")

@@ -73,8 +73,28 @@ def balanced(state: State) -> State:
     return State(v.withColumn("myelination", m).drop("mm", "ma"), e.withColumn("weight", w).drop("mw"))
 
 
+def tags_expired(state: State, as_of: str) -> State:
+    """Tags of edges (tagged_at, where there is such a column) last an hour."""
+    if "tagged_at" not in state.edges.columns:
+        return state
+    over = F.col("tagged_at") < F.lit(as_of).cast("timestamp_ntz") - F.expr("interval 1 hour")
+    return state.but(edges=state.edges.withColumn("tagged_at", F.when(~over, F.col("tagged_at"))))
+
+
+def captured(state: State, accessed: DataFrame, as_of: str) -> State:
+    """Tagged edges at a vertex that is accessed (id) within the hour are confirmed: they get the weight of a captured
+    tag at least, and are tagged no more."""
+    hit = accessed.select(F.col("id").alias("source_id")).distinct().withColumn("from", F.lit(True))
+    ends = state.edges.join(hit, "source_id", "left").join(hit.select(F.col("source_id").alias("target_id"), F.col("from").alias("to")), "target_id", "left")
+    fresh = F.col("tagged_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr("interval 1 hour")
+    sure = (F.coalesce("from", F.lit(False)) | F.coalesce("to", F.lit(False))) & F.coalesce(fresh, F.lit(False))
+    edges = ends.withColumn("weight", F.when(sure, F.greatest("weight", F.lit(C.CAPTURE_WEIGHT))).otherwise(F.col("weight"))).withColumn("tagged_at", F.when(~sure, F.col("tagged_at")))
+    return state.but(edges=edges.drop("from", "to"))
+
+
 def decay(state: State, as_of: str) -> State:
     """The whole cycle."""
+    state = tags_expired(state, as_of)
     state = edges_pruned(bridges_weakened(decayed(state)), as_of)
     return balanced(orphans_pruned(vertices_pruned(state)))
 
@@ -82,10 +102,12 @@ def decay(state: State, as_of: str) -> State:
 # Consolidation ------------------------------------------------------------------------------------------------------
 
 
-def _bumped(edges: DataFrame, bumps: DataFrame) -> DataFrame:
+def _bumped(edges: DataFrame, bumps: DataFrame, as_of: str | None = None) -> DataFrame:
     """edges with bumps (source_id, target_id, bump, n): saturating additions of bump, and n firings more; the bumps
-    of edges that aren't there make them."""
+    of edges that aren't there make them, tagged at `as_of` where edges have tags."""
     joined = edges.join(bumps, ["source_id", "target_id"], "full_outer")
+    if "tagged_at" in edges.columns and as_of is not None:
+        joined = joined.withColumn("tagged_at", F.when(F.col("weight").isNull(), F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("tagged_at")))
     w = F.when(F.col("bump").isNull(), F.col("weight")).otherwise(S.saturating_add(F.coalesce("weight", F.lit(0.0)), F.col("bump")))
     return joined.withColumn("weight", w).withColumn("co_access_count", F.coalesce("co_access_count", F.lit(0)) + F.coalesce("n", F.lit(0))).drop("bump", "n")
 
@@ -111,23 +133,23 @@ def reviewed(state: State, as_of: str) -> State:
     return state.but(vertices=state.vertices.withColumn("myelination", new))
 
 
-def _confirmed(state: State, pairs: DataFrame, fresh: Column, below: float, bump: float) -> State:
+def _confirmed(state: State, pairs: DataFrame, fresh: Column, below: float, bump: float, as_of: str) -> State:
     """Edges for pairs (n1, n2) that have none, of weight `fresh`; those weaker than `below` gain `bump`."""
     both = pairs.select(F.col("n1").alias("source_id"), F.col("n2").alias("target_id"), fresh.alias("fresh")).unionByName(pairs.select(F.col("n2").alias("source_id"), F.col("n1").alias("target_id"), fresh.alias("fresh")))
     known = both.join(state.edges.select("source_id", "target_id", "weight"), ["source_id", "target_id"], "left")
     w = F.col("weight")
     step = F.when(w.isNull(), F.col("fresh")).when(w < below, bump * S.snap(w))
-    return state.but(edges=_bumped(state.edges, known.select("source_id", "target_id", step.alias("bump"), F.lit(1).alias("n")).filter("bump is not null")))
+    return state.but(edges=_bumped(state.edges, known.select("source_id", "target_id", step.alias("bump"), F.lit(1).alias("n")).filter("bump is not null"), as_of))
 
 
 def cross_session(state: State, log: DataFrame, as_of: str) -> State:
     pairs = mining.session_pairs(log.filter(F.col("at") <= F.lit(as_of).cast("timestamp_ntz")), _since(as_of, 7))
-    return _confirmed(state, pairs, F.lit(0.15), 0.2, 0.05)
+    return _confirmed(state, pairs, F.lit(0.15), 0.2, 0.05, as_of)
 
 
 def temporal(state: State, log: DataFrame, as_of: str, seconds: int = 60) -> State:
     pairs = mining.close_pairs(log, seconds, _since(as_of, 14))
-    return _confirmed(state, pairs, S.proximity_weight(F.col("avg_seconds"), float(seconds)), 0.3, 0.03)
+    return _confirmed(state, pairs, S.proximity_weight(F.col("avg_seconds"), float(seconds)), 0.3, 0.03, as_of)
 
 
 def directed(state: State, log: DataFrame, as_of: str) -> State:

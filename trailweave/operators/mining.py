@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
+#: Slots that the members of a session or a stretch of time are dealt to.
+SLOTS = 4
+
+
 def session_pairs(log: DataFrame, since: str | None = None, least: int = 3) -> DataFrame:
     """(n1, n2, sessions): vertices that occur in `least` sessions or more together; since: of which one was recent."""
     seen = log.groupBy("session_id", "vertex").agg(F.max("at").alias("at"))
     left = seen if since is None else seen.filter(F.col("at") > F.lit(since).cast("timestamp_ntz"))
     a, b = left.select("session_id", F.col("vertex").alias("n1")), seen.select("session_id", F.col("vertex").alias("n2"))
-    return a.join(b, "session_id").filter("n1 < n2").groupBy("n1", "n2").agg(F.count("*").alias("sessions")).filter(F.col("sessions") >= least)
+    # A session may have a large share of all: one side is dealt to slots, the other repeated in each.
+    a, b = a.withColumn("slot", F.pmod(F.xxhash64("n1"), F.lit(SLOTS)).cast("int")), b.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    return a.join(b, ["session_id", "slot"]).filter("n1 < n2").groupBy("n1", "n2").agg(F.count("*").alias("sessions")).filter(F.col("sessions") >= least)
 
 
 def close_pairs(log: DataFrame, seconds: int = 60, since: str | None = None, least: int = 3) -> DataFrame:
@@ -27,7 +33,9 @@ def close_pairs(log: DataFrame, seconds: int = 60, since: str | None = None, lea
     a = a.select(F.col("vertex").alias("n1"), F.col("us").alias("us1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     b = timed.select(F.col("vertex").alias("n2"), F.col("us").alias("us2"), bucket.alias("bucket"))
     apart = F.abs(F.col("us1") - F.col("us2"))
-    near = a.join(b, "bucket").filter((F.col("n1") < F.col("n2")) & (apart < width))
+    # So may a stretch of time.
+    a, b = a.withColumn("slot", F.pmod(F.xxhash64("n1", "us1"), F.lit(SLOTS)).cast("int")), b.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    near = a.join(b, ["bucket", "slot"]).filter((F.col("n1") < F.col("n2")) & (apart < width))
     sums = near.groupBy("n1", "n2").agg(F.count("*").alias("n"), F.sum(apart).alias("total_us")).filter(F.col("n") >= least)
     return sums.withColumn("avg_seconds", F.col("total_us") / F.col("n") / 1e6)
 
@@ -59,12 +67,16 @@ def triangles(pairs: DataFrame, neighbours: int | None = None) -> DataFrame:
 
 
 def cochanges(commits: DataFrame, most_files: int = 20) -> DataFrame:
-    """(f1, f2, n, contexts): pairs of files of commits (commit, file, message) of 2 to most_files files, how often,
-    and ten of the messages at most."""
-    sized = commits.groupBy("commit").agg(F.count("*").alias("files")).filter(f"files between 2 and {most_files}")
-    kept = commits.join(sized.select("commit"), "commit", "left_semi").filter(~F.lower("message").contains("merge") & ~S.is_skipped_in_bulk(F.col("file")))
+    """(f1, f2, n, contexts): pairs of files of commits (commit, file, message) of 2 to most_files files without noise,
+    how often, and the first ten of the messages. Files that bulk mining skips don't count for a commit's size."""
+    told = commits.filter(~F.lower("message").contains("merge") & ~S.is_skipped_in_bulk(F.col("file")))
+    sized = told.groupBy("commit").agg(F.count("*").alias("files")).filter(f"files between 2 and {most_files}")
+    kept = told.join(sized.select("commit"), "commit", "left_semi")
     a, b = kept.select("commit", F.col("file").alias("f1"), F.substring("message", 1, 100).alias("message")), kept.select("commit", F.col("file").alias("f2"))
-    return a.join(b, "commit").filter("f1 < f2").groupBy("f1", "f2").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("message")), 1, 10).alias("contexts"))
+    told = a.join(b, "commit").filter("f1 < f2").groupBy("f1", "f2", "message").agg(F.count("*").alias("n"))
+    # Of a pair's messages ten are gathered, however many it has.
+    ranked = told.withColumn("k", F.row_number().over(Window.partitionBy("f1", "f2").orderBy("message")))
+    return ranked.groupBy("f1", "f2").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.col("message")))).alias("contexts"))
 
 
 def cochange_seeds(pairs: DataFrame) -> DataFrame:
@@ -84,8 +96,9 @@ def name_groups(files: DataFrame, most: int = 8) -> DataFrame:
 def indexed_commits(commits: DataFrame) -> DataFrame:
     """(id, contexts): commits of 2 to 20 files and a message of 5 characters or more, no merge, as vertices whose
     contexts are the message and the files."""
-    by = commits.groupBy("commit", "message").agg(F.array_sort(F.collect_set("file")).alias("files"))
-    kept = by.filter((F.length("message") >= 5) & F.size("files").between(2, 20) & ~F.col("message").rlike(r"(?i)^merge\b"))
+    told = commits.filter((F.length("message") >= 5) & ~F.col("message").rlike(r"(?i)^merge\b")).distinct()
+    sized = told.groupBy("commit", "message").agg(F.count("file").alias("n")).filter("n between 2 and 20").drop("n")
+    kept = told.join(sized, ["commit", "message"], "left_semi").groupBy("commit", "message").agg(F.array_sort(F.collect_set("file")).alias("files"))
     return kept.select(F.concat(F.lit("semantic:commit:"), F.col("commit").cast("string")).alias("id"), F.array("message", F.concat(F.lit("files:"), F.array_join("files", ","))).alias("contexts"))
 
 
@@ -95,3 +108,14 @@ def session_file_pairs(sessions: DataFrame, most: int = 20) -> DataFrame:
     kept = first.withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "file"))).filter(F.col("k") <= most)
     a, b = kept.select("session_id", F.col("file").alias("f1")), kept.select("session_id", F.col("file").alias("f2"))
     return a.join(b, "session_id").filter("f1 < f2").select("f1", "f2").distinct()
+
+
+def structural_seeds(links: DataFrame, imports: DataFrame, names: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(source_id, target_id, weight, n): seeds of links and imports (source, target), and of pairs of files (f1, f2) with
+    names of one group or of one session; explicit ties are stronger than inferred ones."""
+    parts = [(links, "source", "target", 0.6), (imports, "source", "target", 0.5), (names, "f1", "f2", 0.3), (sessions, "f1", "f2", 0.4)]
+    every = None
+    for rows, a, b, weight in parts:
+        part = rows.select(F.concat(F.lit("file:"), F.col(a)).alias("source_id"), F.concat(F.lit("file:"), F.col(b)).alias("target_id"), F.lit(weight).alias("weight"), F.lit(1).alias("n"))
+        every = part if every is None else every.unionByName(part)
+    return every.filter("source_id <> target_id")

@@ -81,7 +81,7 @@ def replay_footer(replay: DataFrame) -> DataFrame:
 def numbered_replay(replay: DataFrame) -> DataFrame:
     """The sink's rows: seq counts up in each session; payloads are cut with a mark."""
     seq = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
-    return replay.select("session_id", seq.cast("bigint").alias("seq"), "tool_name", S.payload(F.col("tool_result"), 500).alias("tool_result"))
+    return replay.select("session_id", seq.cast("bigint").alias("seq"), "tool_name", S.payload(F.col("tool_result")).alias("tool_result"))
 
 
 def token_metrics(vertices: DataFrame, price: float = 3.0) -> DataFrame:

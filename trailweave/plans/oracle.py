@@ -64,3 +64,30 @@ def with_edges(select: str, *more: str) -> str:
 
 def snap(w: str) -> str:
     return _SNAP.format(w=w)
+
+
+def with_old_edges(select: str, before: str, *more: str) -> str:
+    """The same with a memory that has learned from the log before a moment only; all of the log is full_log."""
+    return f"with {', '.join([LOG.replace('log as', 'full_log as', 1), f"log as (select * from full_log where ts < timestamp '{before}')", VERTICES, WINDOWS, FIRED, EDGES, *more])}\n{select}"
+
+
+def hashed_vector(name: str, rows: str) -> str:
+    """A common table (id, slot, v): vectors of rows (id, text) by hashed words."""
+    return f"""{name}_n as (select id, ('0x' || substr(md5(w), 1, 6))::int % 64 as slot, count(*) as n from (
+    select id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as w from ({rows})) group by all),
+{name} as (select id, slot, n / sqrt(sum(n * n) over (partition by id)) as v from {name}_n)"""
+
+
+_HOP = """h{k} as (
+  select t.id, t.type, t.path, f.c * o.weight * (1 + least(t.myelination, 0.5::double)) * o.fan as c, f.c as seed, f.id as src, o.weight as w
+  from f{p} f join onward o on o.source_id = f.id join {v} t on t.id = o.target_id where t.type <> 'tool' and f.c * o.weight * (1 + least(t.myelination, 0.5::double)) * o.fan >= 0.4),
+b{k} as (select id, any_value(type) as type, max(least(c, 0.99::double)) as most, arg_min(least(c, 0.99::double), row(-seed, src, -w)) as found from h{k} group by id),
+a{k} as (select coalesce(a.id, b.id) as id, coalesce(a.type, b.type) as type, greatest(a.c, b.most) as c, coalesce(a.hop, {k}) as hop from a{p} a full join b{k} b on a.id = b.id),
+f{k} as (select id, found as c from b{k} where id not in (select id from a{p}))"""
+
+
+def spread(edges: str = "edges", vertices: str = "vertices") -> str:
+    """Common tables a0 to a3 (id, type, c, hop): what is active after each hop from seeds (id, type, c)."""
+    return f"""onward as (select source_id, target_id, weight, 1 / sqrt(least(degree, 50)) as fan from (
+  select *, count(*) over (partition by source_id) as degree, row_number() over (partition by source_id order by weight desc, target_id) as k from {edges}) where k <= 10 and weight >= 0.3),
+a0 as (select id, type, c, 0 as hop from seeds), f0 as (select id, c from seeds), """ + ", ".join(_HOP.format(k=k, p=k - 1, v=vertices) for k in (1, 2, 3))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from .. import constants as C
 from ..constants import ERROR_NORMAL, ERROR_OPERATIONS, ERROR_TYPES, OUTPUT_ERRORS, OUTPUT_NORMAL, STOPWORDS
 from ..functions import scalars as S
 from ..operators import learning, maintenance, mining, recall, reports
 from ..operators.learning import State
 from ..sources import events, repositories, tables
+from ..sources import shared
 from ..sources.shared import kept
 from ..sources.tables import AS_OF, access_log, table
 from ..streaming import jobs
@@ -38,9 +40,20 @@ def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.learned_vertices(access_log(spark, sf_dir))
 
 
+#: Learned memories that were written to the shared folder, by session and folder of tables.
+_LEARNED: dict[tuple[str, str], State] = {}
+
+
 def _state(spark: SparkSession, sf_dir: str) -> State:
+    """The memory that the log gives, written once: what works on it doesn't learn it again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _LEARNED and not shared.in_block():
+        return _LEARNED[key]
     learned = learning.learn(access_log(spark, sf_dir))
-    return State(kept(learned.vertices), kept(learned.edges))
+    state = State(kept(learned.vertices), kept(learned.edges))
+    if not shared.in_block():
+        _LEARNED[key] = state
+    return state
 
 
 def _edges_out(edges: DataFrame) -> DataFrame:
@@ -86,14 +99,23 @@ def k09_contexts(spark, sf_dir):
 
 _SEEDS = "select 'file:' || f1 as s, 'file:' || f2 as t, n, least(0.05::double + n::double / (select max(n) from cochanged) * 0.9::double, 0.95::double) as w from cochanged"
 _COCHANGED = f"""{oracle.COMMITS},
-sized as (select commit from commits group by 1 having count(*) between 2 and 20),
-cochanged as (select x.file as f1, y.file as f2, count(*) as n from commits x join commits y on x.commit = y.commit and x.file < y.file where x.commit in (select commit from sized) group by 1, 2)"""
+noisy as (select commit, case when file like '%7' then 'node_modules/' || file else file end as file, case when commit % 11 = 0 then 'Merge ' || message else message end as message from commits),
+told as (select * from noisy where not contains(lower(message), 'merge') and not contains(file, 'node_modules/')),
+sized as (select commit from told group by 1 having count(*) between 2 and 20),
+cochanged as (select x.file as f1, y.file as f2, count(*) as n from told x join told y on x.commit = y.commit and x.file < y.file where x.commit in (select commit from sized) group by 1, 2)"""
+
+
+def _noisy_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits with merges among them, and with files that bulk mining skips."""
+    commits = tables.commits(spark, sf_dir)
+    file = F.when(F.col("file").endswith("7"), F.concat(F.lit("node_modules/"), "file")).otherwise(F.col("file"))
+    return commits.select("commit", file.alias("file"), F.when(F.col("commit") % 11 == 0, F.concat(F.lit("Merge "), "message")).otherwise(F.col("message")).alias("message"))
 
 
 @query(f"with {_COCHANGED}, seeds as ({_SEEDS}) select s as source_id, t as target_id, round(w, 6) as weight, n as co_access_count from seeds union all select t, s, round(w, 6), n from seeds")
 def k08_seeded_edges(spark, sf_dir):
     none = spark.createDataFrame([], "source_id string, target_id string, weight double, co_access_count bigint")
-    return _edges_out(learning.seeded_edges(none, mining.cochange_seeds(mining.cochanges(tables.commits(spark, sf_dir)))))
+    return _edges_out(learning.seeded_edges(none, mining.cochange_seeds(mining.cochanges(_noisy_commits(spark, sf_dir)))))
 
 
 @query(oracle.with_vertices(f"""select coalesce(v.id, 'file:' || p.file) as id, coalesce(v.activation, 0.5::double) as activation, coalesce(round(v.myelination, 6), 0.0::double) as myelination
@@ -188,9 +210,9 @@ def k16_streaks(spark, sf_dir):
     return learning.streaks(before, files.filter("path like '%/1%'").select("id"), files.filter("path like '%/1'").select("id"))
 
 
-@query(oracle.with_vertices("select id, case when path like 'view/%' then 'P' end as project from vertices"))
+@query(oracle.with_vertices("select id, case when type = 'file' and path like 'view/%' then 'P' when type = 'file' and path like 'click/%' then 'Q' end as project from vertices"))
 def k19_projects(spark, sf_dir):
-    return learning.tagged_projects(_vertices(spark, sf_dir), "view", "P").select("id", "project")
+    return learning.tagged_projects(learning.tagged_projects(_vertices(spark, sf_dir), "view", "P"), "click/", "Q").select("id", "project")
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -220,11 +242,15 @@ def k22_stale_alert(spark, sf_dir):
     return reports.stale_alert(_vertices(spark, sf_dir), "2024-02-20 00:00:00")
 
 
-@query()
+_TEXTS = "select v.id, v.path || ' ' || string_agg(distinct l.context, ' ') as text from vertices v join log l on l.vertex = v.id where v.type <> 'tool' group by v.id, v.path"
+
+
+@query(oracle.with_vertices(f"select id, slot, round(v, 6) as v from vec").replace("\nselect", ",\n" + oracle.hashed_vector("vec", _TEXTS) + "\nselect", 1))
 def k23_embed_missing(spark, sf_dir):
-    v = _vertices(spark, sf_dir)
-    e = S.hashed_embedding(F.concat_ws(" ", "path", F.array_join("contexts", " ")))
-    return v.select("id", F.transform(e, lambda x: F.round(x, 6)).cast("string").alias("embedding"))
+    """Vectors for the vertices that have none yet, by slots that aren't zero; tools have theirs."""
+    v = _vertices(spark, sf_dir).withColumn("embedding", F.when(F.col("type") == "tool", F.array(F.lit(1.0))))
+    made = recall.embedded(v.filter("embedding is null").select("id", F.concat_ws(" ", "path", F.array_join("contexts", " ")).alias("text")))
+    return made.select("id", F.posexplode("embedding").alias("slot", "v")).filter("v > 0").select("id", "slot", F.round("v", 6).alias("v"))
 
 
 # Filters and rankings -----------------------------------------------------------------------------------------------
@@ -352,9 +378,9 @@ _SESSION_PAIRS = """session_pairs as (select n1, n2 from (select distinct x.sess
 where x.ts > timestamp '{}') group by 1, 2 having count(*) >= {})"""
 
 
-@query(f"with {oracle.LOG}, {_SESSION_PAIRS.format('2024-01-29 00:00:00', 12)} select x.n1 as a, x.n2 as b, y.n2 as c from session_pairs x join session_pairs y on y.n1 = x.n2 join session_pairs z on z.n1 = x.n1 and z.n2 = y.n2")
+@query(f"with {oracle.LOG}, {_SESSION_PAIRS.format('2024-01-24 00:00:00', 3)} select x.n1 as a, x.n2 as b, y.n2 as c from session_pairs x join session_pairs y on y.n1 = x.n2 join session_pairs z on z.n1 = x.n1 and z.n2 = y.n2")
 def j07_triangles(spark, sf_dir):
-    return mining.triangles(mining.session_pairs(access_log(spark, sf_dir), "2024-01-29 00:00:00", 12))
+    return mining.triangles(mining.session_pairs(access_log(spark, sf_dir), "2024-01-24 00:00:00"))
 
 
 @query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_shipdate < timestamp '1993-01-01')")
@@ -509,13 +535,6 @@ def a14_weight_by_count(spark, sf_dir):
     return r.select("co_access_count", F.round("mean_w", 6).alias("mean_w"), F.round("std_w", 6).alias("std_w"), "n")
 
 
-@query()
-def a15_spreading_depths(spark, sf_dir):
-    state = _state(spark, sf_dir)
-    seeds = recall.direct(state, "view k17 error", AS_OF)
-    return reports.spreading_depths(recall.spread(state, seeds))
-
-
 _GOT = "got as (select session_id as query, vertex as id from log where id % 3 <> 0 group by all), expected as (select session_id as query, vertex as id from log where id % 3 <> 1 group by all)"
 
 
@@ -603,10 +622,12 @@ def m05_pruned_vertices(spark, sf_dir):
     return state.edges.agg(F.count("*").alias("edges")).join(F.broadcast(state.vertices.agg(F.count("*").alias("vertices"))))
 
 
-@query(oracle.with_edges("select id from fv where not (type = 'file' and access_count < 3 and myelination < 0.05 and id not in (select source_id from ee union select target_id from ee))", _FADED, "ee as (select * from fe where weight > 0.37)"))
+_PRUNED = "not (weight < 0.05 or (weight < 0.15 and co_access_count <= 1 and last_fired < timestamp '2024-02-25 00:00:00') or (weight < 0.3 and last_fired < timestamp '2024-01-29 00:00:00'))"
+
+
+@query(oracle.with_edges("select id from fv where not (type = 'file' and access_count < 3 and myelination < 0.05 and id not in (select source_id from ee union select target_id from ee))", _FADED, f"ee as (select * from fe where {_PRUNED})"))
 def m06_orphans(spark, sf_dir):
-    state = _faded(spark, sf_dir)
-    return maintenance.orphans_pruned(state.but(edges=state.edges.filter("weight > 0.37"))).vertices.select("id")
+    return maintenance.orphans_pruned(maintenance.edges_pruned(_faded(spark, sf_dir), "2024-02-28 00:00:00")).vertices.select("id")
 
 
 _BALANCED = """means as (select avg(myelination) filter (type = 'file') as mm, avg(access_count) filter (type = 'file' and access_count > 0) as ma from vertices),
@@ -642,35 +663,46 @@ def m09_reviewed(spark, sf_dir):
     return _vertices_out(maintenance.reviewed(State(_vertices(spark, sf_dir), spark.range(0)), "2024-02-05 00:00:00").vertices)
 
 
-_WEAK = "we as (select * replace (weight * 0.3::double as weight) from edges where hash_free % 3 > 0)".replace("hash_free", "co_access_count")
+#: The moment up to which a young memory has learned, of a log that goes on.
+_YOUNG = "2024-01-01 06:00:00"
+_YOUNG_EDGES = "we as (select * replace (weight * 0.5::double as weight) from edges)"
 
 
-def _weak(spark: SparkSession, sf_dir: str) -> State:
-    """A memory with a third of its edges gone and the others weak."""
-    state = _state(spark, sf_dir)
-    return state.but(edges=state.edges.filter("co_access_count % 3 > 0").withColumn("weight", F.col("weight") * 0.3))
+def _young(spark: SparkSession, sf_dir: str) -> State:
+    """A memory of the log's first hours, faded by half: consolidation finds edges to strengthen and to make."""
+    log = access_log(spark, sf_dir).filter(F.col("at") < F.lit(_YOUNG).cast("timestamp_ntz"))
+    learned = learning.learn(log)
+    return State(learned.vertices, kept(learned.edges.withColumn("weight", F.col("weight") * 0.5)))
 
 
-def _confirmed_sql(pairs: str, fresh: str, below: float, bump: float) -> str:
-    return oracle.with_edges(f"""select coalesce(e.source_id, p.s) as source_id, coalesce(e.target_id, p.t) as target_id,
-round(case when p.s is null then weight when weight is null then {fresh} when weight < {below} then least(weight + {bump}::double * {oracle.snap("weight")} * (1 - weight), 1.0::double) else weight end, 6) as weight,
+def _confirmed_part(edges: str, fresh: str, below: float, bump: float) -> str:
+    return f"""select coalesce(e.source_id, p.s) as source_id, coalesce(e.target_id, p.t) as target_id,
+case when p.s is null then weight when weight is null then {fresh} when weight < {below} then least(weight + {bump}::double * {oracle.snap("weight")} * (1 - weight), 1.0::double) else weight end as weight,
 (coalesce(co_access_count, 0) + case when p.s is not null and (weight is null or weight < {below}) then 1 else 0 end)::bigint as co_access_count
-from we e full join both_pairs p on p.s = e.source_id and p.t = e.target_id""", _WEAK, pairs)
+from {edges} e full join both_pairs p on p.s = e.source_id and p.t = e.target_id"""
+
+
+def _confirmed_sql(pairs: str, fresh: str, below: float, bump: float) -> str:
+    return oracle.with_old_edges(_EDGES_SQL.format(f"({_confirmed_part('we', fresh, below, bump)})"), _YOUNG, _YOUNG_EDGES, pairs)
+
 
+_BOTH_SESSION = "both_pairs as (select n1 as s, n2 as t from session_pairs union all select n2, n1 from session_pairs)"
 
-@query(_confirmed_sql(_SESSION_PAIRS.format("2024-01-24 00:00:00", 3) + ", both_pairs as (select n1 as s, n2 as t from session_pairs union all select n2, n1 from session_pairs)", "0.15::double", 0.2, 0.05))
+
+@query(_confirmed_sql(_SESSION_PAIRS.format("2024-01-24 00:00:00", 3).replace("from log x join log y", "from full_log x join full_log y") + ", " + _BOTH_SESSION, "0.15::double", 0.2, 0.05))
 def m10_cross_session(spark, sf_dir):
-    return _edges_out(maintenance.cross_session(_weak(spark, sf_dir), access_log(spark, sf_dir), AS_OF).edges)
+    return _edges_out(maintenance.cross_session(_young(spark, sf_dir), access_log(spark, sf_dir), AS_OF).edges)
 
 
-_CLOSE = """close_pairs as (select x.vertex as n1, y.vertex as n2, avg(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6) as s from log x join log y
-on x.vertex < y.vertex and y.ts between x.ts - interval 600 second and x.ts + interval 600 second and abs(epoch_us(x.ts) - epoch_us(y.ts)) < 600000000 where x.ts > timestamp '2024-01-17 00:00:00' group by 1, 2 having count(*) >= 3),
-both_pairs as (select n1 as s, n2 as t, close_pairs.s as sec from close_pairs union all select n2, n1, close_pairs.s from close_pairs)"""
+def _close_sql(seconds: int, log: str = "log") -> str:
+    return f"""close_pairs as (select x.vertex as n1, y.vertex as n2, avg(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 1e6) as s from {log} x join {log} y
+on x.vertex < y.vertex and y.ts between x.ts - interval {seconds} second and x.ts + interval {seconds} second and abs(epoch_us(x.ts) - epoch_us(y.ts)) < {seconds}000000 where x.ts > timestamp '2024-01-17 00:00:00' group by 1, 2 having count(*) >= 3),
+both_close as (select n1 as s, n2 as t, close_pairs.s as sec from close_pairs union all select n2, n1, close_pairs.s from close_pairs)"""
 
 
-@query(_confirmed_sql(_CLOSE, "0.15::double + 0.15::double * (1 - least(sec, 600) / 600.0::double)", 0.3, 0.03))
+@query(_confirmed_sql(_close_sql(600, "full_log").replace("both_close", "both_pairs"), "0.15::double + 0.15::double * (1 - least(sec, 600) / 600.0::double)", 0.3, 0.03))
 def m11_temporal(spark, sf_dir):
-    return _edges_out(maintenance.temporal(_weak(spark, sf_dir), access_log(spark, sf_dir), AS_OF, 600).edges)
+    return _edges_out(maintenance.temporal(_young(spark, sf_dir), access_log(spark, sf_dir), AS_OF, 600).edges)
 
 
 @query(oracle.with_edges(f"""select source_id, target_id, round(case when d.first_id is not null and weight > 0.1 and weight < 0.8 then least(weight + weight * 0.2::double * {oracle.snap("weight")} * (1 - weight), 1.0::double) else weight end, 6) as weight,
@@ -698,12 +730,45 @@ def m14_pruned_log(spark, sf_dir):
     return maintenance.log_pruned(access_log(spark, sf_dir), AS_OF).select("id")
 
 
-@query()
+_CYCLE = f"""dv as (select * replace (activation * 0.85::double as activation, myelination * 0.995::double as myelination) from fv),
+de as (select * replace (weight * 0.98::double as weight) from fe),
+poor as (select id from dv where activation < 0.1 and myelination < 0.05 and type = 'file'),
+be as (select * replace (case when weight < 0.3 and co_access_count <= 2 and target_id in (select id from poor) then greatest(weight * 0.8::double, 0.05::double) else weight end as weight) from de),
+pe as (select * from be where {_PRUNED}),
+lv as (select * from dv where not (activation < 0.01 and myelination < 0.01 and access_count < 2)),
+le as (select * from pe where source_id in (select id from lv) and target_id in (select id from lv)),
+ov as (select * from lv where not (type = 'file' and access_count < 3 and myelination < 0.05 and id not in (select source_id from le union select target_id from le)))"""
+
+
+@query(oracle.with_edges("select source_id, target_id, round(weight * case when (select avg(weight) from le) > 0.35 then 0.35::double / (select avg(weight) from le) else 1 end, 6) as weight, co_access_count::bigint as co_access_count from le", _FADED, _CYCLE))
 def m15_decay_cycle(spark, sf_dir):
-    return _edges_out(maintenance.decay(_state(spark, sf_dir), "2024-02-28 00:00:00").edges)
+    return _edges_out(maintenance.decay(_faded(spark, sf_dir), "2024-02-28 00:00:00").edges)
 
 
-@query()
+@query(oracle.with_edges("select id from ov", _FADED, _CYCLE))
+def m15_decay_cycle_vertices(spark, sf_dir):
+    return maintenance.decay(_faded(spark, sf_dir), "2024-02-28 00:00:00").vertices.select("id")
+
+
+_CONSOLIDATED = ", ".join([
+    _REPLAYED,
+    """re as (select source_id, target_id, case when n is null then weight else list_reduce(range(1, n + 1)::double[], lambda w, k: least(w + 0.01::double / (1 + exp(8.0::double * (w - 0.5::double))) * (1 - w), 1.0::double), weight) end as weight,
+  co_access_count + coalesce(n, 0) as co_access_count from edges left join both_again on s = source_id and t = target_id)""",
+    _SESSION_PAIRS.format("2024-01-24 00:00:00", 3), _BOTH_SESSION, f"ce as ({_confirmed_part('re', '0.15::double', 0.2, 0.05)})",
+    _close_sql(60), f"te as ({_confirmed_part('ce', '0.15::double + 0.15::double * (1 - least(sec, 60) / 60.0::double)', 0.3, 0.03).replace('both_pairs', 'both_close')})",
+    _ORDERED, f"""one_way as (select d.first_id, d.second_id from directions d left join directions r on r.first_id = d.second_id and r.second_id = d.first_id where d.n > 2 * coalesce(r.n, 0)),
+oe as (select source_id, target_id, case when d.first_id is not null and weight > 0.1 and weight < 0.8 then least(weight + weight * 0.2::double * {oracle.snap("weight")} * (1 - weight), 1.0::double) else weight end as weight,
+  co_access_count + case when d.first_id is not null and weight > 0.1 and weight < 0.8 then 1 else 0 end as co_access_count from te left join one_way d on d.first_id = source_id and d.second_id = target_id)""",
+    """capped as (select n1, n2 from (select *, row_number() over (partition by n1 order by n2) as k from session_pairs) where k <= 20),
+triples as (select x.n1 as a, x.n2 as b, y.n2 as c from capped x join capped y on y.n1 = x.n2 join session_pairs z on z.n1 = x.n1 and z.n2 = y.n2),
+sides as (select s, t, count(*) as n from (select a as s, b as t from triples union all select a, c from triples union all select b, c from triples) group by 1, 2),
+both_sides as (select s, t, n from sides union all select t, s, n from sides),
+xe as (select source_id, target_id, case when n is null then weight else list_reduce(range(1, n + 1)::double[], lambda w, k: case when w < 0.5::double then least(w + 0.05::double / (1 + exp(8.0::double * (w - 0.5::double))) * (1 - w), 1.0::double) else w end, weight) end as weight,
+  co_access_count from oe left join both_sides on s = source_id and t = target_id)""",
+])
+
+
+@query(oracle.with_edges(_EDGES_SQL.format("xe"), _CONSOLIDATED))
 def m16_consolidation(spark, sf_dir):
     state, _ = maintenance.consolidate(_state(spark, sf_dir), access_log(spark, sf_dir), AS_OF)
     return _edges_out(state.edges)
@@ -714,12 +779,12 @@ def m16_consolidation(spark, sf_dir):
 
 @query(f"with {_COCHANGED} select f1, f2, n from cochanged")
 def b01_cochanges(spark, sf_dir):
-    return mining.cochanges(tables.commits(spark, sf_dir)).select("f1", "f2", "n")
+    return mining.cochanges(_noisy_commits(spark, sf_dir)).select("f1", "f2", "n")
 
 
 @query(f"with {_COCHANGED}, seeds as ({_SEEDS}) select s as source_id, t as target_id, round(w, 6) as weight, n from seeds")
 def b02_seeds(spark, sf_dir):
-    return mining.cochange_seeds(mining.cochanges(tables.commits(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
+    return mining.cochange_seeds(mining.cochanges(_noisy_commits(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
 
 
 _KEYED = """named as (select distinct url as file, lower(regexp_replace(regexp_replace(string_split(url, '/')[-1], '\\.(test|spec|stories|story|styles|module|mock|stub|fixture|d)\\.', '.', 'i'), '\\.[^.]+$', '')) as key from pages),
@@ -746,54 +811,86 @@ def b05_indexed_commits(spark, sf_dir):
 
 @query(f"with {_COCHANGED} select count(*) as edges, count(distinct f1) as sources from cochanged")
 def b06_estimate(spark, sf_dir):
-    return mining.cochanges(tables.commits(spark, sf_dir)).agg(F.count("*").alias("edges"), F.countDistinct("f1").alias("sources"))
+    return mining.cochanges(_noisy_commits(spark, sf_dir)).agg(F.count("*").alias("edges"), F.countDistinct("f1").alias("sources"))
 
 
 # Recall -------------------------------------------------------------------------------------------------------------
 
 
 _QUERY = "view k17 error"
-_TOLD_SQL = """told as (select v.*, coalesce(string_agg(distinct l.context, ' '), '') as contexts from vertices v join log l on l.vertex = v.id group by all),
-matched as (select distinct id from (select id, type, row_number() over (partition by word order by myelination desc, id) as k from told, (select unnest(['view', 'k17', 'error']) as word) where contains(lower(contexts), word)) where k <= 10 and type <> 'tool'
-  union select id from told where type <> 'tool' and false),
-scored as (select id, type, path, greatest((contains(contexts, 'view')::int + contains(contexts, 'k17')::int + contains(contexts, 'error')::int) / 3.0::double, 0) as ctx,
-  least(myelination, 0.5::double) * 0.3::double + greatest(0, 1 - date_diff('microsecond', last_accessed, timestamp '2024-01-31 00:00:00') / 3.6e9::double / 168) * 0.2::double
-  + (contains(path, 'view')::int + contains(path, 'k17')::int + contains(path, 'error')::int) / 3.0::double * 0.4::double as bonus from told where id in (select id from matched)),
-direct as (select id, type, path, least(ctx * (1 + bonus), 1.0::double) as confidence from scored where least(ctx * (1 + bonus), 1.0::double) >= 0.4)"""
+#: What error_fingerprint() makes of the query: the vertex that is looked up before all else.
+_PRINT = "error:GENERIC_ERROR|unknown"
+_MEMORY_SQL = f"""told as (select v.*, string_agg(distinct l.context, ' ') as contexts from vertices v join log l on l.vertex = v.id group by all),
+mv as (select case when id = 'error:error/3' then '{_PRINT}' else id end as id, type, case type when 'file' then 'src/' || replace(path, '/', '_') || '.ts' when 'error' then 'doc/' || replace(path, '/', '_') || '.md' else path end as path,
+  myelination, access_count, last_accessed, contexts from told),
+me as (select case when source_id = 'error:error/3' then '{_PRINT}' else source_id end as source_id, case when target_id = 'error:error/3' then '{_PRINT}' else target_id end as target_id, weight from edges),
+{oracle.hashed_vector("vec", "select id, path || ' ' || contexts as text from mv")},
+{oracle.hashed_vector("qvec", f"select 0 as id, '{_QUERY}' as text")},
+sims as (select mv.id, greatest(-1.0::double, least(1.0::double, coalesce(sum(vec.v * qvec.v), 0))) as sim from mv left join vec on vec.id = mv.id left join qvec on qvec.slot = vec.slot group by mv.id),
+words as (select unnest(['view', 'k17', 'error']) as word),
+stems as (select id, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')) as stem from mv)"""
+_AGE = "greatest(0, 1 - date_diff('microsecond', last_accessed, timestamp '2024-01-31 00:00:00') / 3.6e9::double / 168) * 0.2::double"
+_SHARE = "(contains({0}, 'view')::int + contains({0}, 'k17')::int + contains({0}, 'error')::int) / 3.0::double"
+_DIRECT_SQL = f"""{_MEMORY_SQL},
+matched as (select id from (select id, type, row_number() over (partition by word order by myelination desc, id) as k from mv, words where contains(lower(contexts), word)) where k <= 10 and type <> 'tool'
+  union select id from mv join stems using (id) where type <> 'tool' and (contains(stem, 'view') or contains(stem, 'error'))
+  union select id from mv join sims using (id) where type <> 'tool' and sim > 0.25),
+scored as (select id, type, path, case when named then greatest(greatest(sim, 0), 0.5::double) else greatest(sim, 0) end as ctx,
+  least(myelination, 0.5::double) * 0.3::double + {_AGE} + {_SHARE.format("lower(path)")} * 0.4::double + case when named then 0.4::double else 0 end
+  + case when regexp_matches(path, '\\.ts$') then 0.3::double when regexp_matches(path, '\\.md$') then -0.15::double else 0 end as bonus
+  from (select mv.*, sim, contains(stem, 'view') or contains(stem, 'error') as named from mv join sims using (id) join stems using (id)) where id in (select id from matched)),
+direct as (select id, type, path, least(ctx * (1 + bonus), 1.0::double) as c from scored where least(ctx * (1 + bonus), 1.0::double) >= 0.4)"""
+_FIRST_SQL = f"""{_DIRECT_SQL},
+printed as (select e.target_id as id, v.type, least(e.weight * (1 + v.myelination), 0.99::double) as c from me e join mv v on v.id = e.target_id where e.source_id = '{_PRINT}' and e.weight >= 0.3 and v.type <> 'tool' and least(e.weight * (1 + v.myelination), 0.99::double) >= 0.4),
+seeds as (select id, any_value(type) as type, max(c) as c from (select id, type, c from printed union all select id, type, c from direct) group by id)"""
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> State:
+    """The learned memory with names of files and notes, with vectors, and with an error known by its fingerprint."""
+    state = _state(spark, sf_dir)
+    name = F.regexp_replace("path", "/", "_")
+    renamed = lambda c: F.when(F.col(c) == "error:error/3", _PRINT).otherwise(F.col(c))
+    path = F.when(F.col("type") == "file", F.concat(F.lit("src/"), name, F.lit(".ts"))).when(F.col("type") == "error", F.concat(F.lit("doc/"), name, F.lit(".md"))).otherwise(F.col("path"))
+    vertices = state.vertices.withColumn("id", renamed("id")).withColumn("path", path)
+    vectors = recall.embedded(vertices.select("id", F.concat_ws(" ", "path", F.array_join("contexts", " ")).alias("text")))
+    edges = state.edges.withColumn("source_id", renamed("source_id")).withColumn("target_id", renamed("target_id"))
+    return State(kept(vertices.join(vectors, "id", "left")), edges)
+
+
+def _vector(spark: SparkSession) -> DataFrame:
+    return recall.embedded(spark.range(1).select("id", F.lit(_QUERY).alias("text"))).select(F.col("embedding").alias("query"))
 
 
 def _results(df: DataFrame) -> DataFrame:
     return df.select("id", "type", F.round("confidence", 6).alias("confidence"))
 
 
-@query(oracle.with_edges("select id, type, round(confidence, 6) as confidence from direct", _TOLD_SQL))
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from direct", _DIRECT_SQL))
 def r01_direct(spark, sf_dir):
-    return _results(recall.direct(State(_vertices(spark, sf_dir), spark.range(0)), _QUERY, AS_OF))
-
+    return _results(recall.direct(_memory(spark, sf_dir), _QUERY, AS_OF, vector=_vector(spark)))
 
-_HOP = """h{k} as (
-  select t.id, t.type, t.path, f.c * o.weight * (1 + least(t.myelination, 0.5::double)) * o.fan as c, f.c as seed, f.id as src, o.weight as w
-  from f{p} f join onward o on o.source_id = f.id join vertices t on t.id = o.target_id where t.type <> 'tool' and f.c * o.weight * (1 + least(t.myelination, 0.5::double)) * o.fan >= 0.4),
-b{k} as (select id, any_value(type) as type, max(least(c, 0.99::double)) as most, arg_min(least(c, 0.99::double), row(-seed, src, -w)) as found from h{k} group by id),
-a{k} as (select coalesce(a.id, b.id) as id, coalesce(a.type, b.type) as type, greatest(a.c, b.most) as c from a{p} a full join b{k} b on a.id = b.id),
-f{k} as (select id, found as c from b{k} where id not in (select id from a{p}))"""
-_SPREAD = """onward as (select source_id, target_id, weight, 1 / sqrt(least(degree, 50)) as fan from (
-  select *, count(*) over (partition by source_id) as degree, row_number() over (partition by source_id order by weight desc, target_id) as k from edges) where k <= 10 and weight >= 0.3),
-a0 as (select id, type, c from seeds), f0 as (select id, c from seeds), """ + ", ".join(_HOP.format(k=k, p=k - 1) for k in (1, 2, 3))
 
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from printed", _FIRST_SQL))
+def r00_fingerprint(spark, sf_dir):
+    return _results(recall.fingerprint_hits(_memory(spark, sf_dir), _QUERY))
 
-def _sparse(state: State) -> State:
-    """The strong edges only: activation spreads in them beyond a hop."""
-    return state.but(edges=kept(state.edges.filter("weight >= 0.9995")))
 
-
-@query(oracle.with_edges("select id, type, round(c, 6) as confidence from a3", "dense as (select * from edges)", "seeds as (select id, type, 1.0::double as c from vertices where path like '%/1' and type <> 'tool')", _SPREAD.replace("from edges)", "from edges where weight >= 0.9995)")))
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from a3", "seeds as (select id, type, 1.0::double as c from vertices where path like '%/1' and type <> 'tool')", oracle.spread()))
 def r02_spread(spark, sf_dir):
-    state = _sparse(_state(spark, sf_dir))
+    state = _state(spark, sf_dir)
     seeds = state.vertices.filter("path like '%/1' and type <> 'tool'").select("id", "type", "path", F.lit(1.0).alias("confidence"), F.lit("direct").alias("activation_path"))
     return _results(recall.spread(state, seeds))
 
 
+@query(oracle.with_edges("select case when hop = 0 then 'direct' else 'hop' || hop end as depth, count(*) as n, round(avg(c), 6) as confidence, round(count(*) / sum(count(*)) over (), 6) as share from a3 where type in ('file', 'error') group by hop", _DIRECT_SQL, "seeds as (select * from direct order by c, id limit 2)", oracle.spread("me", "mv")))
+def a15_spreading_depths(spark, sf_dir):
+    """From two seeds that are hardly sure: activation takes its hops."""
+    state = _memory(spark, sf_dir)
+    seeds = recall.direct(state, _QUERY, AS_OF, vector=_vector(spark)).orderBy("confidence", "id").limit(2)
+    depths = reports.spreading_depths(recall.spread(state, kept(seeds)))
+    return depths.select("depth", "n", F.round("confidence", 6).alias("confidence"), F.round("share", 6).alias("share"))
+
+
 @query(oracle.with_vertices("select id, type, round(myelination * 0.5::double, 6) as confidence from (select * from vertices order by myelination desc, id limit 12) where type <> 'tool' and myelination * 0.5 >= 0.15"))
 def r03_habitual(spark, sf_dir):
     return _results(recall.habitual(_vertices(spark, sf_dir), 12))
@@ -819,23 +916,56 @@ def r08_similar_each(spark, sf_dir):
     return _similar_each(spark, sf_dir, 0.2, 10).select("query_id", "id", F.round("confidence", 5).alias("confidence"))
 
 
-@query()
+@query("""with files as (select 'file:part/' || p_partkey as id, 'file' as type from part),
+near as (select e.label, greatest(-1.0, least(1.0, list_dot_product(e.embedding::double[], q.embedding::double[]))) as c, row_number() over (order by greatest(-1.0, least(1.0, list_dot_product(e.embedding::double[], q.embedding::double[]))) desc, e.vec_id) as k
+  from embeddings e, (select embedding from embeddings where vec_id = 0) q where greatest(-1.0, least(1.0, list_dot_product(e.embedding::double[], q.embedding::double[]))) >= 0.1),
+best as (select 'file:part/' || (label + 5) as id, max(c) as s from near where k <= 20 group by 1)
+select f.id, f.type, round(case when s is null then 0.5::double when f.id not like '%7' then s else least(greatest(0.5::double, s) * 1.15::double, 0.99::double) end, 5) as confidence from files f left join best b on b.id = f.id where f.id like '%7' or s is not null""")
 def r05_with_snippets(spark, sf_dir):
     files = table(spark, sf_dir, "part").select(F.concat(F.lit("file:part/"), F.col("p_partkey").cast("string")).alias("id"), F.lit("file").alias("type"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"))
     found = files.filter("path like '%7'").withColumn("confidence", F.lit(0.5)).withColumn("activation_path", F.lit("direct"))
     snippets = _similar(spark, sf_dir, 0.1, 20).select(F.concat(F.lit("file:part/"), (F.col("label") + 5).cast("string")).alias("parent"), "confidence")
-    return _results(recall.with_snippets(found, snippets, files))
+    return recall.with_snippets(found, snippets, files).select("id", "type", F.round("confidence", 5).alias("confidence"))
 
 
-@query()
+_EPISODIC_6 = _EPISODIC.replace("contains(context, 'k17')", "contains(context, 'view') or contains(context, 'k17')").replace("limit 10)", "limit 6)").replace("session_id limit 6)", "session_id limit 10)")
+_RECALL_SQL = f"""{_FIRST_SQL}, {oracle.spread("me", "mv")},
+habit as (select id, type, myelination * 0.5::double as c from (select *, row_number() over (order by myelination desc, id) as k from mv) where k <= 10 - (select count(*) from a3) and type <> 'tool' and myelination * 0.5 >= 0.15 and id not in (select id from a3)),
+{_EPISODIC_6},
+episode as (select * from (select v.id, v.type, least(least(n / 5.0::double, 1) * (0.5::double + greatest(0, 1 - date_diff('microsecond', last, timestamp '2024-01-31 00:00:00') / 3.6e9::double / 168) * 0.5::double), 1.0::double) as c
+  from seen join mv v on v.id = vertex where v.type = 'file') where c >= 0.4 order by c desc, id limit 3),
+recalled as (select id, any_value(type) as type, max(c) as c from (select id, type, c from a3 union all select * from habit union all select * from episode) group by id)"""
+
+
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from recalled order by recalled.c desc, id limit 10", _RECALL_SQL))
 def r06_recall(spark, sf_dir):
-    log = access_log(spark, sf_dir)
-    return recall.recall(_state(spark, sf_dir), log, _QUERY, AS_OF, limit=10, budget=100_000).withColumn("confidence", F.round("confidence", 6))
+    return _results(recall.recall(_memory(spark, sf_dir), access_log(spark, sf_dir), _QUERY, AS_OF, limit=10, budget=1_000_000, vector=_vector(spark)))
 
 
-@query()
+@query(oracle.with_edges("select id, type, round(least(greatest(r.c, coalesce(s, 0)) * case when s is null then 1 else 1.15::double end, case when s is null then r.c else 0.99::double end), 6) as confidence from (select id, type, c from recalled) r left join (select id, 0.6::double as s from mv where type = 'file' and path like '%1.ts') n using (id) order by 3 desc, id limit 10", _RECALL_SQL))
+def r06_recall_with_snippets(spark, sf_dir):
+    """With what snippets tell of files: those whose name ends in 1."""
+    state = _memory(spark, sf_dir)
+    snippets = state.vertices.filter("type = 'file' and path like '%1.ts'").select(F.col("id").alias("parent"), F.lit(0.6).alias("confidence"))
+    return _results(recall.recall(state, access_log(spark, sf_dir), _QUERY, AS_OF, limit=10, budget=1_000_000, vector=_vector(spark), snippets=snippets))
+
+
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from (select * from recalled order by c desc, id limit 10) where type = 'file' and id like 'file:view/%'", _RECALL_SQL))
+def l10_recall_in_project(spark, sf_dir):
+    state = _memory(spark, sf_dir)
+    tagged = state.but(vertices=state.vertices.withColumn("project", F.when(F.col("id").startswith("file:view/"), "P")))
+    got = recall.recall(state, access_log(spark, sf_dir), _QUERY, AS_OF, limit=10, budget=1_000_000, vector=_vector(spark))
+    return _results(recall.recall_in_project(tagged, "P", got))
+
+
+_LITE_SQL = f"""matched as (select distinct id from (select id, type, row_number() over (partition by word order by myelination desc, id) as k from mv, words where contains(lower(contexts || ' ' || path), word)) where k <= 20 and type <> 'tool'),
+lite as (select id, type, least(ctx * (1 + least(myelination, 0.5::double) * 0.3::double + {_AGE} + {_SHARE.format("lower(path)")} * 0.2::double), 1.0::double) as c from (select *, {_SHARE.format("lower(contexts)")} as ctx from mv) where id in (select id from matched)),
+seeds as (select * from lite where c >= 0.4 order by c desc, id limit 5)"""
+
+
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from a3 order by a3.c desc, id limit 10", _MEMORY_SQL, _LITE_SQL, oracle.spread("me", "mv")))
 def r11_recall_lite(spark, sf_dir):
-    return recall.recall_lite(_state(spark, sf_dir), _QUERY, AS_OF, limit=10).withColumn("confidence", F.round("confidence", 6))
+    return _results(recall.recall_lite(_memory(spark, sf_dir), _QUERY, AS_OF, limit=10))
 
 
 @query()
@@ -850,12 +980,26 @@ def r09_change_sets(spark, sf_dir):
 ORACLES["r09_change_sets"] = f"with {oracle.COMMITS}, sized as (select commit from commits group by 1 having count(*) between 2 and 20) select file, count(*) as n from commits where commit in (select commit from sized) and contains(lower(message), 'urgent') group by 1"
 
 
-@query()
+_TOLD_FILES = "myelination >= 0.3 and type = 'file'"
+
+
+@query(oracle.with_edges(f"select id, round(c, 6) as confidence from direct join (select id, {_TOLD_FILES} as told from mv) using (id) where type = 'file' and ((told and c >= 0.6) or c >= 0.85) order by c desc, id limit 2", _DIRECT_SQL))
 def r10_consensus(spark, sf_dir):
-    state = _state(spark, sf_dir)
-    got = recall.direct(state, _QUERY, AS_OF)
-    told = state.vertices.filter("type = 'file' and access_count % 2 = 0").select("id")
-    return recall.consensus(got, told).withColumn("confidence", F.round("confidence", 6))
+    state = _memory(spark, sf_dir)
+    got = recall.direct(state, _QUERY, AS_OF, vector=_vector(spark))
+    return recall.consensus(got, state.vertices.filter(_TOLD_FILES).select("id")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(oracle.with_edges(f"""select id, round(c, 6) as confidence from (select id, c from kept union all select id, c from (select id, 0.45::double as c from mv where {_TOLD_FILES} and id not in (select id from kept) order by id limit 12) where (select count(*) from kept) < 12 qualify row_number() over (order by id) <= 12 - (select count(*) from kept)) order by c desc, id limit 12""",
+    _RECALL_SQL, """top as (select r.*, mv.path from recalled r join mv using (id) order by r.c desc, r.id limit 36),
+kept as (select id, c * case when type = 'file' and path not like 'src/view%' then 0.3::double else 1 end as c from top where c >= 0.3 and c * case when type = 'file' and path not like 'src/view%' then 0.3::double else 1 end >= 0.3 order by 2 desc, id limit 12)"""))
+def r10_performed(spark, sf_dir):
+    """What a session in src/view... is told, filled up by files that commits tell of."""
+    state = _memory(spark, sf_dir)
+    moved = state.vertices.withColumn("path", F.regexp_replace("path", "^src/view", "src/v/view"))
+    got = recall.recall(state.but(vertices=state.vertices), access_log(spark, sf_dir), _QUERY, AS_OF, limit=36, budget=1_000_000, vector=_vector(spark)).withColumn("path", F.regexp_replace("path", "^src/view", "src/v/view"))
+    told = moved.filter(_TOLD_FILES).select("path", F.lit(0.5).alias("confidence"))
+    return recall.performed(got, told, moved, limit=12, least=0.3, root="src/v").select("id", F.round("confidence", 6).alias("confidence"))
 
 
 # Scalar functions and sources ---------------------------------------------------------------------------------------
@@ -980,14 +1124,16 @@ def s15_tool_calls(spark, sf_dir):
     return events.from_calls(events.from_json(_calls(spark, sf_dir), schema.TOOL_CALL)).groupBy("type", "path", "context").agg(F.count("*").alias("n"))
 
 
-@query(f"with {oracle.REPLAY} select session_id, row_number() over (partition by session_id order by seq) - 1 as seq, tool_name, case when length(tool_result) > 500 then substr(tool_result, 1, 500) || '...[truncated]' else tool_result end as tool_result from replay")
+@query("select source as session_id, row_number() over (partition by source order by doc_id) - 1 as seq, lang as tool_name, case when length(text) > 8192 then substr(text, 1, 8192) || '…[truncated]' else text end as tool_result from documents")
 def s26_numbered_replay(spark, sf_dir):
-    return reports.numbered_replay(tables.replay(spark, sf_dir))
+    """Documents as results of tools, some of which are long."""
+    calls = table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("seq"), F.col("lang").alias("tool_name"), F.col("text").alias("tool_result"))
+    return reports.numbered_replay(calls)
 
 
-@query("select event_id, ts::varchar as ts from events order by ts desc limit 50")
+@query("select event_id, ts::varchar as ts from events order by ts desc, event_id desc limit 50")
 def s31_last_lines(spark, sf_dir):
-    return table(spark, sf_dir, "events").orderBy(F.desc("ts")).limit(50).select("event_id", F.col("ts").cast("string").alias("ts"))
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", F.col("ts").cast("string").alias("ts"))
 
 
 # Streams ------------------------------------------------------------------------------------------------------------
@@ -1007,6 +1153,72 @@ def t05_streamed_impulses(spark, sf_dir):
     return jobs.finished(jobs.impulses(jobs.event_stream(spark, sf_dir))).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("sum_d"))
 
 
-@query()
+@query(oracle.with_log("select vertex, count(distinct session_id) as n from log group by 1"))
 def t02_without_repeats(spark, sf_dir):
     return jobs.finished(jobs.without_repeats(jobs.event_stream(spark, sf_dir))).groupBy("vertex").agg(F.count("*").alias("n"))
+
+
+# More of learning, seeding and reading ------------------------------------------------------------------------------
+
+
+_TOLD_ERRORS = f"""{_MESSAGES}, named as (select event_id, trim({_nested('message', ERROR_NORMAL)}) as normal, {_cases('message', ERROR_TYPES, 'GENERIC_ERROR')} || '|' || {_cases('message', ERROR_OPERATIONS, 'unknown')} as print from messages)"""
+
+
+@query(f"with {_TOLD_ERRORS} select vertex, count(*) as n, count(distinct context) as contexts from (select 'error:' || normal as vertex, message as context from named join messages using (event_id) union all select 'error:' || print, normal from named) group by 1")
+def k10_errors_told(spark, sf_dir):
+    errors = _messages(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("ts").alias("at")), "event_id").withColumnRenamed("event_id", "id")
+    return learning.errors_told(errors).groupBy("vertex").agg(F.count("*").alias("n"), F.countDistinct("context").alias("contexts"))
+
+
+@query(f"""with {_TOLD_ERRORS}, ends as (select 'error:' || normal as s, 'error:' || print as t, count(*) as n from named where normal <> print group by 1, 2)
+select s as source_id, t as target_id, round(1 - 0.15::double * pow(0.8::double, n - 1), 6) as weight, n as co_access_count from ends union all select t, s, round(1 - 0.15::double * pow(0.8::double, n - 1), 6), n from ends""")
+def k10_wired_errors(spark, sf_dir):
+    none = spark.createDataFrame([], "source_id string, target_id string, weight double, co_access_count bigint")
+    return _edges_out(learning.wired_errors(none, _messages(spark, sf_dir)))
+
+
+_STRETCHES = """marked as (select *, case when ts - lag(ts) over (partition by session_id order by ts, id) >= interval 360 minute or lag(ts) over (partition by session_id order by ts, id) is null then 1 else 0 end as new from log),
+stretched as (select *, session_id || '#' || sum(new) over (partition by session_id order by ts, id) as stretch from marked)"""
+
+
+@query(oracle.with_log("select stretch as session_id, count(*) as total_accesses, sum(token_cost)::bigint as tokens_used from stretched group by 1").replace("\nselect", f", {_STRETCHES}\nselect", 1))
+def k18_sessions_by_idle_time(spark, sf_dir):
+    return learning.sessions(learning.by_idle_time(access_log(spark, sf_dir), 360)).drop("started_at")
+
+
+@query("""with recalled as (select user_id as session_id, props->>'$.k' as id, ts as at from events where event_type = 'view'), opened as (select user_id as session_id, props->>'$.k' as id, ts as at from events where event_type = 'click')
+select distinct r.session_id, r.id from recalled r where not exists (select 1 from opened o join recalled p on p.session_id = o.session_id and p.id = o.id where o.session_id = r.session_id and o.id = r.id and o.at >= p.at and o.at <= p.at + interval 2 hour)""")
+def k17_ignored(spark, sf_dir):
+    """Views as what was recalled, clicks as what was opened."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").alias("id"), F.col("ts").alias("at"), "event_type")
+    return learning.ignored_by_session(e.filter("event_type = 'view'").drop("event_type"), e.filter("event_type = 'click'").drop("event_type"))
+
+
+@query("select source, id, value from (select user_id as source, event_id as id, event_type as value, lag(event_type) over (partition by user_id order by ts, event_id) as b from events) where b is null or b <> value")
+def s24_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("value"))
+    return learning.changes(e).select("source", "id", "value")
+
+
+@query(f"""with {_KEYED}, named_pairs as (select x.file as a, y.file as b from named x join named y on x.key = y.key and x.file < y.file where x.key in (select key from groups)),
+links as (select distinct url as a, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as b from pages),
+seeds as (select a, b, 0.6::double as w from links union all select a, b, 0.3::double from named_pairs),
+both_ways as (select 'file:' || a as s, 'file:' || b as t, w from seeds where a <> b union all select 'file:' || b, 'file:' || a, w from seeds where a <> b)
+select s as source_id, t as target_id, max(w) as weight, count(*) as co_access_count from both_ways group by 1, 2""")
+def b04_structural_seeds(spark, sf_dir):
+    """Links of pages, and their names; no imports, and no sessions, which b04_session_seeds has."""
+    pages = table(spark, sf_dir, "pages")
+    none = spark.createDataFrame([], "edge_id string, source_id string, target_id string, weight double, co_access_count bigint")
+    names = mining.name_groups(pages.select(F.col("url").alias("file")))
+    links = repositories.links(pages.select(F.col("url").alias("source"), "html"))
+    seeds = mining.structural_seeds(links, none.select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), names, names.limit(0))
+    return _edges_out(learning.seeded_edges(none, seeds))
+
+
+@query(_confirmed_sql(_SESSION_PAIRS.format("2024-01-24 00:00:00", 3).replace("from log x join log y", "from full_log x join full_log y") + ", " + _BOTH_SESSION, "0.15::double", 0.2, 0.05).replace("(select coalesce(e.source_id", "(select e.source_id is null as tagged, coalesce(e.source_id").replace("co_access_count::bigint as co_access_count from (", "co_access_count::bigint as co_access_count, tagged from ("))
+def m10_tagged(spark, sf_dir):
+    """Edges that consolidation makes are tagged."""
+    state = _young(spark, sf_dir)
+    state = state.but(edges=state.edges.withColumn("tagged_at", F.lit(None).cast("timestamp_ntz")))
+    edges = maintenance.cross_session(state, access_log(spark, sf_dir), AS_OF).edges
+    return edges.select("source_id", "target_id", F.round("weight", 6).alias("weight"), F.col("co_access_count").cast("bigint").alias("co_access_count"), F.col("tagged_at").isNotNull().alias("tagged"))

@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def in_block() -> bool:
+    """Whether what is written now goes at the end of a released() block."""
+    return bool(_OPEN)
+
+
 def _hadoop(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
