@@ -875,19 +875,30 @@ def r00_fingerprint(spark, sf_dir):
     return _results(recall.fingerprint_hits(_memory(spark, sf_dir), _QUERY))
 
 
-@query(oracle.with_edges("select id, type, round(c, 6) as confidence from a3", "seeds as (select id, type, 1.0::double as c from vertices where path like '%/1' and type <> 'tool')", oracle.spread()))
+_SPARSE_SQL = ("2024-01-01 12:00:00", "se as (select * replace (greatest(weight, 0.97::double) as weight) from edges)", "seeds as (select id, type, 1.0::double as c from vertices where type <> 'tool' and path like '%/1%')", oracle.spread("se"))
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> State:
+    """The memory of half a day, with strong edges: few a vertex, so that activation goes on for several hops."""
+    log = access_log(spark, sf_dir).filter(F.col("at") < F.lit(_SPARSE_SQL[0]).cast("timestamp_ntz"))
+    learned = learning.learn(log)
+    return State(kept(learned.vertices), kept(learned.edges.withColumn("weight", F.greatest("weight", F.lit(0.97)))))
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _sparse(spark, sf_dir)
+    seeds = state.vertices.filter("path like '%/1%' and type <> 'tool'").select("id", "type", "path", F.lit(1.0).alias("confidence"), F.lit("direct").alias("activation_path"))
+    return recall.spread(state, seeds)
+
+
+@query(oracle.with_old_edges("select id, type, round(c, 6) as confidence from a3", *_SPARSE_SQL))
 def r02_spread(spark, sf_dir):
-    state = _state(spark, sf_dir)
-    seeds = state.vertices.filter("path like '%/1' and type <> 'tool'").select("id", "type", "path", F.lit(1.0).alias("confidence"), F.lit("direct").alias("activation_path"))
-    return _results(recall.spread(state, seeds))
+    return _results(_spread(spark, sf_dir))
 
 
-@query(oracle.with_edges("select case when hop = 0 then 'direct' else 'hop' || hop end as depth, count(*) as n, round(avg(c), 6) as confidence, round(count(*) / sum(count(*)) over (), 6) as share from a3 where type in ('file', 'error') group by hop", _DIRECT_SQL, "seeds as (select * from direct order by c, id limit 2)", oracle.spread("me", "mv")))
+@query(oracle.with_old_edges("select case when hop = 0 then 'direct' else 'hop' || hop end as depth, count(*) as n, round(avg(c), 6) as confidence, round(count(*) / sum(count(*)) over (), 6) as share from a3 where type in ('file', 'error') group by hop", *_SPARSE_SQL))
 def a15_spreading_depths(spark, sf_dir):
-    """From two seeds that are hardly sure: activation takes its hops."""
-    state = _memory(spark, sf_dir)
-    seeds = recall.direct(state, _QUERY, AS_OF, vector=_vector(spark)).orderBy("confidence", "id").limit(2)
-    depths = reports.spreading_depths(recall.spread(state, kept(seeds)))
+    depths = reports.spreading_depths(_spread(spark, sf_dir))
     return depths.select("depth", "n", F.round("confidence", 6).alias("confidence"), F.round("share", 6).alias("share"))
 
 
