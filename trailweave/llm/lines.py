@@ -7,7 +7,8 @@ any gram that begins with a short line of twelve words or more: a run of short l
 least, and the same wherever it stands. Fingerprints that repeat are joined
 back to their positions, and only around these positions matches are extended, to both ends: to the runs of short
 lines through the position that have `min_words` words, but fewer without the last or without the first. Runs that are
-equal are joined to the first of them; later ones go. Longer matches are covered by such runs. Each step is a window over one text, a grouped minimum or an equi-join: pairs of
+equal are joined to the first of them; later ones go. Longer matches are covered by such runs. Texts that repeat as a
+whole are found by their hash before: later copies go whole, and all else works on the first of them. Each step is a window over one text, a grouped minimum or an equi-join: pairs of
 occurrences are never formed."""
 
 from __future__ import annotations
@@ -46,12 +47,23 @@ def _total(units: Column) -> Column:
 
 
 def known_texts(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, units): the texts with enough words, known by doc_id and the text's hash th, and their short lines. The key
-    is one struct, by which null numbers are joined and grouped as any other."""
-    some = docs.filter(F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text")
+    """(key, th2, units): the texts with enough words, known by doc_id and the text's hash th, and their short lines. The
+    key is one struct, by which null numbers are joined and grouped as any other; th2 makes 128 bits of the hash."""
+    some = docs.filter(F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), F.xxhash64(F.lit(1), "text").alias("th2"), "text")
     return settled(some, units=_worded(F.col("text"))).filter(_total(F.col("units")) >= min_words).drop("text")
 
 
+def _place(*more: str) -> Column:
+    return F.struct(F.col("key.doc_id").isNull().alias("null_id"), "key", *more)
+
+
+def later_copies(texts: DataFrame) -> DataFrame:
+    """(key): the texts that another of a smaller place repeats as a whole."""
+    thin = texts.select("key", "th2", F.col("key.th").alias("th"))
+    first = thin.groupBy("th", "th2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first < last").drop("last")
+    return spread_join(thin, first, ["th", "th2"], [F.col("key")], "inner").filter(_place() > F.col("first")).select("key").distinct()
+
+
 def fingerprints(texts: DataFrame) -> DataFrame:
     """(fp, key, x): the selected fingerprints and where they are, x the number of the short line with words."""
 
@@ -96,22 +108,26 @@ def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, gone): by text that repeats passages, for its short lines whether each goes."""
+    """(key, copy, gone): by text that repeats another as a whole (copy), or passages: for its short lines whether each
+    goes."""
     texts = keep(known_texts(docs, min_words))
     found = fingerprints(texts)
-    again = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    # Copies of a text don't make its fingerprints repeat: it has them at the same places.
+    where = F.xxhash64("key.th", "x")
+    again = found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp")
     at = spread_join(found, again, ["fp"], [F.col("key"), F.col("x")], "left_semi").groupBy("key").agg(F.collect_set("x").alias("xs"))
-    extended = keep(passages(texts, at, min_words))
-    place = F.struct(F.col("key.doc_id").isNull().alias("null_id"), "key", "line")
-    first = extended.groupBy("p1", "p2").agg(F.min(place).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner").filter(place > F.col("begin"))
+    copies = keep(later_copies(texts))
+    extended = keep(passages(texts, at.join(copies.hint("merge"), "key", "left_anti"), min_words))
+    first = extended.groupBy("p1", "p2").agg(F.min(_place("line")).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner").filter(_place("line") > F.col("begin"))
     # Each run adds the lines beyond those before it.
     upto = F.coalesce(F.max("last").over(Window.partitionBy("key").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = later.select("key", "line", "last", upto.alias("upto")).filter("last > upto")
     start = F.greatest(F.col("line"), F.col("upto") + 1)
     runs = runs.select("key", F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
     flags = F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(F.array_repeat(F.lit(False), r["stay"]), F.array_repeat(F.lit(True), r["go"]))))
-    return runs.groupBy("key").agg(flags.alias("gone"))
+    gone = runs.groupBy("key").agg(flags.alias("gone")).select("key", F.lit(False).alias("copy"), "gone")
+    return gone.unionByName(copies.select("key", F.lit(True).alias("copy"), F.lit(None).cast("array<boolean>").alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -125,16 +141,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of its size. n_chars, if there is one, is counted anew where lines went. An empty table gives an empty result;
     columns other than these pass through, whatever their names."""
     columns = docs.columns
-    key, gone, deleted = fresh(columns, "_k"), fresh(columns, "_gone"), "_deleted_lines"
+    key, mark, deleted = fresh(columns, "_k"), fresh(columns, "_mark"), "_deleted_lines"
     if min_words < GRAM - 2 + 2 * LONG:
         raise ValueError(f"runs of fewer than {GRAM - 2 + 2 * LONG} words may have no fingerprint")
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    marks = repeats(typed.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("gone").alias(gone))
+    marks = repeats(typed.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.struct("copy", "gone").alias(mark))
     # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size.
     out = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th"))).join(marks.hint("merge"), key, "left")
-    left = F.filter(_pieces(F.col("text")), lambda line, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
-    out = out.withColumn(deleted, F.coalesce(F.aggregate(gone, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
-    touched = F.col(gone).isNotNull()
+    out = settled(out, **{mark: F.when(F.col(mark).isNotNull(), F.struct(f"{mark}.*", _pieces(F.col("text")).alias("pieces")))})
+    # A later copy goes from its first line with words to its last.
+    said = F.transform(f"{mark}.pieces", lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
+    begin, end = F.array_position(said, True) - 1, F.size(said) - F.array_position(F.reverse(said), True)
+    whole = F.concat(F.array_repeat(F.lit(False), begin.cast("int")), F.array_repeat(F.lit(True), (end - begin + 1).cast("int")))
+    out = settled(out, **{mark: F.when(F.col(mark).isNotNull(), F.struct(F.col(f"{mark}.pieces").alias("pieces"), F.when(F.col(f"{mark}.copy"), whole).otherwise(F.col(f"{mark}.gone")).alias("gone")))})
+    left = F.filter(f"{mark}.pieces", lambda p, i: ~F.coalesce(F.get(f"{mark}.gone", i), F.lit(False)))
+    out = out.withColumn(deleted, F.coalesce(F.aggregate(f"{mark}.gone", F.lit(0), lambda n, x: n + x.cast("int")), F.lit(0)))
+    touched = F.col(mark).isNotNull()
     out = out.withColumn("text", F.when(touched, F.array_join(left, "")).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
