@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.correctness import compare
 from trailweave.plans import registry
 
-FAST = ["k01_learned_edges", "l05_context_search", "j04_close_pairs", "a02_token_report", "m02_bridges", "r02_spread", "b01_cochanges", "f02_fingerprints", "s15_tool_calls", "t05_streamed_impulses"]
+FAST = ["k01_learned_edges", "r06_recall", "m16_consolidation", "m15_decay_cycle", "k23_embed_missing", "s06_parsed_log", "k10_wired_errors", "k17_ignored", "l05_context_search", "j04_close_pairs", "a02_token_report", "m02_bridges", "r02_spread", "b01_cochanges", "f02_fingerprints", "s15_tool_calls", "t05_streamed_impulses"]
 
 
 def test_names_and_oracles():

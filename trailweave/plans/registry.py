@@ -983,7 +983,7 @@ def r11_recall_lite(spark, sf_dir):
 def r09_change_sets(spark, sf_dir):
     """Files that commits whose message has the query's word changed, by how often: of those that exist."""
     commits = mining.indexed_commits(tables.commits(spark, sf_dir)).filter(F.contains(F.lower(F.col("contexts")[0]), F.lit("urgent")))
-    files = commits.select(F.explode(F.split(F.substring(F.col("contexts")[1], 7, 1_000_000), ",")).alias("file"))
+    files = commits.select(F.explode(F.split(F.substr(F.col("contexts")[1], F.lit(7)), ",")).alias("file"))
     known = table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("file"))
     return files.join(known, "file", "left_semi").groupBy("file").agg(F.count("*").alias("n"))
 
@@ -1098,14 +1098,14 @@ def f25_truncated(spark, sf_dir):
 
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change logs as text, one a customer, of orders and their parts."""
-    files = tables.commits(spark, sf_dir).groupBy("commit", "message").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    files = _noisy_commits(spark, sf_dir).groupBy("commit", "message").agg(F.array_sort(F.collect_set("file")).alias("files"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("log"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("date"))
     text = F.concat(F.array(F.concat(F.lit("COMMIT:"), F.col("commit").cast("string")), F.concat(F.lit("DATE:"), F.col("date").cast("string")), F.concat(F.lit("MSG:"), "message"), F.lit("")), "files", F.array(F.lit("")))
     lines = files.join(orders, "commit").select("log", "commit", F.posexplode(text).alias("pos", "value"))
     return lines.select("log", (F.col("commit") * 100 + F.col("pos")).alias("line"), "value")
 
 
-@query(f"with {oracle.COMMITS} select c.commit::varchar as hash, any_value(epoch(o_orderdate))::bigint as timestamp, any_value(c.message) as message, string_agg(file, ',' order by file) as files from commits c join orders on o_orderkey = commit group by c.commit having count(*) between 1 and 20")
+@query(f"with {_COCHANGED} select c.commit::varchar as hash, any_value(epoch(o_orderdate))::bigint as timestamp, any_value(c.message) as message, string_agg(file, ',' order by file) as files from told c join orders on o_orderkey = commit group by c.commit having count(*) between 1 and 20")
 def s06_parsed_log(spark, sf_dir):
     return repositories.parsed_log(_log_lines(spark, sf_dir)).select("hash", "timestamp", "message", F.array_join("files", ",").alias("files"))
 

@@ -14,14 +14,16 @@ ENDINGS = [".ts", ".tsx", ".js", ".jsx", "", "/index.ts", "/index.tsx", "/index.
 
 def parsed_log(lines: DataFrame, most_files: int = 20) -> DataFrame:
     """(log, hash, timestamp, message, files): commits of change logs, lines (log, line, value) with COMMIT:, DATE: and
-    MSG: marks and else the changed files. Merges, and commits of no file or of more than most_files, are left out."""
+    MSG: marks and else the changed files. Merges, and commits of no file or of more than most_files, are left out.
+
+    No more than most_files + 1 files of a commit are gathered."""
     marked = lines.withColumn("n", F.sum(F.startswith("value", F.lit("COMMIT:")).cast("int")).over(Window.partitionBy("log").orderBy("line"))).filter("n > 0")
-    told = lambda mark: F.max(F.when(F.startswith("value", F.lit(mark)), F.substring("value", len(mark) + 1, 1_000_000)))
+    told = lambda mark: F.max(F.when(F.startswith("value", F.lit(mark)), F.substr("value", F.lit(len(mark) + 1))))
     path = F.trim("value")
     is_file = ~F.col("value").rlike("^(COMMIT|DATE|MSG):") & (path != "") & ~S.is_skipped_in_bulk(path)
-    commits = marked.groupBy("log", "n").agg(
-        told("COMMIT:").alias("hash"), told("DATE:").cast("bigint").alias("timestamp"), told("MSG:").alias("message"), F.transform(F.array_sort(F.collect_list(F.when(is_file, F.struct("line", path.alias("p"))))), lambda x: x["p"]).alias("files")
-    )
+    k = F.row_number().over(Window.partitionBy("log", "n").orderBy(F.desc(is_file), "line"))
+    listed = F.collect_list(F.when(is_file & (F.col("k") <= most_files + 1), F.struct("line", path.alias("p"))))
+    commits = marked.withColumn("k", k).groupBy("log", "n").agg(told("COMMIT:").alias("hash"), told("DATE:").cast("bigint").alias("timestamp"), told("MSG:").alias("message"), F.transform(F.array_sort(listed), lambda x: x["p"]).alias("files"))
     return commits.filter(F.size("files").between(1, most_files) & ~F.lower(F.coalesce("message", F.lit(""))).contains("merge")).drop("n")
 
 
@@ -62,8 +64,8 @@ def noted_links(notes: DataFrame) -> DataFrame:
     return each.select("source", F.explode("targets").alias("target"))
 
 
-def listed_files(spark, root: str, pattern: str = "*", most_bytes: int = 1 << 20) -> DataFrame:
+def listed_files(spark, root: str, pattern: str = "*") -> DataFrame:
     """(file, text) of the files under a root, without those that bulk mining skips."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return files.filter(~S.is_skipped_in_bulk(F.col("path")) & (F.col("length") <= most_bytes)).select(path.alias("file"), F.decode("content", "UTF-8").alias("text"))
+    return files.filter(~S.is_skipped_in_bulk(F.col("path"))).select(path.alias("file"), F.decode("content", "UTF-8").alias("text"))

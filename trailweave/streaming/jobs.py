@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
-from ..sources.shared import shared_dir
+from ..schema import SOCKET_EVENT
+from ..sources.events import from_json
+from ..sources.shared import new_path
 
-DEBOUNCE, MOST_PENDING, IDLE = "2 seconds", 50, "15 minutes"
+DEBOUNCE, IDLE = "2 seconds", "15 minutes"
 IMPULSES = "a string, b string, at timestamp, id bigint, pos bigint, d double"
 _STATE = "vertices array<string>, types array<string>"
 
@@ -32,7 +33,7 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, by way of Parquet in the shared folder. What a batch writes goes
     to the batch's own folder, and a batch that is run again writes over it."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
@@ -52,6 +53,17 @@ def recorded(stream: DataFrame, checkpoint: str, record: Callable[[DataFrame, in
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=DEBOUNCE).foreachBatch(each).start()
 
 
+def ended_sessions(stream: DataFrame, checkpoint: str, upkeep: Callable[[DataFrame, int], None], idle: str = IDLE, late: str = "1 hour"):
+    """Starts the job of session ends: sessions that the watermark has passed go to upkeep, once a batch."""
+    closed = session_windows(stream, idle, late)
+    return closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=DEBOUNCE).foreachBatch(upkeep).start()
+
+
+def events_of(lines: DataFrame) -> DataFrame:
+    """A stream of accesses from a stream of JSON lines (value) as schema.SOCKET_EVENT; other lines are left out."""
+    return from_json(lines, SOCKET_EVENT).filter("type is not null and path is not null").withColumn("vertex", F.concat("type", F.lit(":"), "path"))
+
+
 def without_repeats(stream: DataFrame, within: str = "2 minutes") -> DataFrame:
     """Accesses of a session to a vertex within a time count once."""
     return stream.withWatermark("at", within).dropDuplicatesWithinWatermark(["session_id", "vertex"])
