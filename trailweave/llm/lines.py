@@ -101,9 +101,10 @@ def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
         return F.struct(first.alias("line"), last.alias("last"), F.xxhash64(hs).alias("p1"), F.xxhash64(F.lit(1), hs).alias("p2"))
 
     begins = F.when(F.max("hit").over(ahead) & (F.max("upto").over(ahead) >= F.col("at") + min_words), run(ahead, F.col("line"), F.max("line").over(ahead)))
-    ends = F.when(F.max("hit").over(back) & (F.col("upto") - F.min("at").over(back) >= min_words), run(back, F.min("line").over(back), F.col("line")))
+    # One that is enough without its last line is no other run's beginning.
+    ends = F.when(F.max("hit").over(back) & (F.col("at") - F.min("at").over(back) >= min_words), run(back, F.min("line").over(back), F.col("line")))
     both = placed.select("key", begins.alias("begins"), ends.alias("ends"))
-    each = both.select("key", F.explode(F.array_distinct(F.array_compact(F.array("begins", "ends")))).alias("p"))
+    each = both.select("key", F.explode(F.array_compact(F.array("begins", "ends"))).alias("p"))
     return each.select("key", "p.*")
 
 
