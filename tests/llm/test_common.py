@@ -18,3 +18,19 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 102), (102, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in common.connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Workers may not have this package: what tasks call is pickled by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from trailweave.llm import decontaminate, language, mainhtml, nearcopies, tokens
+
+    calls = [(mainhtml.main_text, ("<p class=x>A text, so it is.</p>",)), (decontaminate.normal_words, ("a b",)), (nearcopies.shingle_set, ("a b c",)), (tokens.byte_letters, ()), (lambda t: [*language.Grams(3, 64).batches([t])], ("ab",))]
+    (tmp_path / "calls").write_bytes(cloudpickle.dumps(calls))
+    code = "import pickle; print([bool(len(f(*a))) for f, a in pickle.load(open('calls', 'rb'))])"
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.strip() == str([True] * 5)

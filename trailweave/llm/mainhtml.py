@@ -14,7 +14,6 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,9 +61,20 @@ def _is_boiler(word: str) -> bool:
     return word in _EXACT or word.startswith(_STEMS)
 
 
-@lru_cache(maxsize=20_000)
+#: Signs that were found before: a plain table, which travels to workers with the functions.
+_SIGNS: dict[tuple[str, str], tuple[float, float, bool]] = {}
+
+
 def own_signs(tag: str, attributes: str) -> tuple[float, float, bool]:
     """What an element tells of what is in it, as boilerplate and as content; whether it is never seen."""
+    if (tag, attributes) not in _SIGNS:
+        if len(_SIGNS) >= 20_000:
+            _SIGNS.clear()
+        _SIGNS[tag, attributes] = _signs(tag, attributes)
+    return _SIGNS[tag, attributes]
+
+
+def _signs(tag: str, attributes: str) -> tuple[float, float, bool]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()) is not None
     roles = found.get("role", "").lower().split()
