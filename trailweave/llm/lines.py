@@ -54,7 +54,7 @@ def known_texts(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _place(*more: str) -> Column:
-    return F.struct(F.col("key.doc_id").isNull().alias("null_id"), "key", *more)
+    return F.struct(F.col("key.doc_id").isNull().alias("null_id"), "key.doc_id", "key.th", *more)
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
@@ -89,8 +89,10 @@ def fingerprints(texts: DataFrame) -> DataFrame:
 def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
     """(key, line, last, p1, p2): the runs around the positions at (key, xs), with 128 bits of their words."""
     # Rows that repeat are taken once; texts, join and windows are all dealt by the key.
-    once = texts.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("k = 1").drop("k")
-    near = once.join(at.hint("merge"), "key").select("key", "xs", F.posexplode("units").alias("x", "u"))
+    # Arrays of numbers are a third of the size of an array of structs.
+    flat = texts.select("key", *(F.col(f"units.{c}").alias(c) for c in ("i", "h", "n")))
+    once = flat.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("k = 1").drop("k")
+    near = once.join(at.hint("merge"), "key").select("key", "xs", F.posexplode(F.arrays_zip("i", "h", "n")).alias("x", "u"))
     lines = near.select("key", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.array_contains("xs", F.col("x")).alias("hit"))
     placed = lines.withColumn("at", F.sum("n").over(Window.partitionBy("key").orderBy("line")) - F.col("n")).withColumn("upto", F.col("at") + F.col("n"))
     by_start, by_end = (Window.partitionBy("key").orderBy(c) for c in ("at", "upto"))
@@ -116,11 +118,11 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     # Copies of a text don't make its fingerprints repeat: it has them at the same places.
     where = F.xxhash64("key.th", "x")
     again = found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp")
-    at = spread_join(found, again, ["fp"], [F.col("key"), F.col("x")], "left_semi").groupBy("key").agg(F.collect_set("x").alias("xs"))
+    at = spread_join(found, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
     copies = keep(later_copies(texts))
     extended = keep(passages(texts, at.join(copies.hint("merge"), "key", "left_anti"), min_words))
     first = extended.groupBy("p1", "p2").agg(F.min(_place("line")).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner").filter(_place("line") > F.col("begin"))
+    later = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner", salts=4).filter(_place("line") > F.col("begin"))
     # Each run adds the lines beyond those before it.
     upto = F.coalesce(F.max("last").over(Window.partitionBy("key").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = later.select("key", "line", "last", upto.alias("upto")).filter("last > upto")
