@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, language, lines, mainhtml, mixing, quality, quotes, simhash, tokens, warc
+from . import decontaminate, interactions, language, lines, mainhtml, mixing, negatives, quality, quotes, sharding, simhash, tokens, warc
 from .common import table
 
 
@@ -48,8 +48,23 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return interactions.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_mixing, op4_quality, op5_token_counts, op6_quotes, op7_simhash, op8_language, op9_main_html, op10_decontaminate)
-}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    for f in (
+        op1_line_dedup, op2_warc, op3_mixing, op4_quality, op5_token_counts, op6_quotes, op7_simhash, op8_language, op9_main_html, op10_decontaminate,
+        op11_sharding, op12_hard_negatives, op13_filter_audit,
+    )
+}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.ORACLE, "op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op11_sharding": sharding.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_filter_audit": interactions.ORACLE}
