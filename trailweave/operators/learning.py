@@ -73,43 +73,71 @@ def _recent_before(placed: DataFrame, size: int) -> DataFrame:
     return now.withColumn("block", F.col("block") + 1).filter("block <= last_block").drop("last_block")
 
 
-def windows(log: DataFrame, size: int = C.WINDOW) -> DataFrame:
+def windows(log: DataFrame, size: int = C.WINDOW, before: DataFrame | None = None) -> DataFrame:
     """(session_id, ord, vertex, type, at, id, recent, recent_type, recency, len): the members of each access's window
-    of recent distinct vertices of its session, recency 1 the latest.
+    of recent distinct vertices of its session, recency 1 the latest. before: of each session the latest accesses before
+    the log, one a vertex, of which windows have members but that get none themselves.
 
     An access is joined with those of its block and the `size` latest before it: BLOCK + size at most."""
-    placed = kept(ordinals(log).select("session_id", "ord", "nxt", "vertex", "type", "at", "id", F.floor((F.col("ord") - 1) / BLOCK).alias("block")))
+    columns = ["session_id", "vertex", "type", "at", "id"]
+    given = log.select(*columns, F.lit(True).alias("_own"))
+    given = given if before is None else given.unionByName(before.select(*columns, F.lit(False).alias("_own")))
+    placed = kept(ordinals(given).select("session_id", "ord", "nxt", "vertex", "type", "at", "id", "_own", F.floor((F.col("ord") - 1) / BLOCK).alias("block")))
     here = placed.select("session_id", "block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"))
     then = here.unionByName(_recent_before(placed, size))
-    now = placed.select("session_id", "block", "ord", "vertex", "type", "at", "id")
+    now = placed.filter("_own").select("session_id", "block", "ord", "vertex", "type", "at", "id")
     live = now.join(then, ["session_id", "block"]).filter((F.col("then") < F.col("ord")) & (F.col("nxt").isNull() | (F.col("ord") <= F.col("nxt")))).drop("block")
     access = Window.partitionBy("session_id", "ord")
     ranked = live.withColumn("recency", F.row_number().over(access.orderBy(F.desc("then")))).filter(F.col("recency") <= size)
     return ranked.withColumn("len", F.count("*").over(access)).drop("then", "nxt")
 
 
-def impulses(log: DataFrame, hubs: bool = True) -> DataFrame:
-    """(a, b, at, id, pos, d): what each access gives each pair a < b, d, in the order (at, id, pos)."""
-    fired = windows(log).filter("recent <> vertex")
+def _fired(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(a, b, at, id, pos, d): what each access would give each pair a < b if there were no hubs."""
+    fired = windows(log, before=before).filter("recent <> vertex")
     rate = C.LEARNING_RATE * F.when((F.col("type") == "error") | (F.col("recent_type") == "error"), C.ERROR_BOOST).otherwise(1.0)
     pos = F.col("len") - F.col("recency") + 1
-    fired = fired.select(F.least("vertex", "recent").alias("a"), F.greatest("vertex", "recent").alias("b"), "at", "id", pos.alias("pos"), (rate * pos / F.col("len")).alias("d"))
-    if not hubs:
-        return fired
-    fired = kept(fired)
-    order = F.struct("at", "id", "pos")
-    first = fired.groupBy("a", "b").agg(F.min(order).alias("first"))
+    return fired.select(F.least("vertex", "recent").alias("a"), F.greatest("vertex", "recent").alias("b"), "at", "id", pos.alias("pos"), (rate * pos / F.col("len")).alias("d"))
+
+
+def _first_partners(fired: DataFrame, known: DataFrame | None = None, partners: DataFrame | None = None) -> DataFrame:
+    """(end, first, n): the first HUB_DEGREE + 1 partners of each vertex, by the first impulse of each, in order.
+    known: pairs (a, b) from before, whose ends stand in partners (end, first) as far as they count."""
+    first = fired.groupBy("a", "b").agg(F.min(F.struct("at", "id", "pos")).alias("first"))
+    first = first if known is None else first.join(known.select("a", "b"), ["a", "b"], "left_anti")
     ends = first.select(F.explode(F.array("a", "b")).alias("end"), "first")
-    # A vertex is a hub once it has more partners than HUB_DEGREE: after the first impulse of the one beyond them.
-    ranked = ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("first"))).filter(F.col("n") <= C.HUB_DEGREE + 1)
+    ends = ends if partners is None else ends.unionByName(partners.select("end", "first"))
+    return ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("first"))).filter(F.col("n") <= C.HUB_DEGREE + 1)
+
+
+def _damped(fired: DataFrame, partners: DataFrame) -> DataFrame:
+    """fired with impulses at hubs halved. A vertex is a hub once it has more partners than HUB_DEGREE: after the first
+    impulse of the one beyond them."""
     # One row a hub, written once: it is joined to both ends.
-    hub = kept(ranked.filter(F.col("n") == C.HUB_DEGREE + 1).select("end", "first"))
+    hub = kept(partners.filter(F.col("n") == C.HUB_DEGREE + 1).select("end", "first"))
     hub_a, hub_b = (hub.select(F.col("end").alias(c), F.col("first").alias(f"hub_{c}")) for c in ("a", "b"))
+    order = F.struct("at", "id", "pos")
     damped = F.coalesce(order > F.col("hub_a"), F.lit(False)) | F.coalesce(order > F.col("hub_b"), F.lit(False))
     marked = fired.join(hub_a, "a", "left").join(hub_b, "b", "left")
     return marked.select("a", "b", "at", "id", "pos", (F.col("d") * F.when(damped, C.HUB_FACTOR).otherwise(1.0)).alias("d"))
 
 
+def impulses(log: DataFrame, hubs: bool = True) -> DataFrame:
+    """(a, b, at, id, pos, d): what each access gives each pair a < b, d, in the order (at, id, pos)."""
+    if not hubs:
+        return _fired(log)
+    fired = kept(_fired(log))
+    return _damped(fired, _first_partners(fired))
+
+
+def impulses_after(log: DataFrame, before: DataFrame, known: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """impulses() of a log that goes on, and (end, first), the first partners of each vertex after it. before: the
+    latest vertices of each session; known: the pairs that there are; partners: the first partners before the log."""
+    fired = kept(_fired(log, before))
+    now = kept(_first_partners(fired, known, partners))
+    return _damped(fired, now), now.select("end", "first")
+
+
 def folded(given: DataFrame, known: DataFrame | None = None, step=S.strengthen, captured: bool = True, most: int = MOST_IMPULSES) -> DataFrame:
     """(a, b, weight, co_access_count, last_fired): the pairs' weights after their impulses. known: weights from
     before. A pair's first impulse makes its edge, with the weight of a captured tag.
@@ -146,10 +174,14 @@ def learned_edges(log: DataFrame) -> DataFrame:
     return both_ways(folded(impulses(log)))
 
 
-def learned_vertices(log: DataFrame) -> DataFrame:
-    # What a vertex holds grows with its contexts, not with its accesses, and only the latest new contexts are gathered.
+def told(log: DataFrame) -> DataFrame:
+    """(vertex, type, path, context, n, last, first): how often each vertex was accessed with each context, and when."""
+    return log.groupBy("vertex", "type", "path", "context").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.min(F.struct("at", "id")).alias("first"))
+
+
+def vertices_of(told: DataFrame) -> DataFrame:
+    """The vertices that told() tells of. Only the latest new contexts of a vertex are gathered."""
     key = ["vertex", "type", "path"]
-    told = log.groupBy(*key, "context").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.min(F.struct("at", "id")).alias("first"))
     counts = told.groupBy(*key).agg(F.sum("n").alias("access_count"), F.max("last").alias("last_accessed"))
     ranked = told.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("first"), F.desc("context")))).filter(F.col("k") <= C.CONTEXTS_RECORDED)
     first = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "context"))).alias("told")).select(*(F.col(c).alias(f"{c}_") for c in key), "told")
@@ -160,6 +192,11 @@ def learned_vertices(log: DataFrame) -> DataFrame:
     )
 
 
+def learned_vertices(log: DataFrame) -> DataFrame:
+    # What a vertex holds grows with its contexts, not with its accesses.
+    return vertices_of(told(log))
+
+
 def learn(log: DataFrame) -> State:
     return State(learned_vertices(log), learned_edges(log))
 

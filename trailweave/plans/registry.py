@@ -11,11 +11,12 @@ from .. import schema
 from .. import constants as C
 from ..constants import ERROR_NORMAL, ERROR_OPERATIONS, ERROR_TYPES, OUTPUT_ERRORS, OUTPUT_NORMAL, STOPWORDS
 from ..functions import scalars as S
-from ..operators import learning, maintenance, mining, recall, reports
+from ..operators import continual, learning, maintenance, mining, recall, reports
 from ..operators.learning import State
 from ..sources import events, repositories, tables
 from ..sources import shared
 from ..sources.shared import kept
+from ..sources.store import MemoryStore, fingerprint
 from ..sources.tables import AS_OF, access_log, table
 from ..streaming import jobs
 from . import oracle
@@ -40,20 +41,36 @@ def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.learned_vertices(access_log(spark, sf_dir))
 
 
-#: Learned memories that were written to the shared folder, by session and folder of tables.
-_LEARNED: dict[tuple[str, str], State] = {}
+def _store(spark: SparkSession, sf_dir: str, name: str) -> MemoryStore:
+    """A memory store for what is learned of the events, under the digest of their files: events that change have
+    another. It goes when the driver ends."""
+    if shared.in_block():
+        return continual.store(spark, shared.new_path(spark, "memory"))
+    root = f"{shared.shared_dir(spark)}/memories/{name}-{fingerprint(spark, [f'{sf_dir}/events.parquet'])}"
+    fs, at = shared._hadoop(spark, root)
+    fs.deleteOnExit(at)
+    return continual.store(spark, root)
 
 
 def _state(spark: SparkSession, sf_dir: str) -> State:
-    """The memory that the log gives, written once: what works on it doesn't learn it again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _LEARNED and not shared.in_block():
-        return _LEARNED[key]
-    learned = learning.learn(access_log(spark, sf_dir))
-    state = State(kept(learned.vertices), kept(learned.edges))
-    if not shared.in_block():
-        _LEARNED[key] = state
-    return state
+    """The memory that the log gives, as a version that is there or is made: what works on it doesn't learn it again."""
+    memories = _store(spark, sf_dir, "whole")
+    return continual.read(memories, continual.learn_into(memories, access_log(spark, sf_dir), ("events", 0))).state
+
+
+#: Where the log is cut for a memory that learns it in parts.
+_CUTS = ("1970-01-01", "2024-01-04", "2024-01-16", "2025-01-01")
+
+
+def _in_parts(spark: SparkSession, sf_dir: str) -> continual.Memory:
+    """The memory after the log in three parts, each given twice, as a stream does that fails after it has written."""
+    memories, log = _store(spark, sf_dir, "parts"), access_log(spark, sf_dir)
+    version = None
+    for number, (start, end) in enumerate(zip(_CUTS, _CUTS[1:])):
+        part = log.filter((F.col("at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("at") < F.lit(end).cast("timestamp_ntz")))
+        for _ in range(2):
+            version = continual.learn_into(memories, part, ("events", number))
+    return continual.read(memories, version)
 
 
 def _edges_out(edges: DataFrame) -> DataFrame:
@@ -76,6 +93,38 @@ def k01_learned_edges(spark, sf_dir):
     return _edges_out(learning.learned_edges(access_log(spark, sf_dir)))
 
 
+@query(oracle.with_edges("select source_id, target_id, round(weight, 6) as weight, co_access_count::bigint as co_access_count, last_fired::varchar as last_fired from edges"))
+def k01_continued_edges(spark, sf_dir):
+    """Learning in parts, each from what the version before carries, gives what learning all at once does."""
+    edges = _in_parts(spark, sf_dir).edges
+    return _edges_out(edges.select("*")).join(edges.select("source_id", "target_id", F.col("last_fired").cast("string").alias("last_fired")), ["source_id", "target_id"])
+
+
+@query(oracle.with_vertices(f"select v.id, v.type, v.path, round(v.myelination, 6) as myelination, v.access_count::bigint as access_count, v.last_accessed::varchar as last_accessed, c.contexts from vertices v join told c on c.vertex = v.id").replace(
+    "\nselect v.id", """, firsts as (select vertex, context, min(row(ts, id)) as first from log group by 1, 2),
+told as (select vertex, string_agg(context, ',' order by first, context) as contexts from (select *, row_number() over (partition by vertex order by first desc, context desc) as k from firsts) where k <= 20 group by 1)\nselect v.id"""))
+def k01_continued_vertices(spark, sf_dir):
+    v = _in_parts(spark, sf_dir).vertices
+    return v.select("id", "type", "path", _m(), "access_count", F.col("last_accessed").cast("string").alias("last_accessed"), F.array_join("contexts", ",").alias("contexts"))
+
+
+@query(oracle.with_log("""select session_id, vertex, type, id, k::int as k from (select *, row_number() over (partition by session_id order by ts desc, id desc) as k from (
+  select *, row_number() over (partition by session_id, vertex order by ts desc, id desc) as again from log) where again = 1) where k <= 25"""))
+def k02_carried_windows(spark, sf_dir):
+    """What a memory that learned in parts carries of each session: its latest 25 vertices, k = 1 the latest."""
+    k = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("at"), F.desc("id")))
+    return _in_parts(spark, sf_dir).recent.select("session_id", "vertex", "type", "id", k.alias("k"))
+
+
+@query(f"with {oracle.LOG}, {oracle.WINDOWS}, {oracle.FIRED} select e as id, count(*) as partners, max(case when n = 21 then first[2] end) as hub_id from (select *, row_number() over (partition by e order by first) as n from ends) where n <= 21 group by 1")
+def k04_carried_partners(spark, sf_dir):
+    """The first partners of each vertex, up to the one that makes it a hub, and the access that did."""
+    partners = _in_parts(spark, sf_dir).partners
+    n = F.row_number().over(Window.partitionBy("end").orderBy("first"))
+    ranked = partners.select(F.col("end").alias("id"), n.alias("n"), F.col("first.id").alias("access"))
+    return ranked.groupBy("id").agg(F.count("*").alias("partners"), F.max(F.when(F.col("n") == C.HUB_DEGREE + 1, F.col("access"))).alias("hub_id"))
+
+
 @query(oracle.with_vertices(f"select id, type, path, {_M}, access_count::bigint as access_count from vertices"))
 def k01_vertices(spark, sf_dir):
     return _vertices(spark, sf_dir).select("id", "type", "path", _m(), "access_count")
