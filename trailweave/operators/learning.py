@@ -83,13 +83,20 @@ def windows(log: DataFrame, size: int = C.WINDOW, before: DataFrame | None = Non
     given = log.select(*columns, F.lit(True).alias("_own"))
     given = given if before is None else given.unionByName(before.select(*columns, F.lit(False).alias("_own")))
     placed = kept(ordinals(given).select("session_id", "ord", "nxt", "vertex", "type", "at", "id", "_own", F.floor((F.col("ord") - 1) / BLOCK).alias("block")))
-    here = placed.select("session_id", "block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"))
-    then = here.unionByName(_recent_before(placed, size))
-    now = placed.filter("_own").select("session_id", "block", "ord", "vertex", "type", "at", "id")
-    live = now.join(then, ["session_id", "block"]).filter((F.col("then") < F.col("ord")) & (F.col("nxt").isNull() | (F.col("ord") <= F.col("nxt")))).drop("block")
-    access = Window.partitionBy("session_id", "ord")
-    ranked = live.withColumn("recency", F.row_number().over(access.orderBy(F.desc("then")))).filter(F.col("recency") <= size)
-    return ranked.withColumn("len", F.count("*").over(access)).drop("then", "nxt")
+    own = F.struct("at", "id", "_own").alias("access")
+    here = placed.select("session_id", "block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"), own)
+    then = here.unionByName(_recent_before(placed, size), allowMissingColumns=True)
+    # One row a block: BLOCK + size entries at most, in order. What is live at one of them is among those before it.
+    entry = F.struct("then", "nxt", "recent", "recent_type", "access")
+    blocks = then.groupBy("session_id", "block").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    live = lambda x, i: F.filter(F.slice("e", F.lit(1), i), lambda r: r["nxt"].isNull() | (r["nxt"] >= x["then"]))
+    each = blocks.select("session_id", F.explode(F.transform("e", lambda x, i: F.struct(x.alias("x"), live(x, i).alias("live")))).alias("y")).filter("y.x.access._own")
+    win = F.slice("y.live", F.greatest(F.size("y.live") - size, F.lit(0)) + 1, F.lit(size))
+    members = each.select("session_id", "y.x", F.size(win).alias("len"), F.posexplode(win).alias("j", "r"))
+    return members.select(
+        "session_id", F.col("x.then").alias("ord"), F.col("x.recent").alias("vertex"), F.col("x.recent_type").alias("type"), "x.access.at", "x.access.id",
+        "r.recent", "r.recent_type", (F.col("len") - F.col("j")).alias("recency"), F.col("len").cast("bigint").alias("len"),
+    )
 
 
 def _fired(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -100,78 +107,97 @@ def _fired(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return fired.select(F.least("vertex", "recent").alias("a"), F.greatest("vertex", "recent").alias("b"), "at", "id", pos.alias("pos"), (rate * pos / F.col("len")).alias("d"))
 
 
-def _first_partners(fired: DataFrame, known: DataFrame | None = None, partners: DataFrame | None = None) -> DataFrame:
+def gathered(given: DataFrame, most: int = MOST_IMPULSES) -> DataFrame:
+    """(a, b, round, n, last_fired, ds): impulses (a, b, at, id, pos, d) by pair, numbered in their order and gathered
+    `most` at a time: no more of a pair are ever in one row. Written, and read again."""
+    k = F.row_number().over(Window.partitionBy("a", "b").orderBy("at", "id", "pos"))
+    numbered = given.withColumn("k", k).withColumn("round", F.floor((F.col("k") - 1) / most))
+    ds = F.array_sort(F.collect_list(F.struct("k", "at", "id", "pos", "d"))).alias("ds")
+    return kept(numbered.groupBy("a", "b", "round").agg(F.count("*").alias("n"), F.max("at").alias("last_fired"), ds))
+
+
+def _first_partners(grouped: DataFrame, known: DataFrame | None = None, partners: DataFrame | None = None) -> DataFrame:
     """(end, first, n): the first HUB_DEGREE + 1 partners of each vertex, by the first impulse of each, in order.
     known: pairs (a, b) from before, whose ends stand in partners (end, first) as far as they count."""
-    first = fired.groupBy("a", "b").agg(F.min(F.struct("at", "id", "pos")).alias("first"))
+    one = F.element_at("ds", 1)
+    first = grouped.filter("round = 0").select("a", "b", F.struct(one["at"].alias("at"), one["id"].alias("id"), one["pos"].alias("pos")).alias("first"))
     first = first if known is None else first.join(known.select("a", "b"), ["a", "b"], "left_anti")
     ends = first.select(F.explode(F.array("a", "b")).alias("end"), "first")
     ends = ends if partners is None else ends.unionByName(partners.select("end", "first"))
     return ends.withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("first"))).filter(F.col("n") <= C.HUB_DEGREE + 1)
 
 
-def _damped(fired: DataFrame, partners: DataFrame) -> DataFrame:
-    """fired with impulses at hubs halved. A vertex is a hub once it has more partners than HUB_DEGREE: after the first
-    impulse of the one beyond them."""
+def _damped(grouped: DataFrame, partners: DataFrame) -> DataFrame:
+    """grouped with impulses at hubs halved. A vertex is a hub once it has more partners than HUB_DEGREE: after the
+    first impulse of the one beyond them."""
     # One row a hub, written once: it is joined to both ends.
     hub = kept(partners.filter(F.col("n") == C.HUB_DEGREE + 1).select("end", "first"))
     hub_a, hub_b = (hub.select(F.col("end").alias(c), F.col("first").alias(f"hub_{c}")) for c in ("a", "b"))
-    order = F.struct("at", "id", "pos")
-    damped = F.coalesce(order > F.col("hub_a"), F.lit(False)) | F.coalesce(order > F.col("hub_b"), F.lit(False))
-    marked = fired.join(hub_a, "a", "left").join(hub_b, "b", "left")
-    return marked.select("a", "b", "at", "id", "pos", (F.col("d") * F.when(damped, C.HUB_FACTOR).otherwise(1.0)).alias("d"))
+    marked = grouped.join(hub_a, "a", "left").join(hub_b, "b", "left").withColumn("hub", F.least("hub_a", "hub_b"))
+    halved = lambda x: F.when(F.struct(x["at"], x["id"], x["pos"]) > F.col("hub"), x["d"] * C.HUB_FACTOR).otherwise(x["d"])
+    ds = F.when(F.col("hub").isNull(), F.col("ds")).otherwise(F.transform("ds", lambda x: x.withField("d", halved(x))))
+    return marked.withColumn("ds", ds).drop("hub", "hub_a", "hub_b")
 
 
 def impulses(log: DataFrame, hubs: bool = True) -> DataFrame:
     """(a, b, at, id, pos, d): what each access gives each pair a < b, d, in the order (at, id, pos)."""
     if not hubs:
         return _fired(log)
-    fired = kept(_fired(log))
-    return _damped(fired, _first_partners(fired))
+    grouped = gathered(_fired(log))
+    return _damped(grouped, _first_partners(grouped)).select("a", "b", F.inline("ds")).drop("k")
 
 
-def impulses_after(log: DataFrame, before: DataFrame, known: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """impulses() of a log that goes on, and (end, first), the first partners of each vertex after it. before: the
-    latest vertices of each session; known: the pairs that there are; partners: the first partners before the log."""
-    fired = kept(_fired(log, before))
-    now = kept(_first_partners(fired, known, partners))
-    return _damped(fired, now), now.select("end", "first")
+def folded(given: DataFrame, known: DataFrame | None = None, step=S.strengthen, captured: bool = True, most: int = MOST_IMPULSES) -> DataFrame:
+    """(a, b, weight, co_access_count, last_fired): the pairs' weights after their impulses (a, b, at, id, pos, d)."""
+    return _folded(gathered(given, most), known, step, captured)
 
 
-def folded(given: DataFrame, known: DataFrame | None = None, step=S.strengthen, captured: bool = True, most: int = MOST_IMPULSES) -> DataFrame:
-    """(a, b, weight, co_access_count, last_fired): the pairs' weights after their impulses. known: weights from
-    before. A pair's first impulse makes its edge, with the weight of a captured tag.
-
-    Impulses are numbered within their pair and folded `most` at a time, each round going on from the one before:
-    no more of a pair are ever gathered. Most pairs are done in the first round."""
-    order = Window.partitionBy("a", "b").orderBy("at", "id", "pos")
-    numbered = given.select("a", "b", "at", "d", F.row_number().over(order).alias("k")).withColumn("round", F.floor((F.col("k") - 1) / most))
-    grouped = kept(numbered.groupBy("a", "b", "round").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("ds"), F.count("*").alias("n"), F.max("at").alias("last_fired")))
+def _folded(grouped: DataFrame, known: DataFrame | None = None, step=S.strengthen, captured: bool = True) -> DataFrame:
+    """folded() of what was gathered. known: weights from before. A pair's first impulse makes its edge, with the weight
+    of a captured tag.
+
+    Each round goes on from the one before. Most pairs are done in the first."""
     before = None if known is None else known.select("a", "b", F.col("weight").alias("before"))
-    out = None
-    for number in range(1 + (grouped.agg(F.max("round")).first()[0] or 0)):
+    out, rounds = None, 1 + (grouped.agg(F.max("round")).first()[0] or 0)
+    for number in range(rounds):
         pairs, ds = grouped.filter(F.col("round") == number), F.transform("ds", lambda x: x["d"])
         if out is not None:
             before = kept(out).select("a", "b", F.col("weight").alias("before"))
         pairs = pairs.withColumn("before", F.lit(None).cast("double")) if before is None else pairs.join(before, ["a", "b"], "left")
-        first = step(F.lit(0.0), F.element_at(ds, 1))
+        first = step(F.lit(0.0), F.element_at("ds", 1)["d"])
         made = F.greatest(F.lit(C.CAPTURE_WEIGHT), first) if captured else first
         start = F.coalesce("before", made)
         rest = F.when(F.col("before").isNull(), F.slice(ds, 2, F.greatest(F.size(ds) - 1, F.lit(0)))).otherwise(ds)
-        done = pairs.select("a", "b", F.aggregate(rest, start, step).alias("weight"))
+        done = pairs.select("a", "b", F.aggregate(rest, start, step).alias("weight"), F.col("n").alias("co_access_count"), "last_fired")
         # Pairs without impulses in this round keep what the last one gave them.
         out = done if out is None else done.unionByName(out.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    if rounds == 1:
+        return out
     counts = grouped.groupBy("a", "b").agg(F.sum("n").alias("co_access_count"), F.max("last_fired").alias("last_fired"))
-    return out.join(counts, ["a", "b"])
+    return out.select("a", "b", "weight").join(counts, ["a", "b"])
+
+
+def learned_pairs(log: DataFrame, step=S.strengthen, captured: bool = True) -> DataFrame:
+    """folded() of all that a log fires."""
+    grouped = gathered(_fired(log))
+    return _folded(_damped(grouped, _first_partners(grouped)), step=step, captured=captured)
+
+
+def learned_pairs_after(log: DataFrame, before: DataFrame, known: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """folded() of a log that goes on, and (end, first), the first partners of each vertex after it. before: the latest
+    vertices of each session; known: the pairs that there are, and their weights; partners: the first ones before."""
+    grouped = gathered(_fired(log, before))
+    now = kept(_first_partners(grouped, known, partners))
+    return _folded(_damped(grouped, now), known), now.select("end", "first")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    rest = ["weight", "co_access_count", "last_fired"]
-    return pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), *rest).unionByName(pairs.select(F.col("b").alias("source_id"), F.col("a").alias("target_id"), *rest))
+    ends = F.array(F.struct(F.col("a").alias("source_id"), F.col("b").alias("target_id")), F.struct(F.col("b").alias("source_id"), F.col("a").alias("target_id")))
+    return pairs.select(F.inline(ends), "weight", "co_access_count", "last_fired")
 
 
 def learned_edges(log: DataFrame) -> DataFrame:
-    return both_ways(folded(impulses(log)))
+    return both_ways(learned_pairs(log))
 
 
 def told(log: DataFrame) -> DataFrame:
@@ -206,7 +232,7 @@ def learned_lite(log: DataFrame) -> State:
     n = F.col("access_count")
     vertices = learned_vertices(log).withColumn("myelination", C.MYELIN_MAX * (1 - F.pow(F.lit(1 - C.MYELIN_RATE / C.MYELIN_MAX), n)))
     vertices = vertices.withColumn("activation", F.least(F.lit(1.0), n * 0.1)).withColumn("contexts", F.slice("contexts", F.greatest(F.size("contexts") - 9, F.lit(1)), 10))
-    return State(vertices, both_ways(folded(impulses(log), step=S.saturating_add, captured=False)))
+    return State(vertices, both_ways(learned_pairs(log, S.saturating_add, captured=False)))
 
 
 def sessions(log: DataFrame) -> DataFrame:

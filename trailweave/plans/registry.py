@@ -312,7 +312,7 @@ def l01_filtered_vertices(spark, sf_dir):
 
 @query(oracle.with_edges(_EDGES_SQL.format("edges") + " where weight >= 0.6"))
 def l02_filtered_edges(spark, sf_dir):
-    return _edges_out(learning.learned_edges(access_log(spark, sf_dir)).filter("weight >= 0.6"))
+    return _edges_out(_state(spark, sf_dir).edges.filter("weight >= 0.6"))
 
 
 @query(oracle.with_vertices(f"select id, {_M} from vertices where myelination >= 0.3 order by myelination desc"))
@@ -486,7 +486,7 @@ def j16_recalled_not_opened(spark, sf_dir):
 
 @query(oracle.with_edges(_EDGES_SQL.format("edges") + " where source_id = 'file:view/3' or target_id = 'file:view/3'"))
 def j17_touching_edges(spark, sf_dir):
-    edges = kept(learning.learned_edges(access_log(spark, sf_dir)))
+    edges = _state(spark, sf_dir).edges
     return _edges_out(edges.filter("source_id = 'file:view/3'").unionByName(edges.filter("target_id = 'file:view/3' and source_id <> 'file:view/3'")))
 
 
@@ -496,7 +496,7 @@ def j17_touching_edges(spark, sf_dir):
 @query(oracle.with_edges("select count(*) as vertices, count(*) filter (myelination > 0.5) as superhighways, round(avg(myelination), 6) as avg_myelination, (select count(*) from edges) as edges, (select count(*) from log) as accesses from vertices"))
 def a01_stats(spark, sf_dir):
     log = access_log(spark, sf_dir)
-    state = learning.learn(log)
+    state = _state(spark, sf_dir)
     return reports.stats(state.vertices, state.edges, log).withColumn("avg_myelination", F.round("avg_myelination", 6))
 
 
@@ -515,7 +515,7 @@ def a03_coverage(spark, sf_dir):
 
 @query(oracle.with_edges("select source_id, count(*) as degree from edges group by 1 order by 2 desc, 1 limit 10"))
 def a04_hubs(spark, sf_dir):
-    return reports.hubs(learning.learned_edges(access_log(spark, sf_dir)))
+    return reports.hubs(_state(spark, sf_dir).edges)
 
 
 @query(oracle.with_vertices("select case when path like 'view/%' then 'P' else '(none)' end as project, count(*) as vertices from vertices group by 1"))
@@ -543,7 +543,7 @@ def a08_session_counters(spark, sf_dir):
 
 @query(oracle.with_edges("select round(avg(myelination) filter (type = 'file'), 6) as avg_myelination, round(avg(access_count) filter (type = 'file'), 6) as avg_accesses, (select round(avg(weight), 6) from edges) as avg_weight from vertices"))
 def a09_homeostasis_means(spark, sf_dir):
-    state = learning.learn(access_log(spark, sf_dir))
+    state = _state(spark, sf_dir)
     means = reports.homeostasis_means(state.vertices, state.edges)
     return means.select(*(F.round(c, 6).alias(c) for c in means.columns))
 
@@ -574,13 +574,13 @@ def a12_histogram(spark, sf_dir):
 
 @query(oracle.with_edges("select (select count(*) from vertices) as vertices, count(*) as edges, round(avg(weight), 6) as avg_weight from edges"))
 def a13_network_metrics(spark, sf_dir):
-    state = learning.learn(access_log(spark, sf_dir))
+    state = _state(spark, sf_dir)
     return reports.network_metrics(state.vertices, state.edges).withColumn("avg_weight", F.round("avg_weight", 6))
 
 
 @query(oracle.with_edges("select co_access_count::bigint as co_access_count, round(avg(weight), 6) as mean_w, round(coalesce(stddev_samp(weight), 0), 6) as std_w, count(*) as n from edges group by 1"))
 def a14_weight_by_count(spark, sf_dir):
-    r = reports.weight_by_count(learning.learned_edges(access_log(spark, sf_dir)))
+    r = reports.weight_by_count(_state(spark, sf_dir).edges)
     return r.select("co_access_count", F.round("mean_w", 6).alias("mean_w"), F.round("std_w", 6).alias("std_w"), "n")
 
 
@@ -633,12 +633,12 @@ e1 as (select * replace (weight * 0.98::double as weight) from edges)"""
 
 @query(oracle.with_edges("select id, round(activation, 6) as activation, round(myelination, 6) as myelination from v1", _DECAYED))
 def m01_decayed_vertices(spark, sf_dir):
-    return _vertices_out(maintenance.decayed(learning.learn(access_log(spark, sf_dir))).vertices)
+    return _vertices_out(maintenance.decayed(_state(spark, sf_dir)).vertices)
 
 
 @query(oracle.with_edges(_EDGES_SQL.format("e1"), _DECAYED))
 def m01_decayed_edges(spark, sf_dir):
-    return _edges_out(maintenance.decayed(learning.learn(access_log(spark, sf_dir))).edges)
+    return _edges_out(maintenance.decayed(_state(spark, sf_dir)).edges)
 
 
 def _faded(spark: SparkSession, sf_dir: str) -> State:
