@@ -18,7 +18,7 @@ from ..sources import shared
 from ..sources.shared import kept
 from ..sources.store import MemoryStore, fingerprint
 from ..sources.tables import AS_OF, access_log, table
-from ..streaming import jobs
+from ..streaming import jobs, state
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1213,9 +1213,108 @@ def t05_streamed_impulses(spark, sf_dir):
     return jobs.finished(jobs.impulses(jobs.event_stream(spark, sf_dir))).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("sum_d"))
 
 
-@query(oracle.with_log("select vertex, count(distinct session_id) as n from log group by 1"))
+@query(oracle.with_log("""select vertex, count(*) as n from (select vertex, ts - lag(ts) over (partition by session_id, vertex order by ts, id) as gap from log)
+where gap is null or gap >= interval 60 hour group by 1"""))
 def t02_without_repeats(spark, sf_dir):
-    return jobs.finished(jobs.without_repeats(jobs.event_stream(spark, sf_dir))).groupBy("vertex").agg(F.count("*").alias("n"))
+    """Accesses that aren't repeats of one less than 60 hours before."""
+    return jobs.finished(state.without_repeats(jobs.event_stream(spark, sf_dir), "60 hours")).groupBy("vertex").agg(F.count("*").alias("n"))
+
+
+_SPOKEN = """spoken as (
+  select event_id as id, user_id as session_id, ts, case when event_type = 'purchase' then 'tool' when event_type = 'error' then 'error' else 'file' end as type,
+    case when event_type in ('purchase', 'error') then '' else '/w/' end || event_type || '/' || ((props->>'$.k')::bigint % 20) || case when event_id % 3 = 0 then '.md' else '.ts' end as path
+  from events where event_id % 97 <> 0 and event_id % 89 <> 0),
+ends as (select greatest(max(ts) over (partition by user_id), max(ts) over () - interval 1 hour) as last, user_id as session_id from events where event_id % 97 <> 0 and event_id % 89 <> 0),
+waits as (select 'files' as lane, interval 6 hour as delay, * from spoken where type = 'file' union all select 'snippets', interval 15 hour, * from spoken where type = 'file' and path like '%.ts'),
+opens as (
+  select lane, delay, session_id, min(ts) as opened from waits group by all
+  union all
+  select w.lane, w.delay, w.session_id, min(w.ts) from opens o join waits w on w.lane = o.lane and w.session_id = o.session_id and w.ts >= o.opened + o.delay group by w.lane, w.delay, w.session_id, o.opened),
+batches as (
+  select w.lane, w.session_id, w.id, w.type, w.path, o.opened, row_number() over (partition by w.lane, w.session_id, o.opened, w.path order by w.ts, w.id) as again
+  from waits w join opens o on o.lane = w.lane and o.session_id = w.session_id and w.ts >= o.opened and w.ts < o.opened + o.delay
+  where o.opened + o.delay <= (select max(last) from ends e where e.session_id = w.session_id))"""
+
+
+@query(f"with recursive {_SPOKEN} select lane, session_id, id, type, path, opened::varchar as opened from batches where again = 1 union all select 'now', session_id, id, type, path, ts::varchar from spoken where type <> 'file'")
+def t06_two_speed(spark, sf_dir):
+    """Events as JSON lines, some of them damaged or of skipped paths: tools and errors go at once, distinct files 6
+    hours after the first that waits, those with snippets after 15."""
+    e = jobs.event_stream(spark, sf_dir)
+    path = F.concat(F.element_at(F.split("vertex", ":"), -1), F.when(F.col("id") % 3 == 0, ".md").otherwise(".ts"))
+    path = F.when(F.col("id") % 89 == 0, F.concat(F.lit("node_modules/"), path)).otherwise(path)
+    kind = F.when(F.col("id") % 89 == 0, "file").otherwise(F.col("type"))
+    line = F.to_json(F.struct("session_id", "id", "at", kind.alias("type"), F.when(F.col("id") % 2 == 0, path).alias("path"), F.when(F.col("id") % 2 == 1, path).alias("file")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    lines = e.select(F.when(F.col("id") % 97 == 0, F.substring(line, 1, 25)).otherwise(line).alias("value"))
+    out = jobs.finished(state.two_speed(jobs.events_of(lines, "/w"), "6 hours", "15 hours", clock="event"))
+    return out.select("lane", "session_id", "id", "type", "path", F.timestamp_micros("opened").cast("timestamp_ntz").cast("string").alias("opened"))
+
+
+_LIVES = """told as (
+  select user_id as agent, user_id || '/' || ts::date as session_id, event_type, (props->>'$.k')::bigint % 20 as k, ts, event_id as id from events where event_type in ('view', 'click')),
+marked as (select *, lag(ts) over w as before, session_id <> lag(session_id) over w as other from told window w as (partition by agent order by ts, id)),
+lives as (select *, sum(case when before is null or ts - before > interval 12 hour or other then 1 else 0 end) over (partition by agent order by ts, id) as life from marked),
+spans as (select agent, life, session_id, min(ts) as first, max(ts) as last from lives group by 1, 2, 3),
+ends as (select *, lead(first) over (partition by agent order by life) as next from spans),
+closed as (
+  select *, case when next is null or next - last > interval 12 hour then 'expired' else 'changed' end as reason from ends
+  where next is not null or last + interval 12 hour < (select max(ts) - interval 1 hour from told))"""
+
+
+@query(f"""with {_LIVES} select c.agent, c.session_id, c.reason, 'file:view/' || k as id from closed c join lives l on l.agent = c.agent and l.life = c.life
+group by c.agent, c.session_id, c.reason, c.life, k having count(*) filter (event_type = 'view') > 0 and count(*) filter (event_type = 'click') = 0""")
+def t10_recall_state(spark, sf_dir):
+    """A user's views of a day as what was recalled, clicks as what was opened: what was ignored when the day changed,
+    and what was forgotten after twelve hours."""
+    return jobs.finished(_recalled(spark, sf_dir)).select("agent", "session_id", "reason", "id")
+
+
+def _recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = jobs.event_stream(spark, sf_dir).filter(F.col("vertex").rlike("^file:(view|click)/"))
+    day = F.concat(F.col("session_id").cast("string"), F.lit("/"), F.date_format("at", "yyyy-MM-dd"))
+    kind = F.when(F.col("vertex").startswith("file:view"), "recalled").otherwise("opened")
+    name = F.concat(F.lit("file:view/"), F.element_at(F.split("vertex", "/"), -1))
+    return state.ignored(e.select(F.col("session_id").alias("agent"), day.alias("session_id"), kind.alias("kind"), name.alias("name"), "at", "id"), "12 hours", clock="event")
+
+
+def _kept_up(spark: SparkSession, sf_dir: str, name: str) -> MemoryStore:
+    """A memory of its own that has learned the log, for streams that change it."""
+    memories = continual.store(spark, shared.new_path(spark, name))
+    memories.commit(memories.version(), _store_of(spark, sf_dir))
+    return memories
+
+
+def _store_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    memories = _store(spark, sf_dir, "whole")
+    return memories.read(continual.learn_into(memories, access_log(spark, sf_dir), ("events", 0)))
+
+
+@query(oracle.with_edges("""select source_id, target_id, round(case when (x.id is not null or y.id is not null) and weight > 0.1 then greatest(0.1::double, weight * coalesce(pow(0.9::double, x.n), 1) * coalesce(pow(0.9::double, y.n), 1)) else weight end, 6) as weight,
+  co_access_count::bigint as co_access_count from edges e left join times x on x.id = source_id left join times y on y.id = target_id""", _LIVES.replace("ends as", "life_ends as").replace("from ends", "from life_ends").replace("told as", "told_lives as").replace("from told", "from told_lives"), """times as (
+  select id, count(*) as n from (select 'file:view/' || k as id from closed c join lives l on l.agent = c.agent and l.life = c.life where reason = 'changed'
+    group by c.agent, c.life, k having count(*) filter (event_type = 'view') > 0 and count(*) filter (event_type = 'click') = 0) group by 1)"""))
+def k17_weakened_by_stream(spark, sf_dir):
+    """The memory's edges after a stream has told it what was recalled and not opened."""
+    memories = _kept_up(spark, sf_dir, "weakened")
+    jobs.to_memory(_recalled(spark, sf_dir), jobs.weakening_batches(memories, "recall"))
+    return _edges_out(continual.read(memories).edges)
+
+
+@query(oracle.with_edges("select source_id, target_id, round(weight * 0.98::double, 6) as weight, co_access_count::bigint as co_access_count from edges"))
+def t04_session_ends(spark, sf_dir):
+    """The memory's edges after the sessions of the stream have ended, and upkeep was done once for the batch of them."""
+    memories = _kept_up(spark, sf_dir, "ended")
+    jobs.to_memory(jobs.session_windows(jobs.event_stream(spark, sf_dir), "6 hours"), jobs.upkeep_batches(memories, "ends", maintenance.decayed))
+    return _edges_out(continual.read(memories).edges)
+
+
+@query(oracle.with_edges("select source_id, target_id, round(weight, 6) as weight, co_access_count::bigint as co_access_count from edges"))
+def t01_learned_by_stream(spark, sf_dir):
+    """A memory that learns the stream of events batch by batch."""
+    memories = continual.store(spark, shared.new_path(spark, "streamed"))
+    stream = jobs.event_stream(spark, sf_dir).withColumn("path", F.regexp_extract("vertex", ":(.*)", 1)).withColumn("context", F.col("type")).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    jobs.to_memory(stream, jobs.learning_batches(memories, "events"))
+    return _edges_out(continual.read(memories).edges)
 
 
 # More of learning, seeding and reading ------------------------------------------------------------------------------

@@ -9,4 +9,4 @@ COMMIT = "hash string, timestamp bigint, message string, files array<string>"
 #: Events at the boundary, as two families of tools tell them.
 TOOL_CALL = "session_id string, tool_name string, tool_input map<string, string>, tool_result string, at timestamp_ntz"
 TOOL_PART = "type string, part struct<tool: string, state: struct<status: string, input: map<string, string>, output: string>>, session_id string, at timestamp_ntz"
-SOCKET_EVENT = "type string, path string, context string, at timestamp"
+SOCKET_EVENT = "type string, path string, file string, context string, cmd string, session_id bigint, id bigint, at timestamp"

@@ -1,8 +1,9 @@
-"""Streams of accesses: batches without repeats, sessions by idle time, and learning in keyed state."""
+"""Streams of accesses: events from lines, batches into a memory, sessions by idle time, and learning in keyed state."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
+from ..functions import scalars as S
+from ..operators import continual, learning
+from ..operators.learning import State
 from ..schema import SOCKET_EVENT
 from ..sources.events import from_json
-from ..sources.shared import new_path
+from ..sources.shared import kept, new_path
+from ..sources.snippets import LANGUAGES
+from ..sources.store import MemoryStore
+from .state import PROVIDER
 
 DEBOUNCE, IDLE = "2 seconds", "15 minutes"
 IMPULSES = "a string, b string, at timestamp, id bigint, pos bigint, d double"
@@ -29,6 +36,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("type"), F.concat(kind, F.lit(":"), path).alias("vertex"))
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within it keep state as streaming.state needs it. A stream takes its settings when it starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, by way of Parquet in the shared folder. What a batch writes goes
     to the batch's own folder, and a batch that is run again writes over it."""
@@ -38,10 +57,46 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    with state_store(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out/batch=*")
 
 
+def to_memory(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
+    """Gives each all that a stream has now, batch by batch."""
+    spark = stream.sparkSession
+    with state_store(spark):
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).foreachBatch(each).start()
+    query.awaitTermination()
+
+
+def learning_batches(memories: MemoryStore, query: str) -> Callable[[DataFrame, int], None]:
+    """Learns batches into a memory. A batch that comes again, by its number, is in already and changes nothing."""
+    return lambda batch, number: continual.learn_into(memories, batch, (query, number)) and None
+
+
+def weakening_batches(memories: MemoryStore, query: str) -> Callable[[DataFrame, int], None]:
+    """Weakens the edges of what batches of state.ignored() tell was recalled and not opened, once for every time."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        times = kept(batch.filter("reason = 'changed'").groupBy("id").agg(F.count("*").alias("streak")))
+        weaker = lambda edges: learning.weakened(edges, times, 1 - S.ignored_decay(F.col("streak")))
+        continual.keep_up(memories, lambda now: now.but(edges=weaker(now.edges)), (query, number))
+
+    return each
+
+
+def upkeep_batches(memories: MemoryStore, query: str, step: Callable[[State], State]) -> Callable[[DataFrame, int], None]:
+    """A step of upkeep for each batch in which sessions have ended, however many."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            continual.keep_up(memories, step, (query, number))
+
+    return each
+
+
 def recorded(stream: DataFrame, checkpoint: str, record: Callable[[DataFrame, int], None]):
     """Starts the recorder: micro-batches every DEBOUNCE, in which files come once a path and other events as they
     are. record gets a batch and its number, and must give the same if it gets them again."""
@@ -59,14 +114,20 @@ def ended_sessions(stream: DataFrame, checkpoint: str, upkeep: Callable[[DataFra
     return closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=DEBOUNCE).foreachBatch(upkeep).start()
 
 
-def events_of(lines: DataFrame) -> DataFrame:
-    """A stream of accesses from a stream of JSON lines (value) as schema.SOCKET_EVENT; other lines are left out."""
-    return from_json(lines, SOCKET_EVENT).filter("type is not null and path is not null").withColumn("vertex", F.concat("type", F.lit(":"), "path"))
-
-
-def without_repeats(stream: DataFrame, within: str = "2 minutes") -> DataFrame:
-    """Accesses of a session to a vertex within a time count once."""
-    return stream.withWatermark("at", within).dropDuplicatesWithinWatermark(["session_id", "vertex"])
+def events_of(lines: DataFrame, home: str = "/") -> DataFrame:
+    """Events (session_id, id, at, type, path, context, source) from a stream of JSON lines (value) as
+    schema.SOCKET_EVENT. What isn't of type tool or error is a file; its path counts from home if it isn't whole, and
+    skipped paths are left out, as are lines without a path and those that are no JSON. source: snippets can be cut."""
+    e = from_json(lines, SOCKET_EVENT)
+    said = lambda *names: F.coalesce(*(F.when(F.col(n) != "", F.col(n)) for n in names))
+    at_once = F.col("type").isin("tool", "error")
+    e = e.select("session_id", "id", "at", F.coalesce(F.when(at_once, F.col("type")), F.lit("file")).alias("type"), said("path", "file").alias("path"), said("context", "cmd").alias("context"))
+    is_file = F.col("type") == "file"
+    path = F.when(is_file & ~F.startswith("path", F.lit("/")), F.concat(F.lit(home.rstrip("/") + "/"), "path")).otherwise(F.col("path"))
+    e = e.filter("path is not null").withColumn("path", path).filter(~(is_file & S.is_skipped(F.col("path"))))
+    context = F.coalesce("context", F.when(is_file, "socket").otherwise(""))
+    source = is_file & F.col("path").rlike("(" + "|".join(e.replace(".", r"\.") for ends in LANGUAGES.values() for e in ends) + ")$")
+    return e.withColumn("context", context).withColumn("source", source)
 
 
 def session_windows(stream: DataFrame, idle: str = IDLE, late: str = "1 hour") -> DataFrame:
