@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..sources.shared import kept
+from .sequences import neighbours, running
 
 
 @dataclass(frozen=True)
@@ -307,11 +308,12 @@ def wired_errors(edges: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def by_idle_time(log: DataFrame, minutes: int = 15) -> DataFrame:
-    """log with sessions that end by idle time: session_id becomes the old one, # and the number of the stretch."""
-    order = Window.partitionBy("session_id").orderBy("at", "id")
-    new = F.coalesce(F.col("at") - F.lag("at").over(order) >= F.make_dt_interval(mins=F.lit(minutes)), F.lit(True))
-    marked = log.withColumn("_new", new.cast("int"))
-    return marked.withColumn("_k", F.sum("_new").over(order)).withColumn("session_id", F.concat(F.col("session_id").cast("string"), F.lit("#"), F.col("_k").cast("string"))).drop("_new", "_k")
+    """log with sessions that end by idle time: session_id becomes the old one, # and the number of the stretch. A long
+    session is worked on in ranges."""
+    timed = neighbours(log, "session_id", ["at", "id"], {"_before": ("at", -1)})
+    new = F.coalesce(F.col("at") - F.col("_before") >= F.make_dt_interval(mins=F.lit(minutes)), F.lit(True))
+    stretched = running(timed, "session_id", new.cast("bigint"), "_k")
+    return stretched.withColumn("session_id", F.concat(F.col("session_id").cast("string"), F.lit("#"), F.col("_k").cast("string"))).drop("_before", "_k", "ord")
 
 
 def ignored_by_session(recalled: DataFrame, opened: DataFrame, hours: int = 2) -> DataFrame:
@@ -325,8 +327,8 @@ def ignored_by_session(recalled: DataFrame, opened: DataFrame, hours: int = 2) -
 
 def changes(readings: DataFrame) -> DataFrame:
     """Readings (source, at, id, value) that differ from the one before of their source: what is emitted on change."""
-    before = F.lag("value").over(Window.partitionBy("source").orderBy("at", "id"))
-    return readings.withColumn("_before", before).filter("value is not null and not (value <=> _before)").drop("_before")
+    seen = neighbours(readings, "source", ["at", "id"], {"_before": ("value", -1)})
+    return seen.filter("value is not null and not (value <=> _before)").drop("_before", "ord")
 
 
 def error_fixes(state: State, error_id: str) -> DataFrame:

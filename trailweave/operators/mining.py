@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import kept
+from .sequences import neighbours
 
 
 #: Slots that the members of a session or a stretch of time are dealt to.
@@ -42,12 +44,11 @@ def close_pairs(log: DataFrame, seconds: int = 60, since: str | None = None, lea
 
 def ordered_pairs(log: DataFrame, within: int = 5, since: str | None = None, least: int = 5) -> DataFrame:
     """(first_id, second_id, n): vertices accessed at most `within` accesses after one another. No join: each access
-    looks ahead in its session."""
-    order = Window.partitionBy("session_id").orderBy("at", "id")
-    ahead = F.array(*(F.lead("vertex", k).over(order) for k in range(1, within + 1)))
-    left = log.withColumn("ahead", ahead)
+    looks ahead in its session, of which a task has a range and the few rows after it."""
+    ahead = {f"_{k}": ("vertex", k) for k in range(1, within + 1)}
+    left = neighbours(log.select("session_id", "vertex", "at", "id"), "session_id", ["at", "id"], ahead)
     left = left if since is None else left.filter(F.col("at") > F.lit(since).cast("timestamp_ntz"))
-    each = left.select(F.col("vertex").alias("first_id"), F.explode("ahead").alias("second_id")).filter("second_id is not null and first_id <> second_id")
+    each = left.select(F.col("vertex").alias("first_id"), F.explode(F.array(*ahead)).alias("second_id")).filter("second_id is not null and first_id <> second_id")
     return each.groupBy("first_id", "second_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
@@ -57,11 +58,29 @@ def directional(pairs: DataFrame) -> DataFrame:
     return pairs.join(back, ["first_id", "second_id"], "left").withColumn("back", F.coalesce("back", F.lit(0))).filter(F.col("n") > 2 * F.col("back"))
 
 
+def by_degree(pairs: DataFrame) -> DataFrame:
+    """(u, v) of pairs (n1 < n2): each from the end of fewer pairs to that of more, the lesser of equals first. No vertex
+    leads on to more than the root of twice the number of pairs."""
+    degrees = pairs.select(F.explode(F.array("n1", "n2")).alias("end")).groupBy("end").agg(F.count("*").alias("d"))
+    d1, d2 = (degrees.select(F.col("end").alias(f"n{k}"), F.col("d").alias(f"d{k}")) for k in (1, 2))
+    up = F.struct("d1", "n1") < F.struct("d2", "n2")
+    return pairs.join(d1, "n1").join(d2, "n2").select(F.when(up, F.col("n1")).otherwise(F.col("n2")).alias("u"), F.when(up, F.col("n2")).otherwise(F.col("n1")).alias("v"))
+
+
+def wedges(up: DataFrame) -> DataFrame:
+    """(u, v, w), v < w: what each u of (u, v) leads on to, by twos."""
+    return up.join(up.select("u", F.col("v").alias("w")), "u").filter("v < w")
+
+
 def triangles(pairs: DataFrame, neighbours: int | None = None) -> DataFrame:
-    """(a, b, c), a < b < c, of which all three pairs (n1 < n2) exist. neighbours: the cap on what each leads on to."""
+    """(a, b, c), a < b < c, of which all three pairs (n1 < n2) exist, each pair once. neighbours: the cap on what each
+    leads on to by name; else wedges are formed where they are fewest, at the end of fewest pairs."""
+    if neighbours is None:
+        found = wedges(kept(by_degree(pairs))).join(pairs.select(F.col("n1").alias("v"), F.col("n2").alias("w")), ["v", "w"], "left_semi")
+        ends = F.array_sort(F.array("u", "v", "w"))
+        return found.select(*(F.get(ends, k).alias(c) for k, c in enumerate("abc")))
     up = pairs.select(F.col("n1").alias("a"), F.col("n2").alias("b"))
-    if neighbours is not None:
-        up = up.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("k") <= neighbours).drop("k")
+    up = up.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("k") <= neighbours).drop("k")
     on = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
     return up.join(on, "b").join(pairs.select(F.col("n1").alias("a"), F.col("n2").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c")
 

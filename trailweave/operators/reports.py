@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .sequences import neighbours
 
 
 def stats(vertices: DataFrame, edges: DataFrame, log: DataFrame) -> DataFrame:
@@ -127,7 +128,8 @@ def precision_recall(got: DataFrame, expected: DataFrame) -> DataFrame:
 
 def prediction_accuracy(log: DataFrame, edges: DataFrame) -> DataFrame:
     """How often the tool that follows a tool in a session is the first, or among the first three, of its edges."""
-    tools = log.filter("type = 'tool'").withColumn("next", F.lead("vertex").over(Window.partitionBy("session_id").orderBy("at", "id"))).filter("next is not null and next <> vertex").select("vertex", "next")
+    uses = log.filter("type = 'tool'").select("session_id", "vertex", "at", "id")
+    tools = neighbours(uses, "session_id", ["at", "id"], {"next": ("vertex", 1)}).filter("next is not null and next <> vertex").select("vertex", "next")
     strong = edges.filter(F.col("source_id").startswith("tool:") & F.col("target_id").startswith("tool:"))
     top = strong.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id"))).filter("k <= 3").select(F.col("source_id").alias("vertex"), F.col("target_id").alias("next"), "k")
     hit = tools.join(top, ["vertex", "next"], "left")

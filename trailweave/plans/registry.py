@@ -11,6 +11,7 @@ from .. import schema
 from .. import constants as C
 from ..constants import ERROR_NORMAL, ERROR_OPERATIONS, ERROR_TYPES, OUTPUT_ERRORS, OUTPUT_NORMAL, STOPWORDS
 from ..functions import scalars as S
+from ..functions import vectors
 from ..operators import continual, learning, maintenance, mining, recall, reports
 from ..operators.learning import State
 from ..sources import events, repositories, tables
@@ -1159,6 +1160,31 @@ def s06_parsed_log(spark, sf_dir):
     return repositories.parsed_log(_log_lines(spark, sf_dir)).select("hash", "timestamp", "message", F.array_join("files", ",").alias("files"))
 
 
+@query(f"with {_COCHANGED} select c.commit::varchar as hash, any_value(epoch(o_orderdate))::bigint as timestamp, any_value(c.message) as message, string_agg(file, ',' order by file) as files from told c join orders on o_orderkey = commit group by c.commit having count(*) between 1 and 20")
+def s06_log_in_ranges(spark, sf_dir):
+    """The same change logs as files, which are read in ranges."""
+    path = shared.new_path(spark, "logs")
+    lines = _log_lines(spark, sf_dir)
+    commit = F.floor(F.col("line") / 100)
+    texts = lines.groupBy("log", commit.alias("commit")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    texts.select("value").write.text(path)
+    return repositories.logged_commits(spark, path).select("hash", "timestamp", "message", F.array_join("files", ",").alias("files"))
+
+
+_FLOAT_HEX = """parts as (select vec_id, i, case when x < 0 or (x = 0 and 1 / x < 0) then 1 else 0 end as sign, abs(x) as a, case when x = 0 then -127 else floor(log2(abs(x))) end as e0 from (
+  select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings)),
+exact as (select *, case when a = 0 then -127 when a / pow(2, e0) >= 2 then e0 + 1 when a / pow(2, e0) < 1 then e0 - 1 else e0 end as e from parts),
+bits as (select vec_id, i, (sign * 2147483648 + case when a = 0 then 0 else (e + 127) * 8388608 + (a / pow(2, e) - 1) * 8388608 end)::bigint as b from exact),
+hexes as (select vec_id, i, lpad(hex(b), 8, '0') as h from bits)"""
+
+
+@query(f"with {_FLOAT_HEX} select vec_id, string_agg(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2), '' order by i) as bytes, true as same from hexes group by 1")
+def f13_vector_bytes(spark, sf_dir):
+    """Vectors as bytes, and whether these make the same vectors again."""
+    made = vectors.with_vectors(vectors.with_bytes(table(spark, sf_dir, "embeddings"), "embedding", "bytes"), "bytes", "again")
+    return made.select("vec_id", F.hex("bytes").alias("bytes"), (F.col("again") == F.col("embedding")).alias("same"))
+
+
 @query("""select distinct url as source, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages""")
 def s13_links(spark, sf_dir):
     return repositories.links(table(spark, sf_dir, "pages").select(F.col("url").alias("source"), "html"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -27,6 +27,22 @@ def parsed_log(lines: DataFrame, most_files: int = 20) -> DataFrame:
     return commits.filter(F.size("files").between(1, most_files) & ~F.lower(F.coalesce("message", F.lit(""))).contains("merge")).drop("n")
 
 
+def logged_commits(spark: SparkSession, path: str, most_files: int = 20) -> DataFrame:
+    """(log, hash, timestamp, message, files): what parsed_log() gives, of change logs at path, a file each.
+
+    A commit is a record that ends where the next one's mark begins, so Spark reads a log in ranges, and a range owns
+    the commits whose marks begin in it: no task sees a whole log. What stands before a log's first mark is left out,
+    as its first word line is no hash."""
+    records = spark.read.option("lineSep", "\nCOMMIT:").text(path).select(F.col("_metadata.file_path").alias("log"), F.split(F.regexp_replace("value", "^COMMIT:", ""), "\n").alias("lines"))
+    told = lambda mark: F.substr(F.get(F.filter("lines", lambda x: F.startswith(x, F.lit(mark))), 0), F.lit(len(mark) + 1))
+    paths = F.transform(F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: ~x.rlike("^(DATE|MSG):")), lambda x: F.trim(x))
+    # One more than may be is enough to tell that there are too many.
+    files = F.slice(F.filter(paths, lambda p: (p != "") & ~S.is_skipped_in_bulk(p)), 1, most_files + 1)
+    commits = records.select("log", F.get("lines", 0).alias("hash"), told("DATE:").cast("bigint").alias("timestamp"), told("MSG:").alias("message"), files.alias("files"))
+    merge = F.lower(F.coalesce("message", F.lit(""))).contains("merge")
+    return commits.filter(F.col("hash").rlike(r"^[0-9A-Za-z._-]+$") & F.size("files").between(1, most_files) & ~merge)
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(file, target): relative imports in the text of files (file, text)."""
     each = files.select("file", F.explode(F.concat(F.regexp_extract_all("text", F.lit(_IMPORT), 1), F.regexp_extract_all("text", F.lit(_IMPORT), 2))).alias("target"))
