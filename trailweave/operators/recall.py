@@ -165,16 +165,6 @@ def similar(vectors: DataFrame, query: DataFrame, least: float = C.SNIPPET_SIMIL
     return scored.filter(F.col("confidence") >= least).orderBy(F.desc("confidence"), "id").limit(top)
 
 
-def similar_each(vectors: DataFrame, queries: DataFrame, least: float = C.SNIPPET_SIMILAR, top: int | None = 10) -> DataFrame:
-    """(query_id, id, confidence): for each row of queries (query_id, query) the nearest of all vectors (id, embedding);
-    with top None all that are near enough. Which side is repeated is left to Spark: neither has to fit one task."""
-    scored = vectors.crossJoin(queries).select("query_id", "id", S.cosine(F.col("embedding"), F.col("query")).alias("confidence")).filter(F.col("confidence") >= least)
-    if top is None:
-        return scored
-    ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")))
-    return ranked.filter(F.col("k") <= top).drop("k")
-
-
 def with_snippets(results: DataFrame, snippets: DataFrame, files: DataFrame) -> DataFrame:
     """results with what snippets (parent, confidence) tell of their files: agreement counts for a bonus."""
     best = snippets.groupBy("parent").agg(F.max("confidence").alias("snippet"))

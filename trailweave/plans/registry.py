@@ -12,7 +12,7 @@ from .. import constants as C
 from ..constants import ERROR_NORMAL, ERROR_OPERATIONS, ERROR_TYPES, OUTPUT_ERRORS, OUTPUT_NORMAL, STOPWORDS
 from ..functions import scalars as S
 from ..functions import vectors
-from ..operators import continual, learning, maintenance, mining, recall, reports
+from ..operators import continual, learning, maintenance, mining, nearest, recall, reports
 from ..operators.learning import State
 from ..sources import events, repositories, tables
 from ..sources import shared
@@ -467,16 +467,16 @@ def _similar(spark, sf_dir, least, top):
 _EACH = "select q.vec_id as query_id, e.vec_id as id, e.label, greatest(-1.0, least(1.0, list_dot_product(e.embedding::double[], q.embedding::double[]))) as c from embeddings e, embeddings q where q.vec_id % 50 = 0"
 
 
-def _similar_each(spark, sf_dir, least, top):
-    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    queries = vectors.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    return recall.similar_each(vectors, queries, least, top).join(vectors.select("id", "label"), "id")
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 50."""
+    vectors_ = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return vectors_, vectors_.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(f"select query_id, label::varchar as parent, round(max(c), 5) as confidence from ({_EACH}) where c >= 0.1 group by 1, 2")
 def j12_snippet_parents_each(spark, sf_dir):
-    hits = _similar_each(spark, sf_dir, 0.1, None)
-    return hits.groupBy("query_id", F.col("label").cast("string").alias("parent")).agg(F.round(F.max("confidence"), 5).alias("confidence"))
+    hits = nearest.similar_each(*_vectors(spark, sf_dir), 0.1, group="label")
+    return hits.select("query_id", F.col("label").cast("string").alias("parent"), F.round("confidence", 5).alias("confidence"))
 
 
 @query(oracle.with_log("select distinct vertex from log where session_id = 3 except select vertex from log where session_id = 5"))
@@ -974,7 +974,7 @@ def r08_similar(spark, sf_dir):
 
 @query(f"select query_id, id, round(c, 5) as confidence from ({_EACH}) where c >= 0.2 qualify row_number() over (partition by query_id order by c desc, id) <= 10")
 def r08_similar_each(spark, sf_dir):
-    return _similar_each(spark, sf_dir, 0.2, 10).select("query_id", "id", F.round("confidence", 5).alias("confidence"))
+    return nearest.similar_each(*_vectors(spark, sf_dir), 0.2, 10).select("query_id", "id", F.round("confidence", 5).alias("confidence"))
 
 
 @query("""with files as (select 'file:part/' || p_partkey as id, 'file' as type from part),
