@@ -68,3 +68,19 @@ def test_the_best_of_each_group(spark):
         key = q, ["x", "y", None][i % 3]
         want[key] = max(want.get(key, -1), round(c, 12))
     assert got == want
+
+
+def test_words_by_their_rarest_piece(spark):
+    import random
+
+    from trailweave.operators import postings, recall
+
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 7))) for _ in range(60)]
+    rows = [(f"id{i}", rnd.choice(["file", "tool"]), rnd.choice(["src/ab", "b/aé.ts", None]), [" ".join(rnd.sample(words, 3)) for _ in range(rnd.randrange(3))], rnd.choice([0.1, 0.5, 0.7])) for i in range(40)]
+    vertices = spark.createDataFrame(rows, "id string, type string, path string, contexts array<string>, myelination double")
+    asked = [(k, " ".join(rnd.sample(words, 2)).upper()) for k in range(25)] + [(90, ""), (91, None), (92, "zzz nowhere ab")]
+    for paths, top in ((False, 3), (True, 50)):
+        got = postings.matches_each(vertices, spark.createDataFrame(asked, "query_id int, text string"), top, paths)
+        want = {(k, r.id) for k, q in asked[:12] + asked[25:] if q is not None for r in recall.context_matches(vertices, q, top, paths).select("id").collect()}
+        assert {tuple(r) for r in got.collect() if r.query_id in {k for k, _ in asked[:12] + asked[25:]}} == want

@@ -7,7 +7,7 @@ open sessions. Runs take the log in order of time: what comes late stands where
 from __future__ import annotations
 
 from collections.abc import Callable, Collection
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,6 +95,15 @@ def continued(memory: Memory, log: DataFrame, open_since: str | None = None) ->
     return Memory(told, vertices_after(memory.vertices, told), edges_after(memory.edges, changed), recent_after(memory.recent, log, open_since=open_since), partners)
 
 
+def record_errors(memory: Memory, errors: DataFrame) -> Memory:
+    """The memory after errors (session_id, at, id, message): each and its fingerprint as accesses of its session, and
+    strong edges between the two."""
+    after = continued(memory, learning.errors_told(errors))
+    wired = learning.wired_errors(after.edges, errors).select("source_id", "target_id", F.col("weight").alias("w"), F.col("co_access_count").alias("n"))
+    edges = after.edges.join(wired, ["source_id", "target_id"], "full_outer")
+    return replace(after, edges=edges.select("source_id", "target_id", F.coalesce("w", "weight").alias("weight"), F.coalesce("n", "co_access_count").alias("co_access_count"), "last_fired"))
+
+
 def kept_up(memory: Memory, step: Callable[[State], State]) -> Memory:
     """The memory after a step of upkeep. Nothing is known any more of vertices that are gone, and partners are those
     that there are."""

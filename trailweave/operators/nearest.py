@@ -2,8 +2,9 @@
 members are from its pivot at most bounds what any query can score there. A query first meets the cell with the highest
 bound, which gives it a score to beat, and then the cells whose bounds reach that score: the rest is not looked at.
 
-A cell is worked on in blocks of its rows and of its queries, by a matrix product, so no task holds more than a block of
-each, however many meet in a cell. Cells are fewer than pivots: what is said of each of them fits everywhere."""
+Cells are put together to blocks, and large ones cut; a block of rows meets a block of queries by matrix products, cell
+by cell, so no task holds more than a block of each, however many meet, and each gives a query's best of its block only.
+There are no more cells than pivots: what is said of each of them fits everywhere."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -79,26 +80,51 @@ def _bounded(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray) -> DataF
     return each.select("query_id", "query", F.inline(F.arrays_zip(numbers.alias("cell"), F.col("bounds").alias("bound"))))
 
 
-def _met(vectors: DataFrame, queries: DataFrame, rows_of: DataFrame, least: float, top: int | None, group: str | None) -> DataFrame:
+def _blocks(spark: SparkSession, cells: list) -> DataFrame:
+    """(cell, block, rs): cells put together to blocks of ROWS rows or so, and how many parts a block is cut into."""
+    out, block, rows = [], 0, 0
+    for c in cells:
+        if rows and rows + c.rows > ROWS:
+            block, rows = block + 1, 0
+        rows += c.rows
+        out.append((c.cell, block, rows))
+    parts = {block: -(-rows // ROWS) for _, block, rows in out}
+    return spark.createDataFrame([(cell, block, parts[block]) for cell, block, _ in out], "cell int, block int, rs int")
+
+
+def _met(vectors: DataFrame, queries: DataFrame, blocks: DataFrame, least: float, top: int | None, group: str | None) -> DataFrame:
     """The best of each block: of vectors (id, embedding, cell) for queries (query_id, query, cell), those that score
-    `least` or more, the first `top` of each query, or of a group of vectors the first. rows_of: (cell, rows)."""
-    queries = kept(queries)
-    many = queries.groupBy("cell").agg(F.count("*").alias("queries")).join(rows_of, "cell")
-    parts = many.select("cell", F.ceil(F.col("rows") / ROWS).cast("int").alias("rs"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("qs"))
-    dealt = lambda df, by, own, n, other, m: df.join(F.broadcast(parts), "cell").withColumn(own, F.pmod(F.xxhash64(by), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
-    left = dealt(vectors, "id", "r", "rs", "q", "qs").select("cell", "r", "q", "id", "embedding", *([group] if group else []))
-    right = dealt(queries, "query_id", "q", "qs", "r", "rs").select("cell", "r", "q", "query_id", "query")
+    `least` or more, the first `top` of each query, or of a group of vectors the first. Only cells are looked at that a
+    query has."""
+    blocks = F.broadcast(blocks)  # no more rows than there are pivots
+    asked = queries.join(blocks, "cell").groupBy("query_id", "query", "block", "rs").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    asked = kept(asked)
+    counts = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs"))
+    dealt = lambda df, by, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(by), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+    here = vectors.join(blocks, "cell").join(F.broadcast(counts), "block")
+    left = dealt(here, "id", "r", "rs", "q", "qs").select("block", "r", "q", "cell", "id", "embedding", *([group] if group else []))
+    right = dealt(asked.join(F.broadcast(counts), "block"), "query_id", "q", "qs", "r", "rs").select("block", "r", "q", "query_id", "query", "cells")
     at_once = AT_ONCE
 
+    def scored(rows: pa.Table, m: np.ndarray, some: pa.Table) -> np.ndarray:
+        """Scores of some queries with all rows, where a query has the row's cell, and else less than any."""
+        q, cell = _matrix(some.column("query")), rows.column("cell").to_numpy()
+        lists = pa.concat_arrays(some.column("cells").chunks)
+        owner, wanted = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        s = np.full((len(q), len(m)), -np.inf)
+        for c in np.unique(wanted):
+            at, of = np.flatnonzero(cell == c), owner[wanted == c]
+            s[np.ix_(of, at)] = np.clip(q[of] @ m[at].T, -1, 1)
+        return s
+
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in names}
         if rows.num_rows and asked.num_rows:
-            order = np.argsort(rows.column("id").to_numpy(), kind="stable")
-            rows = rows.take(order)
-            ids, m, asks, q = rows.column("id").to_numpy(), _matrix(rows.column("embedding")), asked.column("query_id").to_numpy(), _matrix(asked.column("query"))
+            rows = rows.take(np.argsort(rows.column("id").to_numpy(), kind="stable"))
+            ids, m, asks = rows.column("id").to_numpy(), _matrix(rows.column("embedding")), asked.column("query_id").to_numpy()
             codes = rows.column(group).combine_chunks().dictionary_encode() if group else None
             for start in range(0, len(asks), at_once):
-                s = np.clip(q[start : start + at_once] @ m.T, -1, 1)
+                s = scored(rows, m, asked.slice(start, at_once))
                 if group:
                     places = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
                     for code in np.unique(places):
@@ -124,7 +150,7 @@ def _met(vectors: DataFrame, queries: DataFrame, rows_of: DataFrame, least: floa
     names = ["query_id", group if group else "id", "confidence"]
     kinds = [to_arrow_type(of[names[0]]), to_arrow_type(of[names[1]]), pa.float64()]
     ddl = f"query_id {of[names[0]].simpleString()}, `{names[1]}` {of[names[1]].simpleString()}, confidence double"
-    return left.groupBy("cell", "r", "q").cogroup(right.groupBy("cell", "r", "q")).applyInArrow(score, ddl)
+    return left.groupBy("block", "r", "q").cogroup(right.groupBy("block", "r", "q")).applyInArrow(score, ddl)
 
 
 def _first(scored: DataFrame, top: int) -> DataFrame:
@@ -150,19 +176,19 @@ def similar_each(vectors: DataFrame, queries: DataFrame, least: float, top: int
     each = cells.orderBy("cell").collect()
     numbers = np.array([[c.cell, c.radius, c.low, c.high] for c in each]).T
     asked = kept(_bounded(queries, directions, numbers))
-    rows_of = cells.select("cell", "rows")
+    rows_of, blocks = cells.select("cell", "rows"), kept(_blocks(vectors.sparkSession, each))
     if group:
         near = kept(asked.filter(F.col("bound") >= least))
-        scored = _met(celled, near, rows_of, least, top, group).groupBy("query_id", group).agg(F.max("confidence").alias("confidence"))
+        scored = _met(celled, near, blocks, least, top, group).groupBy("query_id", group).agg(F.max("confidence").alias("confidence"))
     else:
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell"))
         ranked = asked.withColumn("k", best).filter(F.col("k") == 1).drop("k")
-        early = kept(_met(celled, ranked.filter(F.col("bound") >= least), rows_of, least, top, None))
+        early = kept(_met(celled, ranked.filter(F.col("bound") >= least), blocks, least, top, None))
         # The score to beat: that of the last place, where all places are taken.
         floors = _first(early, top).groupBy("query_id").agg(F.count("*").alias("n"), F.min("confidence").alias("floor")).filter(F.col("n") == top).drop("n")
         left = asked.join(ranked.select("query_id", "cell"), ["query_id", "cell"], "left_anti").join(floors, "query_id", "left")
         near = kept(left.filter((F.col("bound") >= least) & (F.col("bound") >= F.coalesce("floor", F.lit(least)))).drop("floor"))
-        scored = _first(early.unionByName(_met(celled, near, rows_of, least, top, None)), top)
+        scored = _first(early.unionByName(_met(celled, near, blocks, least, top, None)), top)
         near = near.unionByName(ranked.filter(F.col("bound") >= least))
     if told is not None:
         told["pairs"] = sum(c.rows for c in each) * queries.count()

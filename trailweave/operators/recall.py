@@ -204,6 +204,27 @@ def recall(state: State, log: DataFrame, query: str, as_of: str, limit: int = 5,
     return out.orderBy(F.desc("confidence"), "id").limit(limit).select(*RESULT)
 
 
+#: The way of what an error's own edges lead to.
+RESOLVED = "error→fix (resolved)"
+
+
+def fixes(state: State, log: DataFrame, message: str, as_of: str, limit: int = 5, budget: int = 5000, vector: DataFrame | None = None) -> DataFrame:
+    """What may fix an error, surest first: the files that recall finds for its normal form within the budget, and those
+    that the error's own edges lead to. The error's memory is that after continual.record_errors()."""
+    normal = message_normal(state, message)
+    files = kept(recall(state, log, normal, as_of, limit, budget, "file", vector))
+    near = state.edges.filter((F.col("source_id") == f"error:{normal}") & (F.col("weight") >= C.STRONG_EDGE)).select(F.col("target_id").alias("id"), "weight")
+    sure = F.least(F.col("weight") * (1 + F.col("myelination")), F.lit(C.CONFIDENCE_CAP))
+    known = near.join(state.vertices.filter("type = 'file'").select("id", "type", "path", "myelination"), "id").join(files, "id", "left_anti")
+    told = known.withColumn("confidence", sure).filter(F.col("confidence") >= C.CONFIDENCE_GATE).withColumn("activation_path", F.lit(RESOLVED))
+    return files.unionByName(told.select(*RESULT)).orderBy(F.desc("confidence"), "id")
+
+
+def message_normal(state: State, message: str) -> str:
+    """The normal form of one message, as vertices of errors have it."""
+    return state.vertices.sparkSession.range(1).select(S.normalize_error(F.lit(message)).alias("n")).first().n
+
+
 def recall_in_project(state: State, project: str, results: DataFrame) -> DataFrame:
     """Those of recall()'s results whose vertex is tagged with the project."""
     mine = state.vertices.filter(F.col("project") == project).select("id")

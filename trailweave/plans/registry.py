@@ -12,7 +12,7 @@ from .. import constants as C
 from ..constants import ERROR_NORMAL, ERROR_OPERATIONS, ERROR_TYPES, OUTPUT_ERRORS, OUTPUT_NORMAL, STOPWORDS
 from ..functions import scalars as S
 from ..functions import vectors
-from ..operators import continual, learning, maintenance, mining, nearest, recall, reports
+from ..operators import continual, learning, maintenance, mining, nearest, postings, recall, reports
 from ..operators.learning import State
 from ..sources import events, repositories, tables
 from ..sources import shared
@@ -344,6 +344,25 @@ def l06_search_lite(spark, sf_dir):
     return recall.context_matches(_vertices(spark, sf_dir), "View k17 error", top=20, paths=True).select("id")
 
 
+def _each_sql(top: int, where: str, text: str) -> str:
+    return oracle.with_vertices(f"""select distinct query_id, id from (select query_id, id, type, row_number() over (partition by query_id, word order by myelination desc, id) as k
+from told, (select distinct context as query_id, unnest(string_split({text}, ' ')) as word from log) where length(word) >= 3 and contains({where}, word)) where k <= {top} and type <> 'tool'""").replace("\nselect distinct", f", {_TOLD}\nselect distinct")
+
+
+@query(_each_sql(10, "lower(contexts)", "lower(context)"))
+def l05_context_search_each(spark, sf_dir):
+    """Every distinct context of the log as a query, all in one job."""
+    queries = access_log(spark, sf_dir).select(F.col("context").alias("query_id"), F.col("context").alias("text")).distinct()
+    return postings.matches_each(_vertices(spark, sf_dir), queries)
+
+
+@query(_each_sql(20, "lower(contexts || ' ' || path)", "lower(replace(context, ' k', '/'))"))
+def l06_search_lite_each(spark, sf_dir):
+    """The same with paths, in the form in which paths have them."""
+    queries = access_log(spark, sf_dir).select(F.col("context").alias("query_id"), F.replace("context", F.lit(" k"), F.lit("/")).alias("text")).distinct()
+    return postings.matches_each(_vertices(spark, sf_dir), queries, top=20, paths=True)
+
+
 @query(oracle.with_log("select vertex, max(ts)::varchar as last from log where session_id = 7 group by 1 order by max(ts) desc, vertex limit 20"))
 def l07_session_recent(spark, sf_dir):
     mine = access_log(spark, sf_dir).filter("session_id = 7").groupBy("vertex").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "vertex").limit(20)
@@ -1003,6 +1022,60 @@ def r06_recall(spark, sf_dir):
     return _results(recall.recall(_memory(spark, sf_dir), access_log(spark, sf_dir), _QUERY, AS_OF, limit=10, budget=1_000_000, vector=_vector(spark)))
 
 
+def _greedy(ranked: str, budget: int) -> str:
+    """Common tables for what a budget allows of ranked (k, cost), k from 1: taken (k)."""
+    return f"""fold as (select 0::bigint as k, {budget}::bigint as rest, false as took union all
+  select r.k, case when r.cost <= f.rest then f.rest - r.cost else f.rest end, r.cost <= f.rest from fold f join {ranked} r on r.k = f.k + 1),
+taken as (select k from fold where took)"""
+
+
+_SEEDS_SQL = "ranked as (select s.*, p.id is not null as by_print, case when s.type = 'file' then 1500 else 500 end as cost, row_number() over (order by p.id is null, s.c desc, s.id) as k from seeds s left join printed p on p.id = s.id)"
+
+
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from ranked where k in (select k from taken)", _FIRST_SQL, _SEEDS_SQL, _greedy("ranked", 11_700)).replace("with ", "with recursive ", 1))
+def r_budget_of_seeds(spark, sf_dir):
+    """What a budget that doesn't pay for all allows of the first results: dear ones are passed over for cheaper ones."""
+    state = _memory(spark, sf_dir)
+    first = recall.merged(recall.fingerprint_hits(state, _QUERY), recall.direct(state, _QUERY, AS_OF, vector=_vector(spark)))
+    by_print = (F.col("activation_path") != "fingerprint").cast("int")
+    return _results(recall.within_budget(first, 11_700, [by_print, -F.col("confidence"), F.col("id")]))
+
+
+_HOP_SQL = """hop as (select *, case when type = 'file' then 1500 else 500 end as cost, row_number() over (order by o, id) as k from (
+  select id, any_value(type) as type, max(least(c, 0.99::double)) as most, min(row(-seed, src, -w)) as o from h1 where id not in (select id from a0) group by id))"""
+
+
+@query(oracle.with_edges("select id, type, round(c, 6) as confidence from seeds union all select id, type, round(most, 6) from hop where k in (select k from taken)",
+    _MEMORY_SQL, "seeds as (select id, type, 1.0::double as c from mv where type <> 'tool' and path like '%1%')", oracle.spread("me", "mv"), _HOP_SQL, _greedy("hop", 9_300)).replace("with ", "with recursive ", 1))
+def r_budget_of_spreading(spark, sf_dir):
+    """One hop of spreading that a budget cuts: over the learned weights, the surest seeds' strongest edges first."""
+    state = _memory(spark, sf_dir)
+    seeds = state.vertices.filter("path like '%1%' and type <> 'tool'").select("id", "type", "path", F.lit(1.0).alias("confidence"), F.lit("direct").alias("activation_path"))
+    return _results(recall.spread(state, seeds, hops=1, budget=9_300))
+
+
+_FIXES_SQL = f"""{_DIRECT_SQL},
+ranked as (select id, type, c, 1500 as cost, row_number() over (order by c desc, id) as k from direct where type = 'file'), {_greedy("ranked", 5000)},
+active as (select id, type, c from ranked where k in (select k from taken)),
+habit as (select id, type, myelination * 0.5::double as c from (select *, row_number() over (order by myelination desc, id) as k from mv where type = 'file') where k <= 5 - (select count(*) from active) and myelination * 0.5 >= 0.15 and id not in (select id from active)),
+{_EPISODIC_6},
+episode as (select * from (select v.id, v.type, least(least(n / 5.0::double, 1) * (0.5::double + greatest(0, 1 - date_diff('microsecond', last, timestamp '2024-01-31 00:00:00') / 3.6e9::double / 168) * 0.5::double), 1.0::double) as c
+  from seen join mv v on v.id = vertex where v.type = 'file') where c >= 0.4 order by c desc, id limit 3),
+recalled as (select id, max(c) as c from (select * from active union all select * from habit union all select * from episode) group by id order by 2 desc, 1 limit 5),
+resolved as (select id, least(0.85::double * (1 + myelination), 0.99::double) as c from mv where type = 'file' and id like 'file:click/1%' and id not in (select id from recalled))"""
+
+
+@query(oracle.with_edges("select id, round(c, 6) as confidence, 'recall' as way from recalled union all select id, round(c, 6), 'error→fix (resolved)' from resolved", _FIXES_SQL).replace("with ", "with recursive ", 1))
+def k10_recorded_error(spark, sf_dir):
+    """An error is recorded: the files that may fix it, within 5,000 tokens, and those that fixed it before."""
+    state = _memory(spark, sf_dir)
+    fixes = state.vertices.filter("id like 'file:click/1%'").select(F.lit(f"error:{_QUERY}").alias("error_id"), F.col("id").alias("fix_id"), F.lit("error:none").alias("fingerprint_id"))
+    state = state.but(edges=learning.resolved_edges(state.edges, fixes))
+    got = recall.fixes(state, access_log(spark, sf_dir), _QUERY, AS_OF, vector=_vector(spark))
+    way = F.when(F.col("activation_path") == recall.RESOLVED, F.col("activation_path")).otherwise("recall")
+    return got.select("id", F.round("confidence", 6).alias("confidence"), way.alias("way"))
+
+
 @query(oracle.with_edges("select id, type, round(least(greatest(r.c, coalesce(s, 0)) * case when s is null then 1 else 1.15::double end, case when s is null then r.c else 0.99::double end), 6) as confidence from (select id, type, c from recalled) r left join (select id, 0.6::double as s from mv where type = 'file' and path like '%1.ts') n using (id) order by 3 desc, id limit 10", _RECALL_SQL))
 def r06_recall_with_snippets(spark, sf_dir):
     """With what snippets tell of files: those whose name ends in 1."""
