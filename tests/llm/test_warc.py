@@ -98,3 +98,22 @@ def test_many_repeated_payloads(spark):
     pages = spark.range(60_000).selectExpr("id as page_id", "'u' as url", "concat('page ', id div 2) as html")
     got = warc.round_trip(pages).groupBy("record_type").agg(F.count("*"), F.sum((F.col("refers_to") == F.col("page_id") - 1).cast("int")))
     assert sorted(map(tuple, got.collect())) == [("response", 30_000, None), ("revisit", 30_000, 30_000)]
+
+
+def test_numbers_of_nineteen_digits(spark):
+    most, least = (1 << 63) - 1, -(1 << 63)
+    rows = [(1234567890123456789, "u", "same", "", ""), (1234567890123456790, "u", "same", "", ""), (most, "u", "a", "", ""), (least, "u", "b", "", ""), (most - 1, "u", "b", "", "")]
+    assert sorted(map(str, map(tuple, warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()))) == brute(rows)
+
+
+def test_what_is_added_stays_and_what_is_overwritten_goes(spark, tmp_path):
+    path = f"file://{tmp_path}/archives"
+    page = lambda i: spark.createDataFrame([(i, "u", f"page {i}")], "page_id bigint, url string, html string")
+    ids = lambda: sorted(r.page_id for r in warc.read(spark, path).collect())
+    for i in (1, 2, 3):
+        warc.write(page(i), path)
+    assert ids() == [1, 2, 3]
+    warc.as_records(page(4)).write.format("warc").mode("overwrite").save(path)
+    assert ids() == [4] and len([f for f in os.listdir(tmp_path / "archives") if f.endswith(".gz")]) == 1
+    warc.write(page(5), path)
+    assert ids() == [4, 5]

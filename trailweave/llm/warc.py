@@ -32,7 +32,7 @@ RANGE_BYTES, CHUNK_BYTES, FILE_BYTES, BATCH_BYTES = 16 << 20, 1 << 18, 128 << 20
 #: Seconds are of no interest to what is tested, so all records carry one date; a fixed value.
 DATE = "1970-01-01T00:00:00Z"
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
-COMMITTED = "_committed.json"
+COMMITTED = "_committed"
 
 
 def digest_of(payload: bytes) -> str:
@@ -65,11 +65,21 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+def committed(fs: pafs.FileSystem, root: str) -> dict[str, list[str]]:
+    """The lists of the jobs that have written to a folder, by their paths: the names of their files."""
+    lists = {}
+    for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(COMMITTED):
+            with fs.open_input_stream(info.path) as f:
+                lists[info.path] = json.loads(f.read())
+    return lists
+
+
 class WarcWriter(DataSourceArrowWriter):
     """Each attempt of a task writes files of its own; commit() lists those of the attempts that count."""
 
-    def __init__(self, path: str, file_bytes: int) -> None:
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False) -> None:
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, iterator: Iterator) -> Written:
         fs, root = file_system(self.path)
@@ -90,10 +100,14 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list) -> None:
+        """A list for each job: readers take what all of them name. Where the job overwrites, earlier ones go with it."""
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{COMMITTED}", compression=None) as out:
+        before = committed(fs, root) if self.overwrite else {}
+        with fs.open_output_stream(f"{root}/{COMMITTED}-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(sorted(name for m in messages if m for name in m.names)).encode())
+        for path in [*before, *(f"{root}/{name}" for names in before.values() for name in names)]:
+            fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         fs, root = file_system(self.path)
@@ -198,7 +212,12 @@ def parsed(data: bytes) -> tuple:
     told = fields.get("content-length", "")
     block = rest[: int(told)] if re.fullmatch(r"[0-9]+", told) else rest.removesuffix(b"\r\n\r\n")
     http, split, payload = block.partition(b"\r\n\r\n")
-    number = lambda name: int(m[1]) if (m := re.search(r"urn:x-page:(-?\d{1,18})>", fields.get(name, ""))) else None
+
+    def number(name: str) -> int | None:
+        found = re.search(r"urn:x-page:(-?\d{1,19})>", fields.get(name, ""))
+        value = int(found[1]) if found else None
+        return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
+
     kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
     length = re.search(rb"(?i)content-length: *(\d{1,18})", http)
     if kind == "response":
@@ -213,10 +232,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, root = file_system(self.path)
-        listed = f"{root}/{COMMITTED}"
-        if fs.get_file_info(listed).type == pafs.FileType.File:
-            with fs.open_input_stream(listed) as f:
-                infos = fs.get_file_info([f"{root}/{name}" for name in json.loads(f.read())])
+        lists = committed(fs, root)
+        if lists:
+            infos = fs.get_file_info([f"{root}/{name}" for names in lists.values() for name in names])
         else:
             infos = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.path.endswith(".warc.gz")]
         return [ByteRange(i.path, at, min(at + self.range_bytes, i.size)) for i in infos for at in range(0, i.size, self.range_bytes)] or [ByteRange("", 0, 0)]
@@ -260,7 +278,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), mode)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)))
+        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)), overwrite)
 
 
 def as_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
