@@ -15,6 +15,9 @@ MYELIN_FLOOR = 0.1
 
 TOKENS_FILE = 1500
 TOKENS_OTHER = 500
+#: What telling one result costs, and how many a recall tells.
+TOKENS_TOLD = 75
+RESULTS_TOLD = 3
 CONTEXTS_RECORDED = 20
 CONTEXTS_APPENDED = 15
 

@@ -191,3 +191,8 @@ def input_summary(json: Column) -> Column:
 
 def input_path(json: Column) -> Column:
     return F.coalesce(F.get_json_object(json, "$.path"), F.get_json_object(json, "$.file_path"))
+
+
+def project_of(folder: Column) -> Column:
+    """The project that a folder stands for: the last part of its path, null if it has none."""
+    return F.try_element_at(F.filter(F.split(folder, "/"), lambda p: p != ""), F.lit(-1))

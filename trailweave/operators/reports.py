@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import scalars as S
 from .sequences import neighbours
 
@@ -75,8 +76,19 @@ def replay_sessions(replay: DataFrame, last: int = 10) -> DataFrame:
     ).orderBy(F.desc("session_id")).limit(last)
 
 
+def session_list(replay: DataFrame, last: int = 10) -> DataFrame:
+    """(session_id, started_at, events, unique_files, errors): the sessions of tool calls (session_id, ts, tool_input as
+    JSON, tool_result) that began last; a file is a path that an input names."""
+    path = F.when(F.col("tool_input") != "", F.get_json_object("tool_input", "$.path"))
+    return replay.groupBy("session_id").agg(
+        F.min("ts").alias("started_at"), F.count("*").alias("events"), F.countDistinct(path).alias("unique_files"), F.sum(F.coalesce(S.is_error(F.col("tool_result")), F.lit(False)).cast("int")).alias("errors")
+    ).orderBy(F.desc("started_at"), F.desc("session_id")).limit(last)
+
+
 def replay_footer(replay: DataFrame) -> DataFrame:
-    return replay.agg(F.count("*").alias("events"), F.sum(S.is_error(F.col("tool_result")).cast("int")).alias("errors"))
+    """How many calls, how many of them errors and, where they have a duration_ms, how long all took."""
+    total = [F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("total_ms")] if "duration_ms" in replay.columns else []
+    return replay.agg(F.count("*").alias("events"), F.sum(S.is_error(F.col("tool_result")).cast("int")).alias("errors"), *total)
 
 
 def numbered_replay(replay: DataFrame) -> DataFrame:
@@ -91,6 +103,14 @@ def token_metrics(vertices: DataFrame, price: float = 3.0) -> DataFrame:
     return sums.select((F.col("saved") / F.col("without") * 100).alias("gross_pct"), (F.col("saved") * price / 1e6).alias("saved_usd"), (F.col("served") / F.col("n")).alias("recall_served"), (F.col("high") / F.col("n")).alias("high_confidence"))
 
 
+def net_savings(vertices: DataFrame, recalls: int = 1) -> DataFrame:
+    """net_pct: the share of tokens saved beyond what telling the results of so many recalls costs; 0 at least."""
+    n, m = F.col("access_count"), F.col("myelination")
+    sums = vertices.agg(F.sum(n * 2000).alias("without"), F.sum(F.floor(n * m) * 500).alias("saved"))
+    net = (F.col("saved") - C.TOKENS_TOLD * C.RESULTS_TOLD * recalls) / F.col("without") * 100
+    return sums.select(F.when(F.col("without") > 0, F.greatest(net, F.lit(0.0))).otherwise(0.0).alias("net_pct"))
+
+
 def myelin_metrics(vertices: DataFrame) -> DataFrame:
     m = vertices.filter("myelination > 0")
     return m.agg(F.avg("myelination").alias("avg_m"), F.max("myelination").alias("max_m"), F.min("myelination").alias("min_m"), F.coalesce(F.stddev_samp("myelination"), F.lit(0.0)).alias("std_m"), F.count("*").alias("n"))
@@ -126,6 +146,19 @@ def precision_recall(got: DataFrame, expected: DataFrame) -> DataFrame:
     return sums.withColumn("precision", share(tp, fp)).withColumn("recall", share(tp, fn)).withColumn("f1", F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0))
 
 
+def confusion(got: DataFrame, expected: DataFrame, failing: DataFrame) -> DataFrame:
+    """Of got (query, id, type), expected (query, id) and failing (query), the queries that should find no file: tp, fp,
+    fn, tn, precision and recall. Only files are found wrongly; a failing query that finds none is a true negative."""
+    both = got.withColumn("got", F.lit(1)).join(expected.withColumn("expected", F.lit(1)), ["query", "id"], "full_outer")
+    n = lambda c: F.count(F.when(c, 1))
+    is_got, is_expected = F.col("got").isNotNull(), F.col("expected").isNotNull()
+    sums = both.agg(n(is_got & is_expected).alias("tp"), n(is_got & ~is_expected & (F.col("type") == "file")).alias("fp"), n(~is_got & is_expected).alias("fn"))
+    quiet = failing.join(got.filter("type = 'file'").select("query"), "query", "left_anti").agg(F.count("*").alias("tn"))
+    share = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
+    out = sums.join(F.broadcast(quiet))
+    return out.withColumn("precision", share(F.col("tp"), F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("fn")))
+
+
 def prediction_accuracy(log: DataFrame, edges: DataFrame) -> DataFrame:
     """How often the tool that follows a tool in a session is the first, or among the first three, of its edges."""
     uses = log.filter("type = 'tool'").select("session_id", "vertex", "at", "id")

@@ -73,6 +73,33 @@ def from_parts(parts: DataFrame) -> DataFrame:
     return _accesses(named, F.col("tool").isin(*SHELL_TOOLS))
 
 
+#: Errors in what a call gave, as an extension tells them: a fixed pattern.
+EXTENSION_ERROR = r"(?:Error|Exception|FAILED|error\[E\d+\]):\s*(.{10,120})"
+
+
+def from_extension(calls: DataFrame, home: str = "/root") -> DataFrame:
+    """Of calls as schema.TOOL_CALL, from an extension that names tools in any case: the tool, a shell's command as one
+    more, the files, and an error in the result. Contexts say what was done to a file."""
+    tool, given, output = F.col("tool_name"), F.col("tool_input"), F.coalesce("tool_result", F.lit(""))
+    lower = F.lower(tool)
+    command, one = F.coalesce(_given(given, "command"), F.lit("")), _given(given, "file_path", "path", "notebook_path")
+    pattern = _given(given, "pattern", "query")
+    searched = lower.isin("grep", "glob")
+    told = F.when(searched, F.coalesce(F.concat(lower, F.lit(":"), pattern), lower)).when(lower == "bash", F.concat(F.lit("bash:"), F.substring(command, 1, 60))).when(lower.isin("read", "write", "edit"), F.concat(lower, F.lit(":"), one)).otherwise(tool)
+    listed = F.filter(F.transform(F.split(output, "\n"), lambda x: F.regexp_extract(F.trim(x), r"^(/[^\s:]+)", 1)), lambda p: p != "")
+    mentioned = F.transform(F.regexp_extract_all(command, F.lit(r"(?:^|\s)((?:/|~/)[^\s;|&><'\"]+)"), 1), lambda p: F.trim(p))
+    found = F.when(searched, F.array_distinct(listed)).when(lower == "bash", mentioned).otherwise(F.array_compact(F.array(one)))
+    files = F.filter(F.transform(F.filter(found, S.is_absolute), lambda p: S.resolved(p, home)), lambda p: ~S.is_skipped(p))
+    error = F.regexp_extract(output, EXTENSION_ERROR, 1)
+    for was, now in ((r"(?i)0x[0-9a-f]+", "0x..."), (r"\d{10,}", "..."), (r":\d+:\d+", ":N:N")):
+        error = F.regexp_replace(error, was, now)
+    event = lambda kind, path, context: F.struct(F.lit(kind).alias("type"), path.alias("path"), context.alias("context"))
+    shell = F.when((lower == "bash") & (command != ""), F.array(event("tool", F.concat(F.lit("bash:"), F.substring(command, 1, 60)), F.concat(F.lit("bash:"), F.substring(command, 1, 80))))).otherwise(F.array().cast("array<struct<type: string, path: string, context: string>>"))
+    every = F.concat(F.array(event("tool", tool, F.concat(F.lit("tool:"), tool))), shell, F.transform("_files", lambda p: event("file", p, F.col("_told"))), F.filter(F.array(event("error", F.col("_error"), tool)), lambda e: e["path"] != ""))
+    named = calls.filter("tool_name is not null and tool_name <> ''").withColumns({"_files": F.coalesce(files, F.array().cast("array<string>")), "_told": told, "_error": F.substring(error, 1, 120)})
+    return named.select("session_id", "at", F.posexplode(every).alias("n", "e")).select("session_id", "at", "n", "e.type", "e.path", "e.context")
+
+
 def sessions_from_transcripts(lines: DataFrame) -> DataFrame:
     """(session_id, seq, file): what transcripts, lines (session_id, value) of JSON, tell of files, of sessions with two
     files at least."""
