@@ -71,3 +71,17 @@ def test_tags_capture_and_expire(spark):
 def test_recall_of_a_project(spark):
     vertices = spark.createDataFrame([("a", "P"), ("b", None)], "id string, project string")
     assert [r.id for r in recall.recall_in_project(State(vertices, vertices), "P", seeds_of(spark, "a", "b")).collect()] == ["a"]
+
+
+def test_what_was_told_is_tracked(spark):
+    from trailweave.operators import recall
+    from trailweave.streaming import state
+
+    told = spark.createDataFrame([("file:a", "file", "a", 0.9, "direct"), ("error:b", "error", "b", 0.8, "direct")], "id string, type string, path string, confidence double, activation_path string")
+    rows = recall.tracked(told, 3, "s", "2024-01-01 00:00:00")
+    assert [(r.agent, r.session_id, r.kind, r.name) for r in rows.collect()] == [(3, "s", "recalled", "file:a")]
+    assert state.Recalled and set(rows.columns) == {"agent", "session_id", "kind", "name", "at", "id"}
+    vertices = spark.createDataFrame([("file:a", "file", 0.456), ("error:b", "error", 0.1)], "id string, type string, myelination double").selectExpr("*", "timestamp_ntz'2024-01-01' as last_accessed")
+    got = {r.text: (r.kind, r.confidence, r.myelin) for r in recall.session_message(told, vertices, "2024-01-05 00:00:00").collect()}
+    assert got == {"a": ("result", 90, 46), "b": ("result", 80, 10)}
+    assert ("alert", None, None) in {(r.kind, r.confidence, r.myelin) for r in recall.session_message(told, vertices, "2024-02-05 00:00:00").collect()}

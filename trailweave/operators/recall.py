@@ -12,6 +12,7 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..sources.shared import kept
 from .learning import State
+from .reports import stale_alert
 
 RESULT = ["id", "type", "path", "confidence", "activation_path"]
 
@@ -248,6 +249,24 @@ def performed(results: DataFrame, commits: DataFrame, vertices: DataFrame, limit
     return sure.select(*RESULT).unionByName(filled).orderBy(F.desc("confidence"), "id").limit(limit)
 
 
+def session_message(results: DataFrame, vertices: DataFrame, as_of: str, alerts: int = 3, least: float = 0.15) -> DataFrame:
+    """(kind, text, confidence, myelin) of what a session is told: performed()'s results with their path and, in
+    hundredths, how sure they are and how well known, and the alert of what is known well and getting stale, if any.
+    Tools are never results, so none are preferred."""
+    share = lambda c: F.round(F.col(c) * 100).cast("int")
+    known = results.join(vertices.select("id", "myelination"), "id")
+    files = known.select(F.lit("result").alias("kind"), F.col("path").alias("text"), share("confidence").alias("confidence"), share("myelination").alias("myelin"))
+    alert = stale_alert(vertices, as_of, alerts, least=least).filter("alert <> ''")
+    none = F.lit(None).cast("int")
+    return files.unionByName(alert.select(F.lit("alert").alias("kind"), F.col("alert").alias("text"), none.alias("confidence"), none.alias("myelin")))
+
+
+def tracked(results: DataFrame, agent: int, session_id: str, at: str) -> DataFrame:
+    """What a session was told, as streaming.state.ignored() takes it: files that were recalled, and when."""
+    files = results.filter("type = 'file'")
+    return files.select(F.lit(agent).cast("bigint").alias("agent"), F.lit(session_id).alias("session_id"), F.lit("recalled").alias("kind"), F.col("id").alias("name"), F.lit(at).cast("timestamp").alias("at"), F.xxhash64("id").alias("id"))
+
+
 def recall_lite(state: State, query: str, as_of: str, limit: int = 5) -> DataFrame:
     """By the reduced engine: five seeds, no budget, no habit, no episodes."""
     words = _literals(_words(query))

@@ -1124,16 +1124,37 @@ def r10_consensus(spark, sf_dir):
     return recall.consensus(got, state.vertices.filter(_TOLD_FILES).select("id")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(oracle.with_edges(f"""select id, round(c, 6) as confidence from (select id, c from kept union all select id, c from (select id, 0.45::double as c from mv where {_TOLD_FILES} and id not in (select id from kept) order by id limit 12) where (select count(*) from kept) < 12 qualify row_number() over (order by id) <= 12 - (select count(*) from kept)) order by c desc, id limit 12""",
-    _RECALL_SQL, """top as (select r.*, mv.path from recalled r join mv using (id) order by r.c desc, r.id limit 36),
-kept as (select id, c * case when type = 'file' and path not like 'src/view%' then 0.3::double else 1 end as c from top where c >= 0.3 and c * case when type = 'file' and path not like 'src/view%' then 0.3::double else 1 end >= 0.3 order by 2 desc, id limit 12)"""))
-def r10_performed(spark, sf_dir):
-    """What a session in src/view... is told, filled up by files that commits tell of."""
+_PERFORMED_SQL = f"""select id, round(c, 6) as confidence from (select id, c from kept union all select id, c from (select id, 0.45::double as c from mv where {_TOLD_FILES} and id not in (select id from kept) order by id limit 12) where (select count(*) from kept) < 12 qualify row_number() over (order by id) <= 12 - (select count(*) from kept)) order by c desc, id limit 12"""
+
+
+def _performed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What a session in src/view... is told, filled up by files that commits tell of, and the vertices."""
     state = _memory(spark, sf_dir)
     moved = state.vertices.withColumn("path", F.regexp_replace("path", "^src/view", "src/v/view"))
     got = recall.recall(state.but(vertices=state.vertices), access_log(spark, sf_dir), _QUERY, AS_OF, limit=36, budget=1_000_000, vector=_vector(spark)).withColumn("path", F.regexp_replace("path", "^src/view", "src/v/view"))
     told = moved.filter(_TOLD_FILES).select("path", F.lit(0.5).alias("confidence"))
-    return recall.performed(got, told, moved, limit=12, least=0.3, root="src/v").select("id", F.round("confidence", 6).alias("confidence"))
+    return recall.performed(got, told, moved, limit=12, least=0.3, root="src/v"), moved
+
+
+_PERFORMED_PARTS = (_RECALL_SQL, """top as (select r.*, mv.path from recalled r join mv using (id) order by r.c desc, r.id limit 36),
+kept as (select id, c * case when type = 'file' and path not like 'src/view%' then 0.3::double else 1 end as c from top where c >= 0.3 and c * case when type = 'file' and path not like 'src/view%' then 0.3::double else 1 end >= 0.3 order by 2 desc, id limit 12)""")
+
+
+@query(oracle.with_edges(_PERFORMED_SQL, *_PERFORMED_PARTS))
+def r10_performed(spark, sf_dir):
+    return _performed(spark, sf_dir)[0].select("id", F.round("confidence", 6).alias("confidence"))
+
+
+_MOVED = "case when path like 'src/view%' then 'src/v/' || substr(path, 5) else path end"
+
+
+@query(oracle.with_edges(f"""select 'result' as kind, {_MOVED} as text, floor(p.confidence * 100 + 0.5::double)::int as confidence, floor(myelination * 100 + 0.5::double)::int as myelin from performed p join mv using (id)
+union all select 'alert', string_agg(split_part(id, ':', -1) || ' (' || round({_IDLE})::bigint || ' days)', ', ' order by myelination desc, id), null, null from (
+  select * from mv where type = 'file' and myelination >= 0.15 and {_IDLE} > 7 order by myelination desc, id limit 3)""", *_PERFORMED_PARTS, f"performed as ({_PERFORMED_SQL})"))
+def r10_session_message(spark, sf_dir):
+    """The same as a session is told it, with an alert of what is getting stale."""
+    got, vertices = _performed(spark, sf_dir)
+    return recall.session_message(got, vertices, "2024-02-20 00:00:00")
 
 
 # Scalar functions and sources ---------------------------------------------------------------------------------------
