@@ -1,11 +1,6 @@
-"""The relations of the memory model."""
+"""Relations at the boundary of the memory model."""
 
-VERTICES = "id string, type string, path string, activation double, myelination double, access_count bigint, last_accessed timestamp_ntz, contexts array<string>, embedding array<float>, project string, ignore_streak int"
-EDGES = "source_id string, target_id string, weight double, co_access_count bigint, last_fired timestamp_ntz, tagged_at timestamp_ntz"
-ACCESS_LOG = "id bigint, session_id string, vertex string, type string, path string, context string, at timestamp_ntz, token_cost bigint"
 SNIPPETS = "id string, parent string, name string, kind string, start_line int, end_line int, source string, content_hash string"
-REPLAY = "session_id string, seq bigint, ts timestamp_ntz, tool_name string, tool_input string, tool_result string, exit_code int, cwd string, duration_ms int"
-COMMIT = "hash string, timestamp bigint, message string, files array<string>"
 #: Events at the boundary, as two families of tools tell them.
 TOOL_CALL = "session_id string, tool_name string, tool_input map<string, string>, tool_result string, at timestamp_ntz"
 TOOL_PART = "type string, part struct<tool: string, state: struct<status: string, input: map<string, string>, output: string>>, session_id string, at timestamp_ntz"
