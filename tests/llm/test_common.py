@@ -34,3 +34,15 @@ def test_functions_travel_without_the_package(tmp_path):
     code = "import pickle; print([bool(len(f(*a))) for f, a in pickle.load(open('calls', 'rb'))])"
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.strip() == str([True] * 5)
+
+
+def test_bits_split_without_loss(spark):
+    from trailweave.llm.common import member_bits, split_by_bits
+
+    rows = spark.range(5000).selectExpr("if(id = 7, null, id) as id", "'b' as _bits", "'a' as _at", "'c' as _bucket")
+    known = rows.filter("id % 10 = 0 or id is null")
+    may, never = split_by_bits(rows, member_bits(known, F.struct("id")), F.struct("id"))
+    wanted = {r.id for r in known.collect()}
+    assert may.columns == rows.columns and wanted <= {r.id for r in may.collect()}
+    assert may.count() + never.count() == 5000 and may.count() < 510
+    assert split_by_bits(rows, member_bits(known.limit(0), F.col("id")), F.col("id"))[1].count() == 5000

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, keep, settled, spread_join
+from .common import SPACE_CLASS, fresh, keep, member_bits, settled, split_by_bits, spread_join
 
 MIN_WORDS = 30
 #: Words of a gram, most of its short lines, and words from which a short line is taken in any case. With these a run
@@ -117,8 +117,9 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     found = fingerprints(texts)
     # Copies of a text don't make its fingerprints repeat: it has them at the same places.
     where = F.xxhash64("key.th", "x")
-    again = found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp")
-    at = spread_join(found, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
+    again = keep(found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp"))
+    some, _ = split_by_bits(found, member_bits(again, F.col("fp")), F.col("fp"))
+    at = spread_join(some, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
     copies = keep(later_copies(texts))
     extended = keep(passages(texts, at.join(copies.hint("merge"), "key", "left_anti"), min_words))
     first = extended.groupBy("p1", "p2").agg(F.min(_place("line")).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -148,9 +149,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if min_words < GRAM - 2 + 2 * LONG:
         raise ValueError(f"runs of fewer than {GRAM - 2 + 2 * LONG} words may have no fingerprint")
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    marks = repeats(typed.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.struct("copy", "gone").alias(mark))
-    # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size.
-    out = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th"))).join(marks.hint("merge"), key, "left")
+    marks = keep(repeats(typed.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.struct("copy", "gone").alias(mark)))
+    # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size. Texts that
+    # can't have a mark stay where they are.
+    keyed = typed.drop(deleted).withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th")))
+    may, stay = split_by_bits(keyed, member_bits(marks, F.col(key)), F.col(key))
+    out = may.join(marks.hint("merge"), key, "left")
     out = settled(out, **{mark: F.when(F.col(mark).isNotNull(), F.struct(f"{mark}.*", _pieces(F.col("text")).alias("pieces")))})
     # A later copy goes from its first line with words to its last.
     said = F.transform(f"{mark}.pieces", lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
@@ -163,7 +167,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = out.withColumn("text", F.when(touched, F.array_join(left, "")).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in columns if c != deleted], deleted)
+    names = [c for c in columns if c != deleted]
+    return out.select(*names, deleted).unionByName(stay.select(*names, F.lit(0).alias(deleted)))
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
