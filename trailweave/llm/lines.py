@@ -87,24 +87,35 @@ def fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
-    """(key, line, last, p1, p2): the runs around the positions at (key, xs), with 128 bits of their words."""
+    """(key, line, last, p1, p2): the runs around the positions at (key, hits), a flag for each short line up to the
+    last that is hit, with 128 bits of their words."""
     # Rows that repeat are taken once; texts, join and windows are all dealt by the key.
     # Arrays of numbers are a third of the size of an array of structs.
     flat = texts.select("key", *(F.col(f"units.{c}").alias(c) for c in ("i", "h", "n")))
     once = flat.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("k = 1").drop("k")
-    near = once.join(at.hint("merge"), "key").select("key", "xs", F.posexplode(F.arrays_zip("i", "h", "n")).alias("x", "u"))
-    lines = near.select("key", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.array_contains("xs", F.col("x")).alias("hit"))
-    placed = lines.withColumn("at", F.sum("n").over(Window.partitionBy("key").orderBy("line")) - F.col("n")).withColumn("upto", F.col("at") + F.col("n"))
-    by_start, by_end = (Window.partitionBy("key").orderBy(c) for c in ("at", "upto"))
-    ahead, back = by_start.rangeBetween(0, min_words - 1), by_end.rangeBetween(1 - min_words, 0)
-
-    def run(w, first: Column, last: Column) -> Column:
-        hs = F.collect_list("h").over(w)
+    # Behind the last line stands one without words: there the last line is the one before.
+    lone = lambda c, v: F.concat(c, F.array(v))
+    near = once.join(at.hint("merge"), "key").select("key", lone("i", F.lit(None)).alias("i"), lone("h", F.lit(None)).alias("h"), lone("n", F.lit(0)).alias("n"), "hits")
+    lines = near.select("key", F.posexplode(F.arrays_zip("i", "h", "n", "hits")).alias("x", "u"))
+    lines = lines.select("key", "x", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.coalesce("u.hits", F.lit(False)).alias("hit"))
+    by_line = Window.partitionBy("key").orderBy("x")
+    before = (F.lag(c).over(by_line).alias(f"{c}_before") for c in ("line", "h", "n", "hit"))
+    placed = lines.select("key", "line", "h", "n", "hit", (F.sum("n").over(by_line) - F.col("n")).alias("at"), *before)
+    placed = placed.withColumn("upto", F.col("at") + F.col("n")).withColumn("at_before", F.col("at") - F.col("n_before"))
+    # Where a line begins the one before ends: one order serves runs to both sides.
+    by_start = Window.partitionBy("key").orderBy("at")
+    ahead, back = by_start.rangeBetween(0, min_words - 1), by_start.rangeBetween(1 - min_words, 0)
+
+    def run(h: str, w, first: Column, last: Column) -> Column:
+        hs = F.collect_list(h).over(w)
         return F.struct(first.alias("line"), last.alias("last"), F.xxhash64(hs).alias("p1"), F.xxhash64(F.lit(1), hs).alias("p2"))
 
-    begins = F.when(F.max("hit").over(ahead) & (F.max("upto").over(ahead) >= F.col("at") + min_words), run(ahead, F.col("line"), F.max("line").over(ahead)))
+    begins = F.when(F.max("hit").over(ahead) & (F.max("upto").over(ahead) >= F.col("at") + min_words), run("h", ahead, F.col("line"), F.max("line").over(ahead)))
     # One that is enough without its last line is no other run's beginning.
-    ends = F.when(F.max("hit").over(back) & (F.col("at") - F.min("at").over(back) >= min_words), run(back, F.min("line").over(back), F.col("line")))
+    ends = F.when(
+        F.max("hit_before").over(back) & (F.col("at_before") - F.min("at_before").over(back) >= min_words),
+        run("h_before", back, F.min("line_before").over(back), F.col("line_before")),
+    )
     both = placed.select("key", begins.alias("begins"), ends.alias("ends"))
     each = both.select("key", F.explode(F.array_compact(F.array("begins", "ends"))).alias("p"))
     return each.select("key", "p.*")
@@ -120,6 +131,9 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     again = keep(found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp"))
     some, _ = split_by_bits(found, member_bits(again, F.col("fp")), F.col("fp"))
     at = spread_join(some, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
+    at = settled(at, xs=F.array_sort("xs"))
+    gap = lambda x, k: F.array_repeat(F.lit(False), x - F.coalesce(F.get("xs", k - 1), F.lit(-1)) - 1)
+    at = at.select("key", F.flatten(F.transform("xs", lambda x, k: F.concat(gap(x, k), F.array(F.lit(True))))).alias("hits"))
     copies = keep(later_copies(texts))
     extended = keep(passages(texts, at.join(copies.hint("merge"), "key", "left_anti"), min_words))
     first = extended.groupBy("p1", "p2").agg(F.min(_place("line")).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
