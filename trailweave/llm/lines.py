@@ -87,8 +87,11 @@ def fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
-    """(key, line, last, p1, p2): the runs around the positions at (key, hits), a flag for each short line up to the
-    last that is hit, with 128 bits of their words."""
+    """(key, line, last, p1, p2): the runs around the positions at (key, xs), with 128 bits of their words."""
+    # A flag for each short line up to the last that is hit, so that no line is looked for among the positions.
+    at = settled(at, xs=F.array_sort("xs"))
+    gap = lambda x, k: F.array_repeat(F.lit(False), x - F.coalesce(F.get("xs", k - 1), F.lit(-1)) - 1)
+    at = at.select("key", F.flatten(F.transform("xs", lambda x, k: F.concat(gap(x, k), F.array(F.lit(True))))).alias("hits"))
     # Rows that repeat are taken once; texts, join and windows are all dealt by the key.
     # Arrays of numbers are a third of the size of an array of structs.
     flat = texts.select("key", *(F.col(f"units.{c}").alias(c) for c in ("i", "h", "n")))
@@ -131,9 +134,6 @@ def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     again = keep(found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp"))
     some, _ = split_by_bits(found, member_bits(again, F.col("fp")), F.col("fp"))
     at = spread_join(some, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
-    at = settled(at, xs=F.array_sort("xs"))
-    gap = lambda x, k: F.array_repeat(F.lit(False), x - F.coalesce(F.get("xs", k - 1), F.lit(-1)) - 1)
-    at = at.select("key", F.flatten(F.transform("xs", lambda x, k: F.concat(gap(x, k), F.array(F.lit(True))))).alias("hits"))
     copies = keep(later_copies(texts))
     extended = keep(passages(texts, at.join(copies.hint("merge"), "key", "left_anti"), min_words))
     first = extended.groupBy("p1", "p2").agg(F.min(_place("line")).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
