@@ -36,6 +36,21 @@ def test_automaton_against_brute_force():
         assert (n, sum(b - a for a, b in spans), len(found)) == want[:3] and [*spans] == sorted(spans)
 
 
+def test_items_of_one_repeated_word():
+    r = random.Random(5)
+    for _ in range(40):
+        items = [(str(i), " ".join([r.choice("ab")] * r.randrange(1, 9) + [r.choice("ab")] * r.randrange(3))) for i in range(5)]
+        auto = Automaton.of([(i, normal_words(t)) for i, t in items], 4)
+        text = " ".join(r.choice("aaab") for _ in range(60))
+        n, spans, found = auto.hits(text)
+        assert (n, sum(b - a for a, b in spans), len(found)) == brute(text, items, 4)[:3]
+
+
+def test_a_long_item_of_one_word_is_no_square():
+    auto = Automaton.of([("zeros", [b"0"] * 100_000), ("two", [b"0", b"0"])], 13)
+    assert auto.hits("0 " * 50)[1:] == ([(0, 50)], {"zeros", "two"}) and auto.hits("0 0 1")[2] == {"two"}
+
+
 @pytest.mark.parametrize("block_words", [10, 10**6])
 def test_edge_cases(spark, block_words):
     items = [(1, "One two THREE four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "Ünï-code ÀB"), (2, "second of two"), (3, None), (None, "null item"), (None, "alpha beta gamma"), (4, "..."), (10, "twelve thirteen fourteen")]

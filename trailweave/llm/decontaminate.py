@@ -96,15 +96,13 @@ class Automaton:
                     up = auto.link[up]
             if 0 < len(words) < window:
                 ends.setdefault(at, []).append((len(words), item))
-        for state in range(1, len(auto.states)):
-            up, short = state, []
-            while up > 0:
-                short += ends.get(up, [])
-                if auto.longest[up] >= window > auto.longest[auto.link[up]] and up in marked:
-                    auto.items[state] = marked[up]
-                up = auto.link[up]
-            if short:
-                auto.short[state] = short
+        # A state has what its link has: links are shorter, so in order of length each is looked at once.
+        for state in sorted(range(1, len(auto.states)), key=auto.longest.__getitem__):
+            link = auto.link[state]
+            if auto.longest[state] >= window:
+                auto.items[state] = marked[state] if auto.longest[link] < window else auto.items[link]
+            if state in ends or link in auto.short:
+                auto.short[state] = ends[state] + auto.short.get(link, []) if state in ends else auto.short[link]
         return auto
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
