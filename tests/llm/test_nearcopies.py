@@ -74,3 +74,28 @@ def test_stage_drops_near_copies(spark):
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert left == {*brute(rows)} and not {145, 177} & left
+
+
+def test_simhash_links_lead(spark, monkeypatch):
+    """Without min-hash keys what SimHash reaches is linked all the same, and exact sets still decide."""
+    from trailweave.llm import simhash
+
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    rows += [(10_000 + k, " ".join([*words[:k], *words])) for k in range(3)]
+    rows += [(20_000, " ".join(words[:5])), (20_001, " ".join(words[:5]).upper()), (20_002, "only five words are here")]
+    monkeypatch.setattr(nearcopies, "band_keys", lambda hashes: [])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {row.doc_id: row.component_id for row in nearcopies.near_copies(docs).collect()}
+    sets = [nearcopies.shingle_set(text) for _, text in rows]
+    prints = [p % (1 << 64) for p in simhash.fingerprints(len(rows), enumerate_blocks(sets)).tolist()]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 and len(sets[i]) and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+    differ = [(i, j) for i, j in alike if sets[i].tobytes() != sets[j].tobytes()]
+    assert len(differ) >= 3 and all(got[rows[i][0]] == got[rows[j][0]] for i, j in alike)
+    whole = dict(zip([d for d, _ in rows], brute(rows), strict=True))
+    assert all(whole[d] == whole[c] for d, c in got.items())
+
+
+def enumerate_blocks(sets):
+    return ((i, s) for i, s in enumerate(sets) if len(s))

@@ -8,7 +8,7 @@ bit or none away: fingerprints that meet there differ in two bits at most, and e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,9 @@ def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.nda
         yield np.array([digest(b" ".join(carry), seed)], np.uint64)
 
 
-def _fingerprints(texts: list[str | None], shingle: int, seed: int) -> np.ndarray:
-    ones, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def fingerprints(n: int, hashes: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The fingerprints of n texts, as int64, from (number of the text, hashes of some of its shingles)."""
+    ones, totals = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
     held: list[np.ndarray] = []
     owners: list[int] = []
 
@@ -60,18 +61,21 @@ def _fingerprints(texts: list[str | None], shingle: int, seed: int) -> np.ndarra
             owners.clear()
 
     waiting = 0
-    for i, text in enumerate(texts):
-        for hashes in shingle_hashes(text, shingle, seed):
-            held.append(hashes)
-            owners.append(i)
-            waiting += len(hashes)
-            if waiting >= _HASHES_AT_ONCE:
-                flush()
-                waiting = 0
+    for i, block in hashes:
+        held.append(block)
+        owners.append(i)
+        waiting += len(block)
+        if waiting >= _HASHES_AT_ONCE:
+            flush()
+            waiting = 0
     flush()
     return np.packbits(2 * ones > totals[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def _fingerprints(texts: list[str | None], shingle: int, seed: int) -> np.ndarray:
+    return fingerprints(len(texts), ((i, block) for i, text in enumerate(texts) for block in shingle_hashes(text, shingle, seed)))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint of every text as bigint. A null text has no words: fingerprint zero."""
 
