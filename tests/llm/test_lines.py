@@ -3,8 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from trailweave.llm import lines
+from trailweave.llm import common, lines
 
 CUT = re.compile(r"(?<=\n)|(?<=[.!?;:][\x20\x09-\x0D])")
 SCHEMA = "doc_id bigint, text string, n_chars int, _gone string"
@@ -90,3 +91,43 @@ def test_only_what_fingerprints_lead_to_is_extended(spark):
     at = lines.fingerprints(texts).groupBy("key").agg({"x": "collect_list"}).toDF("key", "xs")
     assert lines.passages(texts, at, 30).count() > 0 and lines.passages(texts, at.limit(0), 30).count() == 0
     assert at.selectExpr("sum(size(xs))").first()[0] < 0.8 * texts.selectExpr("sum(size(units))").first()[0]
+
+
+def some_rows(seed):
+    r = random.Random(seed)
+    shared = [" ".join(f"w{r.randrange(50)}" + r.choice(["", "", "", ".", ";"]) for _ in range(60)) for _ in range(6)]
+    own = lambda: " ".join(f"v{r.randrange(10**6)}" + r.choice(["", "", "."]) for _ in range(r.randrange(1, 40)))
+    rows = [(d, "\n".join(r.choice([*shared, "", own()]) for _ in range(r.randrange(1, 7)))) for d in range(50)]
+    return [*rows, *rows[:5], *((100 + d, t) for d, t in rows[:9])]
+
+
+def test_runs_are_made_in_place(spark):
+    # Windows over all lines of the texts took a third of the CPU seconds.
+    texts = common.keep(lines.known_texts(spark.createDataFrame(some_rows(1), "doc_id bigint, text string"), 30))
+    at = common.keep(lines.fingerprints(texts).groupBy("key").agg(F.collect_set("x").alias("xs")))
+    plan = lines.passages(texts, at, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 2
+
+
+def test_positions_by_rows_and_by_crowded_bits(spark, monkeypatch):
+    rows = some_rows(2)
+    assert any(n for n, _ in check(spark, rows, 30).values())
+    monkeypatch.setattr(lines, "CROWDED", -1)  # joined by rows
+    check(spark, rows, 30)
+    monkeypatch.undo()
+    monkeypatch.setattr(common, "PLACES", 8)  # all bits are set
+    check(spark, rows, 30)
+
+
+def test_cuts_of_odd_texts(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "b", ".", "?", ":", " ", "\n", *odd]) for _ in range(40)) for odd in ("", "\t", "\r\x0b\f", "\1", "\1\2\t") for _ in range(60)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines._pieces(F.col("t")).alias("p"), lines._worded(F.col("t")).alias("u")).collect()
+    hashes = {}
+    for row in got:
+        assert row.p == CUT.split(row.t)
+        worded = [(i, w) for i, x in enumerate(row.p) if (w := tuple(re.findall(r"[^\x20\x09-\x0D]+", x)))]
+        assert [(u.i, u.n) for u in row.u] == [(i, len(w)) for i, w in worded]
+        for u, (_, w) in zip(row.u, worded):
+            assert hashes.setdefault(u.h, w) == w
+    assert len(set(hashes.values())) == len(hashes)

@@ -2,150 +2,167 @@
 
 A text is a sequence of short lines: its lines, cut after the marks . ! ? ; : too, so that a passage that begins or
 ends inside a line has whole short lines all the same. Each is known by the hash of its words. From each on, as many
-short lines as have eight words (four at most) are a gram. Of two grams in a row the least hash is a fingerprint, as is
-any gram that begins with a short line of twelve words or more: a run of short lines with 30 words or more has one at
-least, and the same wherever it stands. Fingerprints that repeat are joined
-back to their positions, and only around these positions matches are extended, to both ends: to the runs of short
-lines through the position that have `min_words` words, but fewer without the last or without the first. Runs that are
-equal are joined to the first of them; later ones go. Longer matches are covered by such runs. Texts that repeat as a
-whole are found by their hash before: later copies go whole, and all else works on the first of them. Each step is a window over one text, a grouped minimum or an equi-join: pairs of
-occurrences are never formed."""
+short lines as have eight words are a gram. Of two grams in a row the least hash is a fingerprint, as is any gram that
+begins with a short line of 23 words or more: a run of short lines with 30 words or more has one at its first line or
+the second, and the same wherever it stands. Fingerprints that repeat are joined back to their positions, and only
+from these positions matches are extended, to both ends: to the runs of short lines with the fingerprint that have
+`min_words` words, but fewer without the last or without the first. Runs that are equal are joined to the first of
+them; later ones go. Longer matches are covered by such runs. Texts that repeat as a whole are found by their hash
+before: later copies go whole, and all else works on the first of them. Each step works on one text's arrays, or is a
+grouped minimum or an equi-join: pairs of occurrences are never formed."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, keep, member_bits, settled, split_by_bits, spread_join
+from .common import PLACES, SPACE_CLASS, fresh, keep, member_bits, settled, split_by_bits, spread_join
 
 MIN_WORDS = 30
-#: Words of a gram, most of its short lines, and words from which a short line is taken in any case. With these a run
-#: of GRAM - 2 + 2 * LONG = 30 words has two whole grams in a row, or a long line.
-GRAM, GRAM_LINES, LONG = 8, 4, 12
+#: Words of a gram, and words from which a short line's gram is taken in any case. With these a run of GRAM + LONG - 1 =
+#: 30 words begins with two whole grams in a row, or with a long line.
+GRAM, LONG = 8, 23
+#: With so many fingerprints that repeat, bits leave too little out: then they are joined to their positions by rows.
+CROWDED = PLACES // 2
 _MARKS = ".!?;:"
 #: Where a text is cut: behind a line end, and behind a mark and the white space after it.
 _CUT = rf"(?<=\n)|(?<=[{_MARKS}]{SPACE_CLASS})"
 
 
+def _has(text: Column, parts: str | list[str]) -> Column:
+    """Whether the text has any of the parts: plain search, which is faster than a pattern."""
+    return reduce(or_, (F.contains(text, F.lit(part)) for part in parts))
+
+
+def _marked(text: Column, ends: dict[str, str]) -> Column:
+    """The text with each of the ends replaced, those that it has."""
+    pairs = F.array(*(F.struct(F.lit(end).alias("end"), F.lit(to).alias("to")) for end, to in ends.items()))
+    return F.aggregate(pairs, text, lambda t, e: F.when(F.contains(t, e["end"]), F.replace(t, e["end"], e["to"])).otherwise(t))
+
+
 def _pieces(text: Column) -> Column:
-    return F.split(text, _CUT)
+    plain = F.split(_marked(text, {end: f"{end}\1" for end in ("\n", *(f"{m} " for m in _MARKS))}), "\1")
+    return F.when(_has(text, "\t\x0B\f\r\1"), F.split(text, _CUT)).otherwise(plain)
 
 
 def _worded(text: Column) -> Column:
     """(i, h, n) of each short line with words: its place among all, the hash of its words and their number. The cuts
-    are those of _pieces(), found in the text with single spaces by plain replacement, which is faster."""
-    plain = F.when(text.rlike(r"[\t\x0B\f\r\x01]|  "), F.regexp_replace(F.replace(text, F.lit("\1"), F.lit("\2")), r"[ \t\x0B\f\r]+", " ")).otherwise(text)
-    for mark in ("\n", *(f"{m} " for m in _MARKS)):
-        plain = F.replace(plain, F.lit(mark), F.lit(f"{mark}\1"))
-    words = F.transform(F.split(plain, "\1"), lambda p, i: F.struct(i.alias("i"), F.trim(F.replace(p, F.lit("\n"), F.lit(""))).alias("w")))
+    are those of _pieces(), found in the text with single spaces."""
+    plain = F.when(_has(text, [*"\t\x0B\f\r", "  "]), F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+    marked = F.split(_marked(plain, {"\n": "\1", **{f"{m} ": f"{m}\1" for m in _MARKS}}), "\1")
+    cut = F.when(_has(text, "\1"), F.split(plain, rf"\n|(?<=[{_MARKS}]) ")).otherwise(marked)
+    words = F.transform(cut, lambda p, i: F.struct(i.alias("i"), F.trim(p).alias("w")))
     count = lambda w: F.octet_length(w) - F.octet_length(F.replace(w, F.lit(" "), F.lit(""))) + 1
     return F.transform(F.filter(words, lambda x: x["w"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["w"]).alias("h"), count(x["w"]).alias("n")))
 
 
-def _total(units: Column) -> Column:
-    return F.aggregate(units, F.lit(0).cast("bigint"), lambda n, u: n + u["n"])
-
-
 def known_texts(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, th2, units): the texts with enough words, known by doc_id and the text's hash th, and their short lines. The
-    key is one struct, by which null numbers are joined and grouped as any other; th2 makes 128 bits of the hash."""
-    some = docs.filter(F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), F.xxhash64(F.lit(1), "text").alias("th2"), "text")
-    return settled(some, units=_worded(F.col("text"))).filter(_total(F.col("units")) >= min_words).drop("text")
+    """(key, th2, row, units, places, words): the texts with enough words, known by doc_id and the text's hash th, and the
+    hashes, places and numbers of words of their short lines. The key is one struct, by which null numbers are joined and
+    grouped as any other; th2 makes 128 bits of the hash; row numbers the rows, those that repeat too."""
+    some = docs.filter(F.col("text").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), F.xxhash64(F.lit(1), "text").alias("th2"), F.monotonically_increasing_id().alias("row"), "text")
+    made = settled(some, u=_worded(F.col("text"))).select("key", "th2", "row", *(F.col(f"u.{c}").alias(n) for c, n in (("h", "units"), ("i", "places"), ("n", "words"))))
+    return made.filter(F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + w) >= min_words)
 
 
 def _place(*more: str) -> Column:
     return F.struct(F.col("key.doc_id").isNull().alias("null_id"), "key.doc_id", "key.th", *more)
 
 
-def later_copies(texts: DataFrame) -> DataFrame:
-    """(key): the texts that another of a smaller place repeats as a whole."""
-    thin = texts.select("key", "th2", F.col("key.th").alias("th"))
-    first = thin.groupBy("th", "th2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first < last").drop("last")
-    return spread_join(thin, first, ["th", "th2"], [F.col("key")], "inner").filter(_place() > F.col("first")).select("key").distinct()
+def later_rows(texts: DataFrame) -> DataFrame:
+    """(row, key, copy): the rows of which another of a smaller place has the same text, or a smaller row the same text
+    under the same number (copy is false)."""
+    thin = texts.select("row", "key", "th2", F.col("key.th").alias("th"))
+    first = thin.groupBy("th", "th2").agg(F.min(_place("row")).alias("first"), F.max(_place("row")).alias("last")).filter("first < last").drop("last")
+    later = spread_join(thin, first, ["th", "th2"], [F.col("row")], "inner").filter(_place("row") > F.col("first"))
+    return later.select("row", "key", (_place() > F.struct("first.null_id", "first.doc_id", "first.th")).alias("copy"))
+
+
+def _by_line(texts: DataFrame) -> DataFrame:
+    """A row for each short line: x its number, w the number of words before it, and its text's columns with `line_of`, by
+    which the line of each word is found. Arrays aren't copied: all that follows up to a shuffle is one loop."""
+    line_of = F.flatten(F.transform("words", lambda n, x: F.array_repeat(x, n)))
+    every = settled(texts, line_of=line_of).select("*", F.posexplode("line_of").alias("w", "x"))
+    return every.filter((F.col("w") == 0) | (F.get("line_of", F.col("w") - 1) != F.col("x")))
+
+
+def _gram(x: Column, w: Column) -> Column:
+    """The hash of the gram that begins with line x, which has w words before it; null where the text has no such gram."""
+    last = F.get("line_of", w + (GRAM - 1))
+    return F.when((x >= 0) & last.isNotNull(), F.xxhash64(F.slice("units", x + 1, last - x + 1)))
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
     """(fp, key, x): the selected fingerprints and where they are, x the number of the short line with words."""
+    x, w = F.col("x"), F.col("w")
+    own, before = F.get("words", x), F.get("words", x - 1)
+    lines = _by_line(texts.select("key", "units", "words"))
+    placed = settled(lines, g=_gram(x, w), g_before=F.when(x > 0, _gram(x - 1, w - before)), g_behind=_gram(x + 1, w + own))
+    least = (F.col("g") <= F.col("g_before")) | (F.col("g") <= F.col("g_behind"))
+    return placed.filter(F.col("g").isNotNull() & ((own >= LONG) | F.coalesce(least, F.lit(False)))).select(F.col("g").alias("fp"), "key", "x")
 
-    def gram(u: Column, x: Column) -> Column:
-        lines = [u, *(F.get("units", x + k) for k in range(1, GRAM_LINES))]
-        words, out = lines[0]["n"], F.when(lines[0]["n"] >= GRAM, u["h"])
-        for k in range(1, GRAM_LINES):
-            words = words + lines[k]["n"]  # null behind the end: no gram
-            out = out.when((words >= GRAM) if k + 1 < GRAM_LINES else words.isNotNull(), F.xxhash64(*(line["h"] for line in lines[: k + 1])))
-        return out
 
-    made = settled(texts, grams=F.transform("units", gram))
+def _starts(texts: DataFrame, min_words: int) -> DataFrame:
+    """The lines with which runs begin: the shortest run's last line `upto`, the fingerprint fp of all runs from there,
+    the line at that it stands, and the text's columns."""
+    x, w, own = F.col("x"), F.col("w"), F.get("words", F.col("x"))
+    whole = _by_line(texts).withColumn("upto", F.get("line_of", w + (min_words - 1))).filter("upto is not null")
+    placed = settled(whole, g=_gram(x, w), g_behind=F.when(own < LONG, _gram(x + 1, w + own)), behind=F.get("line_of", w + own + (min_words - 1)))
+    own_least = F.coalesce(F.col("g") <= F.col("g_behind"), F.lit(True))
+    return placed.withColumn("fp", F.when(own_least, F.col("g")).otherwise(F.col("g_behind"))).withColumn("at", F.when(own_least, x).otherwise(x + 1))
 
-    def selected(u: Column, x: Column) -> Column:
-        here = F.get("grams", x)
-        least = (here <= F.get("grams", x - 1)) | (here <= F.get("grams", x + 1))
-        return F.struct(F.when((u["n"] >= LONG) | F.coalesce(least, F.lit(False)), here).alias("fp"), x.alias("x"))
 
-    placed = F.filter(F.transform("units", selected), lambda p: p["fp"].isNotNull())
-    return made.select("key", F.explode(placed).alias("p")).select("p.fp", "key", "p.x")
+def _extended(starts: DataFrame) -> DataFrame:
+    """(key, line, last, p1, p2): the runs that begin at these lines, with 128 bits of their words. Beside the shortest
+    there are those that would be too short without their first line."""
+    end = F.greatest(F.col("upto"), F.coalesce(F.col("behind"), F.size("units")) - 1)
+    each = starts.select("key", "x", "units", "places", F.explode(F.sequence("upto", end)).alias("y"))
+    each = settled(each, hs=F.slice("units", F.col("x") + 1, F.col("y") - F.col("x") + 1))
+    return each.select("key", F.get("places", F.col("x")).alias("line"), F.get("places", F.col("y")).alias("last"), F.xxhash64("hs").alias("p1"), F.xxhash64(F.lit(1), "hs").alias("p2"))
 
 
 def passages(texts: DataFrame, at: DataFrame, min_words: int) -> DataFrame:
-    """(key, line, last, p1, p2): the runs around the positions at (key, xs), with 128 bits of their words."""
+    """(key, line, last, p1, p2): the runs whose fingerprints are at the positions (key, xs)."""
     # A flag for each short line up to the last that is hit, so that no line is looked for among the positions.
-    at = settled(at, xs=F.array_sort("xs"))
+    at = settled(at, xs=F.sort_array("xs"))
     gap = lambda x, k: F.array_repeat(F.lit(False), x - F.coalesce(F.get("xs", k - 1), F.lit(-1)) - 1)
     at = at.select("key", F.flatten(F.transform("xs", lambda x, k: F.concat(gap(x, k), F.array(F.lit(True))))).alias("hits"))
-    # Rows that repeat are taken once; texts, join and windows are all dealt by the key.
-    # Arrays of numbers are a third of the size of an array of structs.
-    flat = texts.select("key", *(F.col(f"units.{c}").alias(c) for c in ("i", "h", "n")))
-    once = flat.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("k = 1").drop("k")
-    # Behind the last line stands one without words: there the last line is the one before.
-    lone = lambda c, v: F.concat(c, F.array(v))
-    near = once.join(at.hint("merge"), "key").select("key", lone("i", F.lit(None)).alias("i"), lone("h", F.lit(None)).alias("h"), lone("n", F.lit(0)).alias("n"), "hits")
-    lines = near.select("key", F.posexplode(F.arrays_zip("i", "h", "n", "hits")).alias("x", "u"))
-    lines = lines.select("key", "x", F.col("u.i").alias("line"), F.col("u.h").alias("h"), F.col("u.n").alias("n"), F.coalesce("u.hits", F.lit(False)).alias("hit"))
-    by_line = Window.partitionBy("key").orderBy("x")
-    before = (F.lag(c).over(by_line).alias(f"{c}_before") for c in ("line", "h", "n", "hit"))
-    placed = lines.select("key", "line", "h", "n", "hit", (F.sum("n").over(by_line) - F.col("n")).alias("at"), *before)
-    placed = placed.withColumn("upto", F.col("at") + F.col("n")).withColumn("at_before", F.col("at") - F.col("n_before"))
-    # Where a line begins the one before ends: one order serves runs to both sides.
-    by_start = Window.partitionBy("key").orderBy("at")
-    ahead, back = by_start.rangeBetween(0, min_words - 1), by_start.rangeBetween(1 - min_words, 0)
-
-    def run(h: str, w, first: Column, last: Column) -> Column:
-        hs = F.collect_list(h).over(w)
-        return F.struct(first.alias("line"), last.alias("last"), F.xxhash64(hs).alias("p1"), F.xxhash64(F.lit(1), hs).alias("p2"))
-
-    begins = F.when(F.max("hit").over(ahead) & (F.max("upto").over(ahead) >= F.col("at") + min_words), run("h", ahead, F.col("line"), F.max("line").over(ahead)))
-    # One that is enough without its last line is no other run's beginning.
-    ends = F.when(
-        F.max("hit_before").over(back) & (F.col("at_before") - F.min("at_before").over(back) >= min_words),
-        run("h_before", back, F.min("line_before").over(back), F.col("line_before")),
-    )
-    both = placed.select("key", begins.alias("begins"), ends.alias("ends"))
-    each = both.select("key", F.explode(F.array_compact(F.array("begins", "ends"))).alias("p"))
-    return each.select("key", "p.*")
+    near = texts.select("key", "units", "places", "words").join(at.hint("merge"), "key")
+    return _extended(_starts(near, min_words).filter(F.get("hits", F.col("at"))))
 
 
 def repeats(docs: DataFrame, min_words: int) -> DataFrame:
     """(key, copy, gone): by text that repeats another as a whole (copy), or passages: for its short lines whether each
     goes."""
     texts = keep(known_texts(docs, min_words))
+    later = keep(later_rows(texts))
     found = fingerprints(texts)
     # Copies of a text don't make its fingerprints repeat: it has them at the same places.
     where = F.xxhash64("key.th", "x")
     again = keep(found.groupBy("fp").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("fp"))
-    some, _ = split_by_bits(found, member_bits(again, F.col("fp")), F.col("fp"))
-    at = spread_join(some, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
-    copies = keep(later_copies(texts))
-    extended = keep(passages(texts, at.join(copies.hint("merge"), "key", "left_anti"), min_words))
+    may, firsts = split_by_bits(texts, member_bits(later, F.col("row")), F.col("row"))
+    firsts = firsts.unionByName(may.join(later.select("row").hint("merge"), "row", "left_anti"))
+    if again.count() <= CROWDED:
+        # A run that repeats has a fingerprint that does; one that the bits let through beside these meets no equal run.
+        near, _ = split_by_bits(_starts(firsts.select("key", "units", "places", "words"), min_words), member_bits(again, F.col("fp")), F.col("fp"))
+        extended = keep(_extended(near))
+    else:
+        at = spread_join(found, again, ["fp"], [F.col("key"), F.col("x")], "left_semi", salts=4).groupBy("key").agg(F.collect_set("x").alias("xs"))
+        extended = keep(passages(firsts, at, min_words))
     first = extended.groupBy("p1", "p2").agg(F.min(_place("line")).alias("begin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner", salts=4).filter(_place("line") > F.col("begin"))
+    again_there = spread_join(extended, first, ["p1", "p2"], [F.col("key"), F.col("line")], "inner", salts=4).filter(_place("line") > F.col("begin"))
     # Each run adds the lines beyond those before it.
     upto = F.coalesce(F.max("last").over(Window.partitionBy("key").orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    runs = later.select("key", "line", "last", upto.alias("upto")).filter("last > upto")
+    runs = again_there.select("key", "line", "last", upto.alias("upto")).filter("last > upto")
     start = F.greatest(F.col("line"), F.col("upto") + 1)
     runs = runs.select("key", F.struct(start.alias("start"), (start - F.col("upto") - 1).alias("stay"), (F.col("last") - start + 1).alias("go")).alias("r"))
-    flags = F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(F.array_repeat(F.lit(False), r["stay"]), F.array_repeat(F.lit(True), r["go"]))))
+    flags = F.flatten(F.transform(F.sort_array(F.collect_list("r")), lambda r: F.concat(F.array_repeat(F.lit(False), r["stay"]), F.array_repeat(F.lit(True), r["go"]))))
     gone = runs.groupBy("key").agg(flags.alias("gone")).select("key", F.lit(False).alias("copy"), "gone")
-    return gone.unionByName(copies.select("key", F.lit(True).alias("copy"), F.lit(None).cast("array<boolean>").alias("gone")))
+    copies = later.filter("copy").select("key", "copy").distinct()
+    return gone.unionByName(copies.withColumn("gone", F.lit(None).cast("array<boolean>")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,8 +177,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns other than these pass through, whatever their names."""
     columns = docs.columns
     key, mark, deleted = fresh(columns, "_k"), fresh(columns, "_mark"), "_deleted_lines"
-    if min_words < GRAM - 2 + 2 * LONG:
-        raise ValueError(f"runs of fewer than {GRAM - 2 + 2 * LONG} words may have no fingerprint")
+    if min_words < GRAM + LONG - 1:
+        raise ValueError(f"runs of fewer than {GRAM + LONG - 1} words may have no fingerprint")
     typed = docs.withColumn("text", F.col("text").cast("string"))
     marks = keep(repeats(typed.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.struct("copy", "gone").alias(mark)))
     # The key as one struct joins nulls too. Marks grow with the texts: they are joined one way at every size. Texts that
