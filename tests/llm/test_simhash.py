@@ -87,6 +87,23 @@ def test_links_are_complete(spark, monkeypatch, paired):
     assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
 
 
+@pytest.mark.parametrize("paired", [16, 1])
+def test_no_task_makes_the_keys_of_many_fingerprints(spark, monkeypatch, paired):
+    """All fingerprints are in one partition, as after a grouped sum of few MB; keys are made in as many tasks as they need."""
+    monkeypatch.setattr(simhash, "DEALT", 64, raising=False)
+    monkeypatch.setattr(simhash, "PAIRED_MEMBERS", paired)
+    kept = []
+    monkeypatch.setattr(simhash, "keep", lambda df: kept.append(df) or df)
+    prints = spark.range(0, 1024, 1, 1).select(F.xxhash64(F.col("id") - F.col("id") % 2).bitwiseXOR(F.col("id") % 2).alias("fp"))
+    edges = simhash.links(prints)
+    assert edges.count() == 512
+    made = kept[0].select("fp", F.spark_partition_id().alias("p")).distinct()
+    assert made.select("fp").distinct().count() == 1024
+    for df in (kept[0], edges):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(fp" in plan and ", 16), REPARTITION_BY_NUM" in plan
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(spark, [(r.doc_id, r.text, "", 0) for r in docs.collect()])

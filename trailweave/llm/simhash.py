@@ -21,6 +21,8 @@ from .common import byte_blocks, connected_components, keep, pieces, spread_join
 SEGMENT_BITS = 32
 #: Members of a key that are compared pair by pair; beyond it, the exact second dealing takes over. Both are exact.
 PAIRED_MEMBERS = 16
+#: Fingerprints of a task that makes and counts their keys: 64 of each, so some 260,000 keys in its hash table at any input.
+DEALT = 1 << 12
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -90,6 +92,9 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> Data
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp`, enough to reach whatever differs in two bits or fewer."""
     low = (1 << SEGMENT_BITS) - 1
+    # Fingerprints are thin, so that Spark puts many into one partition; what becomes of them there is not.
+    parts = max(1, -(-prints.count() // DEALT))
+    prints = prints.repartition(parts, "fp")
     masks = F.array(*(F.lit(low & ~(1 << bit)) for bit in range(SEGMENT_BITS)))
     variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1))).alias("v")).select(
         "fp",
@@ -116,7 +121,7 @@ def links(prints: DataFrame) -> DataFrame:
     pairs = few.select(F.col("x").alias("a"), F.explode(F.filter("ys", links_here)).alias("b"))
 
     # Values one bit or none away from two fingerprints: shared by all pairs two bits apart or less, and by no other.
-    dense = met.filter(F.col("n") > PAIRED_MEMBERS).select("fp").distinct()
+    dense = met.filter(F.col("n") > PAIRED_MEMBERS).select("fp").distinct().repartition(parts, "fp")
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)) for i in range(64)))
     again = dense.select("fp", F.explode(F.transform(flips, lambda bit: bit.bitwiseXOR(F.col("fp")))).alias("near"))
     least = again.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
