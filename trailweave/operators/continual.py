@@ -89,9 +89,9 @@ def continued(memory: Memory, log: DataFrame, open_since: str | None = None) ->
     """The memory after more of the log: without upkeep in between, the same as if it had learned all of it at once."""
     told = memory.told.unionByName(learning.told(log)).groupBy("vertex", "type", "path", "context").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.min("first").alias("first"))
     known = memory.edges.filter("source_id < target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight")
-    pairs, partners = learning.learned_pairs_after(log, memory.recent, known, memory.partners)
-    changed = learning.both_ways(pairs)
     told = kept(told)
+    pairs, partners = learning.learned_pairs_after(log, memory.recent, known, memory.partners, told.select("vertex"))
+    changed = learning.both_ways(pairs)
     return Memory(told, vertices_after(memory.vertices, told), edges_after(memory.edges, changed), recent_after(memory.recent, log, open_since=open_since), partners)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalars as S
 from ..sources.shared import kept
+from . import folding
 from .sequences import neighbours, running
 
 
@@ -51,10 +52,10 @@ def ordinals(log: DataFrame) -> DataFrame:
     return placed.withColumn("nxt", F.lead("ord").over(Window.partitionBy("session_id", "vertex").orderBy("ord")))
 
 
-def _recent_before(placed: DataFrame, size: int) -> DataFrame:
+def _recent_before(placed: DataFrame, size: int, length: int) -> DataFrame:
     """(session_id, block, then, nxt, recent, recent_type): the `size` latest distinct vertices before each block.
 
-    Each block has its own latest; doubling how many blocks are looked back on, every round merges two lists of `size`
+    A block has `length` accesses. Each block has its own latest; doubling how many blocks are looked back on, every round merges two lists of `size`
     into one. There are as many rounds as the longest session's number of blocks has digits to base two."""
     key = ["session_id", "block"]
     latest = Window.partitionBy(*key).orderBy(F.desc("then"))
@@ -63,7 +64,7 @@ def _recent_before(placed: DataFrame, size: int) -> DataFrame:
         return rows.withColumn("k", F.row_number().over(latest)).filter(F.col("k") <= size).drop("k")
 
     ends = placed.groupBy("session_id").agg(F.max("block").alias("last_block")).filter("last_block > 0")
-    own = placed.filter(F.col("nxt").isNull() | (F.floor((F.col("nxt") - 1) / BLOCK) > F.col("block"))).join(ends, "session_id")
+    own = placed.filter(F.col("nxt").isNull() | (F.floor((F.col("nxt") - 1) / length) > F.col("block"))).join(ends, "session_id")
     now = kept(shortened(own.select(*key, "last_block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"))))
     span, most = 1, now.agg(F.max("last_block")).first()[0] or 0
     while span < most:
@@ -86,7 +87,7 @@ def windows(log: DataFrame, size: int = C.WINDOW, before: DataFrame | None = Non
     placed = kept(ordinals(given).select("session_id", "ord", "nxt", "vertex", "type", "at", "id", "_own", F.floor((F.col("ord") - 1) / BLOCK).alias("block")))
     own = F.struct("at", "id", "_own").alias("access")
     here = placed.select("session_id", "block", F.col("ord").alias("then"), "nxt", F.col("vertex").alias("recent"), F.col("type").alias("recent_type"), own)
-    then = here.unionByName(_recent_before(placed, size), allowMissingColumns=True)
+    then = here.unionByName(_recent_before(placed, size, BLOCK), allowMissingColumns=True)
     # One row a block: BLOCK + size entries at most, in order. What is live at one of them is among those before it.
     entry = F.struct("then", "nxt", "recent", "recent_type", "access")
     blocks = then.groupBy("session_id", "block").agg(F.array_sort(F.collect_list(entry)).alias("e"))
@@ -178,18 +179,16 @@ def _folded(grouped: DataFrame, known: DataFrame | None = None, step=S.strengthe
     return out.select("a", "b", "weight").join(counts, ["a", "b"])
 
 
-def learned_pairs(log: DataFrame, step=S.strengthen, captured: bool = True) -> DataFrame:
-    """folded() of all that a log fires."""
-    grouped = gathered(_fired(log))
-    return _folded(_damped(grouped, _first_partners(grouped)), step=step, captured=captured)
+def learned_pairs(log: DataFrame, snapping: bool = True, captured: bool = True) -> DataFrame:
+    """folded() of all that a log fires: see folding."""
+    return folding.learned(log, snapping=snapping, captured=captured)[0]
 
 
-def learned_pairs_after(log: DataFrame, before: DataFrame, known: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:
+def learned_pairs_after(log: DataFrame, before: DataFrame, known: DataFrame, partners: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """folded() of a log that goes on, and (end, first), the first partners of each vertex after it. before: the latest
-    vertices of each session; known: the pairs that there are, and their weights; partners: the first ones before."""
-    grouped = gathered(_fired(log, before))
-    now = kept(_first_partners(grouped, known, partners))
-    return _folded(_damped(grouped, now), known), now.select("end", "first")
+    vertices of each session; known: the pairs that there are, and their weights; partners: the first ones before;
+    vertices: all that there are (vertex), if they are known."""
+    return folding.learned(log, before, known, partners, vertices)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -233,7 +232,7 @@ def learned_lite(log: DataFrame) -> State:
     n = F.col("access_count")
     vertices = learned_vertices(log).withColumn("myelination", C.MYELIN_MAX * (1 - F.pow(F.lit(1 - C.MYELIN_RATE / C.MYELIN_MAX), n)))
     vertices = vertices.withColumn("activation", F.least(F.lit(1.0), n * 0.1)).withColumn("contexts", F.slice("contexts", F.greatest(F.size("contexts") - 9, F.lit(1)), 10))
-    return State(vertices, both_ways(learned_pairs(log, S.saturating_add, captured=False)))
+    return State(vertices, both_ways(learned_pairs(log, snapping=False, captured=False)))
 
 
 def sessions(log: DataFrame) -> DataFrame:
