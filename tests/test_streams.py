@@ -235,3 +235,26 @@ def test_weakening_counts_each_time_once(spark, tmp_path):
     each(told, 7)
     after = {(r.source_id, r.target_id): r.weight for r in continual.read(store).edges.collect()}
     assert before.keys() == after.keys() and all(after[k] == pytest.approx(max(0.1, w * 0.81) if "file:1" in k else w) for k, w in before.items())
+
+
+def test_repeats_of_a_sessions_names_are_told_apart_in_one_state():
+    """A session's vertices are one key: one state is read and written for all of them. What is over goes with the next
+    rows, or with the timer."""
+    k = Key(lambda: state.Repeats(10 * S, name="vertex"))
+    row = lambda i, us, v: Row(id=i, us=us, vertex=v)
+    assert [r.id for r in k.rows(row(1, 0, "a"), row(2, S, "b"), row(3, 5 * S, "a"), row(4, 14 * S, "a"), row(5, 12 * S, "b"))] == [1, 2, 5]
+    assert k.handle.states["last"].get() == (["a", "b"], [14 * S, 12 * S]) and k.handle.timers == {24_000}
+    assert [r.id for r in k.rows(row(6, 23 * S, "a"), at=22_500)] == [] and k.handle.states["last"].get() == (["a"], [23 * S])
+    assert k.tick(33_000) == [] and not k.handle.states["last"].exists() and not k.handle.timers
+
+
+def test_what_is_recalled_is_written_once_a_batch():
+    """Of 300 rows of 100 sessions only what the last one holds is written."""
+    k, written = Key(state.Recalled), []
+    names = k.handle.getMapState("names", "name string", "recalled boolean, opened boolean")
+    names.updateValue = lambda name, value: written.append(name) or names.d.update({name: value})
+    got = k.rows(*(recall(3 * i + j, (3 * i + j) * S, f"s{i}", "opened" if j == 2 else "recalled", "abb"[j]) for i in range(100) for j in range(3)))
+    assert [(r.session_id, r.id) for r in got] == [(f"s{i}", "a") for i in range(99)] and len(written) == 2
+    # What is there from the batch before is known, and told with what this one adds.
+    assert k.rows(recall(400, 301 * S, "s99", "opened", "a"), recall(401, 302 * S, "s99", "recalled", "c")) == []
+    assert [(r.id, r.reason) for r in k.rows(recall(402, 303 * S, "t", "opened", "a"))] == [("c", "changed")] and names.d == {("a",): (False, True)}

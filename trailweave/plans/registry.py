@@ -1338,7 +1338,8 @@ def t05_streamed_impulses(spark, sf_dir):
 where gap is null or gap >= interval 60 hour group by 1"""))
 def t02_without_repeats(spark, sf_dir):
     """Accesses that aren't repeats of one less than 60 hours before."""
-    return jobs.finished(state.without_repeats(jobs.event_stream(spark, sf_dir), "60 hours")).groupBy("vertex").agg(F.count("*").alias("n"))
+    accesses = jobs.event_stream(spark, sf_dir).select("session_id", "vertex", "at", "id")
+    return jobs.finished(state.without_repeats(accesses, "60 hours")).groupBy("vertex").agg(F.count("*").alias("n"))
 
 
 _SPOKEN = """spoken as (

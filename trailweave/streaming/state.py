@@ -38,35 +38,50 @@ class _Timed(StatefulProcessor):
         now = timer_values.getCurrentProcessingTimeInMs() * 1000
         return [(now, row) for row in rows]
 
-    def wake(self, us: int | None) -> None:
-        """Asks to be called at a time, and at no other."""
-        for timer in list(self.handle.listTimers()):
+    def wake(self, us: int | None, fresh: bool = False) -> None:
+        """Asks to be called at a time, and at no other. fresh: the key had no state, and so has no timer."""
+        for timer in () if fresh else list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if us is not None:
             self.handle.registerTimer(-(-us // 1000))
 
 
 class Repeats(_Timed):
-    """Rows of a key that come `within` or more after the one before. Holds the time of the last, for so long."""
+    """Rows of a key that come `within` or more after the one before, by their `name` if one is given. Holds the time of
+    each name's last, until the watermark or the clock has passed it by so long when the key has rows again, or all of
+    them. A call to the state costs more than a row, so a key's names are read and written together."""
 
-    def __init__(self, within: int, clock: str = "event"):
-        self.within, self.clock = within, clock
+    def __init__(self, within: int, clock: str = "event", name: str | None = None):
+        self.within, self.clock, self.name = within, clock, name
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "us bigint")
+        self.last = handle.getValueState("last", "names array<string>, us array<bigint>")
+
+    def held(self, last: dict[str | None, int], ms: int, fresh: bool) -> None:
+        """Holds of last what isn't over by a time."""
+        on = {name: us for name, us in last.items() if us + self.within > ms * 1000}
+        if on:
+            self.last.update((list(on), list(on.values())))
+        elif not fresh:
+            self.last.clear()
+        if on or not fresh:
+            self.wake(max(on.values()) + self.within if on else None, fresh)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
+        was = self.last.get()
+        last = dict(zip(*was)) if was else {}
         for us, row in self.timed(rows, timerValues):
-            if last is None or us - last >= self.within:
+            name = row[self.name] if self.name else None
+            before = last.get(name)
+            if before is None or us - before >= self.within:
                 yield row
-            last = us if last is None else max(last, us)
-        self.last.update((last,))
-        self.wake(last + self.within)
+            last[name] = us if before is None else max(before, us)
+        self.held(last, timerValues.getCurrentWatermarkInMs() if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs(), not was)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
+        if was := self.last.get():
+            self.held(dict(zip(*was)), expiredTimerInfo.getExpiryTimeInMs(), False)
         return iter(())
 
 
@@ -151,30 +166,38 @@ class Recalled(_Timed):
         self.session = handle.getValueState("session", "session_id string, last bigint")
         self.names = handle.getMapState("names", "name string", "recalled boolean, opened boolean")
 
-    def ended(self, key, session: str, reason: str, us: int) -> Iterator[Row]:
-        for name, (recalled, opened) in sorted(self.names.iterator()):
+    def ended(self, key, session: str, reason: str, us: int, held: dict, stored: bool) -> Iterator[Row]:
+        every = {name[0]: value for name, value in self.names.iterator()} | held if stored else held
+        for name, (recalled, opened) in sorted(every.items()):
             if recalled and not opened:
-                yield Row(agent=key[0], session_id=session, id=name[0], reason=reason, us=us)
-        self.names.clear()
-        self.session.clear()
+                yield Row(agent=key[0], session_id=session, id=name, reason=reason, us=us)
+        if stored:
+            self.names.clear()
+            self.session.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        session, last = self.session.get() if self.session.exists() else (None, None)
+        was = self.session.get()
+        # held: what the rows tell, which is written at the end; a call to the state costs more than a row.
+        (session, last), held, stored = was or (None, None), {}, bool(was)
         for now, row in self.timed(rows, timerValues):
-            if last is not None and now - last > self.ttl:
-                yield from self.ended(key, session, "expired", last)
-            elif session is not None and session != row.session_id:
-                yield from self.ended(key, session, "changed", last)
-            was = self.names.getValue((row.name,)) if self.names.exists() and self.names.containsKey((row.name,)) else (False, False)
-            self.names.updateValue((row.name,), (was[0] or row.kind == "recalled", was[1] or row.kind == "opened"))
+            over = last is not None and now - last > self.ttl
+            if over or (session is not None and session != row.session_id):
+                yield from self.ended(key, session, "expired" if over else "changed", last, held, stored)
+                held, stored = {}, False
+            before = held.get(row.name)
+            if before is None:
+                before = self.names.getValue((row.name,)) if stored and self.names.containsKey((row.name,)) else (False, False)
+            held[row.name] = (before[0] or row.kind == "recalled", before[1] or row.kind == "opened")
             session, last = row.session_id, now if last is None else max(last, now)
+        for name, value in held.items():
+            self.names.updateValue((name,), value)
         self.session.update((session, last))
-        self.wake(last + self.ttl + 1)
+        self.wake(last + self.ttl + 1, not was)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.session.exists():
-            session, last = self.session.get()
-            yield from self.ended(key, session, "expired", last)
+        if was := self.session.get():
+            session, last = was
+            yield from self.ended(key, session, "expired", last, {}, True)
 
 
 def _through(stream: DataFrame, keys: list[str], processor: _Timed, schema, late: str) -> DataFrame:
@@ -188,7 +211,7 @@ def without_repeats(stream: DataFrame, within: str = "2 minutes", late: str = "1
     """Accesses (session_id, vertex, at, id, ...) of a session to a vertex that come `within` or more after the one
     before."""
     schema = stream.withColumn("us", F.unix_micros("at")).schema
-    return _through(stream, ["session_id", "vertex"], Repeats(micros(within), clock), schema, late).drop("us")
+    return _through(stream, ["session_id"], Repeats(micros(within), clock, "vertex"), schema, late).drop("us")
 
 
 def two_speed(stream: DataFrame, files: str = "2 seconds", snippets: str = "5 seconds", most: int = 50, late: str = "1 hour", clock: str = "processing") -> DataFrame:
