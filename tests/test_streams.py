@@ -258,3 +258,14 @@ def test_what_is_recalled_is_written_once_a_batch():
     # What is there from the batch before is known, and told with what this one adds.
     assert k.rows(recall(400, 301 * S, "s99", "opened", "a"), recall(401, 302 * S, "s99", "recalled", "c")) == []
     assert [(r.id, r.reason) for r in k.rows(recall(402, 303 * S, "t", "opened", "a"))] == [("c", "changed")] and names.d == {("a",): (False, True)}
+
+
+def test_weakening_doesnt_write_what_is_recent_again(spark, tmp_path):
+    from tests.test_store import accesses
+
+    store = continual.store(spark, f"file://{tmp_path}/memory", 2)
+    before = continual.learn_into(store, accesses(spark, 40, 2, vertices=6)[1])
+    jobs.weakening_batches(store, "recall")(spark.createDataFrame([(1, "s", "file:1", "changed", 0)], state.IGNORED_DDL), 0)
+    after = store.version()
+    assert after.number == 2 and after.tables["recent"] == before.tables["recent"] and after.tables["edges"] != before.tables["edges"]
+    assert continual.read(store).recent.count() == continual.read(store, before).recent.count() > 0

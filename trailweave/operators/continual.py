@@ -132,7 +132,13 @@ def learn_into(memories: MemoryStore, log: DataFrame, batch: tuple[str, int] | N
 def keep_up(memories: MemoryStore, step: Callable[[State], State], batch: tuple[str, int] | None = None, in_place: Collection[str] = ()) -> Version:
     """Takes a step of upkeep on the newest version, as the next one. in_place: vertices or edges, where the step makes
     one row of one row and so leaves them in their buckets."""
-    return memories.update(lambda tables: kept_up(Memory(**tables) if tables else blank(memories.spark), step).tables(), batch, in_place=in_place)
+
+    def after(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        new = kept_up(Memory(**tables) if tables else blank(memories.spark), step).tables()
+        # What is recent stays what it was: the next version names the same folder.
+        return {name: df for name, df in new.items() if name != "recent" or not tables}
+
+    return memories.update(after, batch, in_place=in_place)
 
 
 def read(memories: MemoryStore, version: Version | None = None) -> Memory:
