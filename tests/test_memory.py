@@ -6,7 +6,7 @@ from tests.correctness import compare
 from trailweave.operators import learning
 from trailweave.plans import registry
 
-NAMES = ["m08_replayed"]
+NAMES = ["m08_replayed", "k11_resolved_errors"]
 
 
 @pytest.mark.parametrize("name", NAMES)
