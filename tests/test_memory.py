@@ -6,7 +6,7 @@ from tests.correctness import compare
 from trailweave.operators import learning
 from trailweave.plans import registry
 
-NAMES = ["m08_replayed", "k11_resolved_errors", "m12_directed", "r01_direct"]
+NAMES = ["m08_replayed", "k11_resolved_errors", "m12_directed", "r01_direct", "r06_recall"]
 
 
 @pytest.mark.parametrize("name", NAMES)
